@@ -55,7 +55,7 @@ def corpus_load(spark, sf):
     scores = F.transform(
         dense_scores(F.col("text")), lambda s: F.replace((s / 4).cast("string"), F.lit("."), F.lit(","))
     )
-    lines = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select(F.concat_ws(
+    lines = t.texts.join(t.labels, "doc_id").select(F.concat_ws(
         "\t", F.col("doc_id").cast("string"), clean,
         F.when(F.col("relevance") == 1, "true").otherwise("false"),
         sentiment_text(F.col("sentiment")), F.lit("0"), scores,
@@ -108,12 +108,12 @@ def _token_rows(df: DataFrame, tokens: Column, separator: str = " ") -> DataFram
 
 @query
 def normalize_tokens(spark, sf):
-    return _token_rows(tables(spark, sf).documents, nz.normalize_tokens(F.col("text")))
+    return _token_rows(tables(spark, sf).texts, nz.normalize_tokens(F.col("text")))
 
 
 @query
 def raw_tokens(spark, sf):
-    return _token_rows(tables(spark, sf).documents, nz.raw_tokens(F.col("text")))
+    return _token_rows(tables(spark, sf).texts, nz.raw_tokens(F.col("text")))
 
 
 @query
@@ -151,7 +151,7 @@ def clean_sentence(spark, sf):
 
 @query
 def clean_news_lines(spark, sf):
-    lines = tables(spark, sf).documents.select(
+    lines = tables(spark, sf).texts.select(
         "doc_id", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line")
     )
     return lines.withColumn("line", nz.clean_news_line(F.col("line")))
@@ -288,7 +288,7 @@ def corpus_stats(spark, sf):
 @query
 def word_counts_by_class_wide(spark, sf):
     t = tables(spark, sf)
-    docs = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select(
+    docs = t.texts.join(t.labels, "doc_id").select(
         "doc_id", "text", sentiment_text(F.col("sentiment")).alias("class")
     )
     return stats.word_counts_wide(docs, "class", lab.SENTIMENT_NAMES, "doc_id")
@@ -349,7 +349,7 @@ def token_vectors_with_default(spark, sf):
 def word_vector_lookup(spark, sf):
     """Every distinct word form of the raw texts, looked up in lower case."""
     t = tables(spark, sf)
-    words = t.documents.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(
+    words = t.texts.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(
         F.col("word") != "").distinct()
     return wv.word_vector(words, t.word_vectors).select(
         "word", F.size("vector").cast("bigint").alias("dim"), r6(F.get("vector", F.lit(0))).alias("first")
@@ -512,7 +512,7 @@ def assemble_features(spark, sf):
 @query
 def feature_matrix_lines(spark, sf):
     t = tables(spark, sf)
-    return t.documents.select("doc_id", "text").join(t.labels, "doc_id").select(
+    return t.texts.join(t.labels, "doc_id").select(
         "doc_id", writers.feature_line(dense_scores(F.col("text")), F.col("sentiment")).alias("line")
     )
 
@@ -534,7 +534,7 @@ def _votes(docs: DataFrame) -> DataFrame:
 
 @query
 def majority_vote(spark, sf):
-    return _votes(tables(spark, sf).documents.select("doc_id", "text")).select(
+    return _votes(tables(spark, sf).texts).select(
         "doc_id", vec.majority(F.col("votes")).alias("prediction")
     )
 
@@ -555,7 +555,7 @@ def soft_vote(spark, sf):
 def join_predictions(spark, sf):
     """Predictions made elsewhere attached to the labels by key."""
     t = tables(spark, sf)
-    predictions = _votes(t.documents.select("doc_id", "text")).select(
+    predictions = _votes(t.texts).select(
         "doc_id", vec.majority(F.col("votes")).alias("prediction")
     )
     return t.labels.select("doc_id", "sentiment").join(predictions, "doc_id")
@@ -565,7 +565,7 @@ def join_predictions(spark, sf):
 def submission_rows(spark, sf):
     """Both submissions for the unlabelled documents."""
     t = tables(spark, sf)
-    unlabelled = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left_anti")
+    unlabelled = t.texts.join(t.labels, "doc_id", "left_anti")
     voted = _votes(unlabelled)
     by_task = {
         "sentiment": voted.withColumn("prediction", vec.majority(F.col("votes")).cast("double")),

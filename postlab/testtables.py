@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.functions.labels import SENTIMENT_NAMES
 from postlab.functions.normalize import normalize_tokens
+from postlab.functions.stem import stem_german
 from postlab.functions.vectors import as_double
 from postlab.operators import terms
 from postlab.operators.evaluation import center_table
+from postlab.operators.lexicon import number_entries
+from postlab.plans.features import document_features, fit_clusters
 from postlab.session import checkpointed
-from postlab.sources.readers import read_table
+from postlab.sources.readers import read_table, spread
 
 # ---- fixed values: settings of the derived inputs ---------------------------------------------------
 DIM = 64
@@ -65,6 +69,11 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @property
+    def texts(self) -> DataFrame:
+        """(doc_id, text), spread over the cores."""
+        return spread(self.documents.select("doc_id", "text"), "doc_id")
+
     @property
     def embeddings(self) -> DataFrame:
         return self.table("embeddings").select(
@@ -74,7 +83,7 @@ class Tables:
     @property
     def tokens(self) -> DataFrame:
         """(doc_id, tokens) of every document."""
-        return self.documents.select("doc_id", normalize_tokens(F.col("text")).alias("tokens"))
+        return self.texts.select("doc_id", normalize_tokens(F.col("text")).alias("tokens"))
 
     @property
     def labels(self) -> DataFrame:
@@ -92,14 +101,13 @@ class Tables:
             .when(F.col("doc_id") % 5 == 4, "dev").otherwise("train")
         )
         return (
-            self.documents.select("doc_id", "text")
-            .join(self.labels, "doc_id", "left").withColumn("split", split)
+            self.texts.join(self.labels, "doc_id", "left").withColumn("split", split)
         )
 
     @property
     def labelled_tokens(self) -> DataFrame:
         """(doc_id, tokens, relevance, sentiment) of the labelled documents."""
-        return self.documents.select("doc_id", "text").join(self.labels, "doc_id").select(
+        return self.texts.join(self.labels, "doc_id").select(
             "doc_id", normalize_tokens(F.col("text")).alias("tokens"), "relevance", "sentiment"
         )
 
@@ -134,6 +142,35 @@ class Tables:
             .where(F.col("df") >= DICTIONARY_MIN_DF).select("word", F.col("df").alias("n"))
         )
 
+    @cached_property
+    def clusters(self) -> KMeansModel:
+        """K-means on the embeddings."""
+        return fit_clusters(self.embeddings, k=N_CENTERS)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """The feature table of every document with its labels (null if unlabelled), written once."""
+        docs = checkpointed(self.texts.select(
+            "doc_id", normalize_tokens(F.col("text")).alias("tokens"),
+            dense_scores(F.col("text")).alias("scores"),
+        ))
+        blocks = document_features(
+            docs, "doc_id", vectors=self.word_vectors, dim=DIM, lexicon=self.lexicon,
+            dictionary=self.dictionary, words=self.ranked_words.select("word", "n"),
+            stemmer=stem_german, clusters=self.clusters,
+        )
+        return checkpointed(blocks.join(self.labels, "doc_id", "left"))
+
+    @property
+    def labelled_features(self) -> DataFrame:
+        return self.features.where(F.col("relevance").isNotNull())
+
+    @cached_property
+    def lexicon_words(self) -> list[str]:
+        """Lexicon entries in slot order; a list of LEXICON_RANKS entries."""
+        numbered = number_entries(self.lexicon).orderBy("idx")
+        return [row["word"] for row in numbered.select("word").collect()]
+
     @property
     def centers(self) -> Column:
         return center_table(self.embeddings, "label", "vector", DIM)
