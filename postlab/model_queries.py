@@ -23,7 +23,7 @@ from postlab.testtables import N_CENTERS, Tables, tables
 # ---- fixed values: small settings, the defaults of the plans are the full ones --------------------------
 SMALL = {"trees": 5, "depth": 5, "iterations": 20, "hidden": [50], "bucket": 1 << 14}
 COMPONENTS = 10
-WORD_DIM, WORD_MIN_COUNT = 16, 5
+WORD_DIM, WORD_MIN_COUNT, WORD_PARTITIONS = 16, 5, 8
 SEQUENCE = 15
 # ---- end of fixed values ----------------------------------------------------------------------------------
 
@@ -107,7 +107,7 @@ def submit_embeddings_sentiment(spark, sf):
 def _sequence_predictions(t: Tables, task: str) -> DataFrame:
     """Word vectors trained on the corpus, padded sequences, a perceptron on top."""
     docs = checkpointed(t.tokens)
-    vectors = fit_word_vectors(docs, WORD_DIM, WORD_MIN_COUNT, SEED).join(vocabulary(docs), "word")
+    vectors = fit_word_vectors(docs, WORD_DIM, WORD_MIN_COUNT, SEED, partitions=WORD_PARTITIONS).join(vocabulary(docs), "word")
     padded = wv.padded_sequences(docs, checkpointed(vectors), ["doc_id"], SEQUENCE, WORD_DIM)
     blocks = checkpointed(
         padded.select("doc_id", array_to_vector("sequence").alias("sequence"))
@@ -188,7 +188,8 @@ def cluster_features_of_documents(spark, sf):
 
 @query
 def word2vec_vocab(spark, sf):
-    vectors = fit_word_vectors(tables(spark, sf).tokens, WORD_DIM, WORD_MIN_COUNT, SEED)
+    vectors = fit_word_vectors(
+        tables(spark, sf).tokens, WORD_DIM, WORD_MIN_COUNT, SEED, partitions=WORD_PARTITIONS)
     return vectors.select("word", F.size("vector").alias("dim"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.operators.lookup import lookup_join
-from postlab.operators.terms import term_counts
+from postlab.operators.terms import distinct_words, term_counts
 
 # ---- fixed value: tokens of the normaliser that stand for something else ---------------------------
 PLACEHOLDER_PREFIX = "<<<"
@@ -29,7 +29,7 @@ def number_entries(lexicon: DataFrame) -> DataFrame:
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, keys: list[str],
                  tokens: str = "tokens") -> DataFrame:
     """(keys, word, polarity, idx): each entry present in a document, however often it occurs there."""
-    words = docs.select(*keys, F.explode(F.array_distinct(tokens)).alias("word"))
+    words = distinct_words(docs, keys, tokens)
     return words.join(bounded_broadcast(number_entries(lexicon)), "word")
 
 

@@ -11,23 +11,40 @@ from postlab.operators.lookup import lookup_join
 from postlab.operators.position import with_position
 
 
+def _words(docs: DataFrame, tokens: str | Column, keys: list[str], name: str) -> DataFrame:
+    """(keys, name), one row per token.
+
+    Exploded as outer, then without the rows of empty arrays: for an inner explode Catalyst infers a
+    filter on the array's size, moves it below, and there the tokens would be computed a second time.
+    """
+    return docs.select(*keys, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
+
+
 def explode_tokens(docs: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
     """(keys, pos, word), one row per token; ``pos`` counts from 0."""
-    return docs.select(*keys, F.posexplode(tokens).alias("pos", "word"))
+    return docs.select(*keys, F.posexplode_outer(tokens).alias("pos", "word")).where(
+        F.col("word").isNotNull()
+    )
+
+
+def distinct_words(docs: DataFrame, keys: list[str], tokens: str = "tokens",
+                   name: str = "word") -> DataFrame:
+    """(keys, name), one row per distinct token of each document, without a shuffle."""
+    return _words(docs, F.array_distinct(tokens), keys, name)
 
 
 def term_counts(docs: DataFrame, keys: list[str], tokens: str = "tokens",
                 term: str = "term") -> DataFrame:
     """(keys, term, tf). A document sits in one partition, so the map side already does the counting."""
     return (
-        docs.select(*keys, F.explode(tokens).alias(term))
+        _words(docs, tokens, keys, term)
         .groupBy(*keys, term).agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(word, n): every distinct word with its number of occurrences."""
-    return docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(
+    return _words(docs, tokens, [], "word").groupBy("word").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -39,7 +56,7 @@ def ranked_vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def document_frequency(docs: DataFrame, tokens: str = "tokens", term: str = "term") -> DataFrame:
     """(term, df) from the distinct tokens of each row: one shuffle, counted on the map side first."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias(term)).groupBy(term).agg(
+    return distinct_words(docs, [], tokens, term).groupBy(term).agg(
         F.count(F.lit(1)).alias("df")
     )
 
