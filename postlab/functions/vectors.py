@@ -35,8 +35,9 @@ def argmax(vector: Column) -> Column:
 
 
 def one_hot(index: Column, width: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (i == index).cast("double")
+    return F.concat(
+        F.array_repeat(F.lit(0.0), index), F.array(F.lit(1.0)),
+        F.array_repeat(F.lit(0.0), F.lit(width - 1) - index),
     )
 
 

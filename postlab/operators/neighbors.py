@@ -19,8 +19,9 @@ from pyspark.sql.functions import pandas_udf
 
 from postlab.session import checkpointed
 
-BLOCK_ROWS = 256
-MAX_PIVOTS = 64
+BLOCK_ROWS = 512
+MAX_PIVOTS = 256
+TARGETS_PER_PIVOT = 2048
 ARROW_BATCH_BYTES = 64 << 20
 
 
@@ -37,8 +38,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pick_pivots(targets: DataFrame) -> np.ndarray:
-    """At most MAX_PIVOTS target vectors, chosen by the hash of their id."""
-    rows = targets.orderBy(F.md5(F.col("id").cast("string"))).limit(MAX_PIVOTS).collect()
+    """One target vector per TARGETS_PER_PIVOT, at most MAX_PIVOTS, chosen by the hash of their id."""
+    wanted = min(max(targets.count() // TARGETS_PER_PIVOT, 1), MAX_PIVOTS)
+    rows = targets.orderBy(F.md5(F.col("id").cast("string"))).limit(wanted).collect()
     return np.array([row["vector"] for row in rows], dtype="float64")
 
 

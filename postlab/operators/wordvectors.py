@@ -92,6 +92,8 @@ def mean_vectors(docs: DataFrame, vectors: DataFrame, keys: list[str], dim: int,
 
 
 def long_form(df: DataFrame, keys: list[str], vector: str | Column) -> DataFrame:
-    """(keys, dim, value) of an array column."""
+    """(keys, dim, value) of an array column without nulls (outer for the reason given in ``terms``)."""
     column = F.col(vector) if isinstance(vector, str) else vector
-    return df.select(*keys, F.posexplode(column).alias("dim", "value"))
+    return df.select(*keys, F.posexplode_outer(column).alias("dim", "value")).where(
+        F.col("dim").isNotNull()
+    )

@@ -31,7 +31,7 @@ def _normalized(column: str) -> str:
     c = _sub(c, nz.TIME_EXPRESSION, " <<<tokentimeexpression>>> ")
     c = _lit(_lit(c, "s bahn", "sbahn"), "s-bahn", "sbahn")
     c = _lit(c, "-", " ")
-    c = _sub(c, r"(https?://)?[a-z0-9.]+\.[a-z0-9]+(/[a-z0-9_/.?&%=+]*)*", " <<<tokenhyperlink>>> ")
+    c = _sub(c, nz.HYPERLINK, " <<<tokenhyperlink>>> ")
     c = _lit(_lit(c, "#bahn", " <<<tokenbahnhashtag>>> "), "#db", " <<<tokenbahnhashtag>>> ")
     c = _lit(c, "#", "")
     c = _sub(c, "[0-9]+min", " <<<tokentime>>> ")
