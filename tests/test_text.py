@@ -23,7 +23,7 @@ GOLDEN = {
     "wort.. na... http://x a..b": "wort na <<<tokenannoyeddots>>> http <<<tokenhyperlink>>>",
     "line one\nline two": "line oneline two",
     "❤ ☺ :( „ja“": "<<<tokenheart>>> <<<tokenhappysmiley>>> <<<tokensadsmiley>>> <<<tokenquote>>> ja <<<tokenquote>>>",
-    "12 und 7 5min": "<<<tokennumber>>> und <<<tokentimeexpression>>>",
+    "12 und 7 5min": "<<<tokennumber>>> und <<<tokennumber>>> <<<tokentimeexpression>>>",
 }
 
 
