@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlab.functions.normalize import blank_split
 from postlab.operators.position import with_position
+from postlab.session import checkpointed
 
 
 def word_count(text: Column) -> Column:
@@ -15,8 +16,11 @@ def word_count(text: Column) -> Column:
 
 
 def relative_length(docs: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
-    """(keys, n_tokens, relative_length): tokens per mean number of tokens in this dataset."""
-    sizes = docs.select(*keys, F.size(tokens).cast("bigint").alias("n_tokens"))
+    """(keys, n_tokens, relative_length): tokens per mean number of tokens in this dataset.
+
+    The sizes are written first: the mean and the ratio both need them, the tokens are made once.
+    """
+    sizes = checkpointed(docs.select(*keys, F.size(tokens).cast("bigint").alias("n_tokens")))
     mean = sizes.agg(F.avg("n_tokens").alias("m")).scalar()
     return sizes.withColumn("relative_length", F.col("n_tokens") / mean)
 

@@ -71,10 +71,15 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def tfidf(docs: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
-    """(keys, term, tf, idf, tfidf) over the distinct (document, term) pairs."""
-    weights = idf(document_frequency(docs, tokens), row_count(docs))
+def tfidf(docs: DataFrame, keys: list[str], n_docs: Column, tokens: str = "tokens") -> DataFrame:
+    """(keys, term, tf, idf, tfidf) over the distinct (document, term) pairs.
+
+    The document frequency is counted from the term counts. It asks for ``tf`` although every pair has
+    one: with the same columns on both sides of the join Spark shuffles the term counts once and uses
+    them twice, so the text is tokenised once.
+    """
     counts = term_counts(docs, keys, tokens)
+    weights = idf(counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), n_docs)
     joined = lookup_join(counts, weights, "term", "df", ["idf"], [F.col(k) for k in keys])
     return joined.withColumn("tfidf", F.col("tf") * F.col("idf"))
 

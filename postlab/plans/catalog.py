@@ -18,7 +18,7 @@ PLANS: dict[str, Plan] = {
     # predictions for submission
     "submit_embeddings": Plan(("w2v", "dict", "lex")),
     "submit_terms": Plan(("tfidf", "dict"), top=TOP_FEATURES),
-    "submit_linear_text": Plan(("grams",), models=("logreg",)),
+    "submit_linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
     # feature and model comparison
     "compare_terms_dict": Plan(("tfidf", "dict"), top=TOP_FEATURES, models=("gbt", "mlp")),
     "compare_terms": Plan(("tfidf",), top=TOP_FEATURES, models=("gbt", "mlp")),
@@ -27,7 +27,7 @@ PLANS: dict[str, Plan] = {
     "compare_embeddings_dict": Plan(("w2v", "dict"), models=("gbt", "mlp")),
     "compare_embeddings_lex": Plan(("w2v", "lex"), models=("gbt", "mlp")),
     "compare_embeddings_dict_lex": Plan(("w2v", "dict", "lex"), models=("gbt", "mlp")),
-    "compare_linear_text": Plan(("grams",), models=("logreg",)),
+    "compare_linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
     # single studies
     "bare_terms": Plan(("tfidf",), top=TOP_FEATURES, models=("mlp", "gbt", "svc", "logreg")),
     "terms_lexicon_clusters": Plan(
@@ -42,7 +42,7 @@ PLANS: dict[str, Plan] = {
     "embeddings_clusters_spell": Plan(
         ("w2v", "dict", "lex", "km", "spell"), models=("gbt", "logreg"), tasks=("sentiment",), folds=2,
         settings={"depth": 8}),
-    "linear_text": Plan(("grams",), models=("logreg",)),
+    "linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
     "scores_only": Plan(("dict",), models=("mlp",), settings={"hidden": [50]}),
     "matrix_clusters": Plan(("w2v",), ("km",), models=()),
     "matrix_all": Plan(("w2v", "dict", "km"), models=()),

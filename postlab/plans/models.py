@@ -109,7 +109,10 @@ def classifier(kind: str, task: str, width: int, settings: dict) -> Estimator:
         model = LinearSVC(**common, maxIter=settings.get("iterations", 100))
         return OneVsRest(classifier=model, parallelism=TASK_CLASSES[task], **common) if multiclass else model
     if kind == "logreg":
-        return LogisticRegression(**common, maxIter=settings.get("iterations", 100))
+        return LogisticRegression(
+            **common, maxIter=settings.get("iterations", 100),
+            standardization=settings.get("standardize", True),
+        )
     if kind == "mlp":
         return MultilayerPerceptronClassifier(
             **common, layers=[width, *settings.get("hidden", MLP_HIDDEN), TASK_CLASSES[task]],

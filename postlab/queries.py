@@ -196,14 +196,16 @@ def idf_terms(spark, sf):
 @query
 def tfidf_terms(spark, sf):
     t = tables(spark, sf)
-    return terms.tfidf(t.tokens, ["doc_id"]).select("doc_id", "term", "tf", r6(F.col("tfidf")).alias("tfidf"))
+    weighted = terms.tfidf(t.tokens, ["doc_id"], terms.row_count(t.documents))
+    return weighted.select("doc_id", "term", "tf", r6(F.col("tfidf")).alias("tfidf"))
 
 
 @query
 def top_terms_by_class(spark, sf):
     """Per relevance class the terms with the largest TF-IDF sum over the labelled documents."""
-    docs = tables(spark, sf).labelled_tokens
-    weighted = terms.tfidf(docs, ["doc_id", "relevance"])
+    t = tables(spark, sf)
+    n_labelled = terms.row_count(t.documents.select("doc_id").join(t.labels, "doc_id"))
+    weighted = terms.tfidf(t.labelled_tokens, ["doc_id", "relevance"], n_labelled)
     sums = weighted.groupBy("relevance", "term").agg(r6(F.sum("tfidf")).alias("weight"))
     best = Window.partitionBy("relevance").orderBy(F.desc("weight"), F.asc("term"))
     return (
@@ -584,7 +586,7 @@ def bare_text(spark, sf):
     t = tables(spark, sf)
     line = writers.bare_line(nz.normalize_tokens(F.col("text"))).alias("line")
     docs = t.documents.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("key"), line)
-    turns = t.table("conversations").select(
+    turns = readers.spread(t.table("conversations"), "conv_id").select(
         F.lit("conversations").alias("origin"), F.concat_ws("-", "conv_id", "turn").alias("key"), line
     )
     items = t.table("benchmark").select(
