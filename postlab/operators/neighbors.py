@@ -37,9 +37,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _pick_pivots(targets: DataFrame) -> np.ndarray:
+def _pick_pivots(targets: DataFrame, n_targets: int) -> np.ndarray:
     """One target vector per TARGETS_PER_PIVOT, at most MAX_PIVOTS, chosen by the hash of their id."""
-    wanted = min(max(targets.count() // TARGETS_PER_PIVOT, 1), MAX_PIVOTS)
+    wanted = min(max(n_targets // TARGETS_PER_PIVOT, 1), MAX_PIVOTS)
     rows = targets.orderBy(F.md5(F.col("id").cast("string"))).limit(wanted).collect()
     return np.array([row["vector"] for row in rows], dtype="float64")
 
@@ -117,16 +117,23 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
     Both frames are (id bigint, vector array<double>). Ties go to the smaller target id. With
     ``max_distance`` neighbours further away are left out; a distance equal to it still counts.
     """
-    pivots = _pick_pivots(targets)
     spark = queries.sparkSession
     empty = "id bigint, neighbour bigint, rank int, distance double"
-    if len(pivots) == 0:
+    n_targets = targets.count()
+    if n_targets == 0:
         return spark.createDataFrame([], empty)
 
-    q = checkpointed(_assign(queries, pivots))
-    t = checkpointed(_assign(targets, pivots))
-    q_stats, t_stats = _cell_stats(q), _cell_stats(t)
-    pairs = _cell_pairs(q_stats, t_stats, pivots, k, max_distance)
+    if n_targets < 2 * TARGETS_PER_PIVOT:  # one cell: nothing to prune, every query meets every block
+        q, t = [df.select("id", "vector", F.lit(0).alias("cell")) for df in (queries, targets)]
+        n_queries = n_targets if queries is targets else queries.count()
+        q_stats, t_stats = [pd.DataFrame({"cell": [0], "n": [n]}) for n in (n_queries, n_targets)]
+        pairs = pd.DataFrame({"q_cell": [0], "t_cell": [0]})
+    else:
+        pivots = _pick_pivots(targets, n_targets)
+        t = checkpointed(_assign(targets, pivots))
+        q = t if queries is targets else checkpointed(_assign(queries, pivots))
+        q_stats, t_stats = _cell_stats(q), _cell_stats(t)
+        pairs = _cell_pairs(q_stats, t_stats, pivots, k, max_distance)
     if pairs.empty:
         return spark.createDataFrame([], empty)
     pairs = pairs.merge(_block_counts(t_stats), left_on="t_cell", right_on="cell")
