@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.functions.normalize import normalize_tokens
+from postlab.functions.normalize import normalize_tokens, raw_tokens
+from postlab.functions.stem import stem_german
 from postlab.operators import evaluation
 from postlab.operators import wordvectors as wv
-from postlab.operators.terms import vocabulary
+from postlab.operators.terms import stem_tokens, vocabulary
 from postlab.plans import catalog
 from postlab.plans.features import cluster_features, fit_clusters, fit_word_vectors
 from postlab.plans.models import SEQUENCE_HIDDEN, Plan, fit, predict
 from postlab.plans.validation import cross_validate, holdout
 from postlab.queries import FOLDS, SEED, query, r6
 from postlab.session import checkpointed
+from postlab.sources.writers import feature_line
 from postlab.testtables import N_CENTERS, Tables, tables
 
 # ---- fixed values: small settings, the defaults of the plans are the full ones --------------------------
 SMALL = {"trees": 5, "depth": 5, "iterations": 20, "hidden": [50], "bucket": 1 << 14}
-COMPONENTS = 10
+COMPONENTS, COMPONENT_TERMS = 10, 512
 WORD_DIM, WORD_MIN_COUNT, WORD_PARTITIONS = 16, 5, 8
 SEQUENCE = 15
 # ---- end of fixed values ----------------------------------------------------------------------------------
@@ -95,13 +100,62 @@ def terms_lexicon_clusters_relevance(spark, sf):
 
 
 @query
-def submit_embeddings_sentiment(spark, sf):
-    """Submission rows for the unlabelled documents from the embedding and lexicon features."""
+def terms_components_relevance(spark, sf):
+    """Principal components of the term weights with lexicon, scores and spelling."""
+    plan = replace(catalog.PLANS["terms_components"], tf_width=COMPONENT_TERMS, pca=COMPONENTS)
+    return _predictions(tables(spark, sf), plan, "logreg", "relevance")
+
+
+@query
+def embeddings_clusters_sentiment(spark, sf):
+    return _predictions(tables(spark, sf), catalog.PLANS["embeddings_clusters_spell"], "gbt", "sentiment")
+
+
+@query
+def embeddings_logreg_sentiment(spark, sf):
+    return _predictions(tables(spark, sf), catalog.PLANS["embeddings"], "logreg", "sentiment")
+
+
+@query
+def linear_text_raw_sentiment(spark, sf):
+    """The linear text classifier on stems of the uncleaned tokens."""
     t = tables(spark, sf)
-    plan = catalog.with_settings(_EMBEDDED, **SMALL)
+    docs = checkpointed(t.texts.select("doc_id", raw_tokens(F.col("text")).alias("tokens")))
+    stems = checkpointed(
+        stem_tokens(docs, ["doc_id"], stem_german).join(t.labels, "doc_id", "left"))
+    plan = catalog.with_settings(catalog.PLANS["linear_text"], **SMALL)
+    model = fit(stems.where(F.col("sentiment").isNotNull()), plan, "logreg", "sentiment")
+    return stems.select("doc_id", F.col("sentiment").alias("label")).join(predict(model, stems, "doc_id"), "doc_id")
+
+
+def _submission(t: Tables, name: str, task: str) -> DataFrame:
+    """Train on the labelled documents, submission rows for the others."""
+    plan = catalog.with_settings(catalog.PLANS[name], **SMALL)
     test = t.features.where(F.col("relevance").isNull())
     return catalog.submit(
-        t.labelled_features, test, t.texts, plan, "sentiment", "doc_id", lexicon_words=t.lexicon_words)
+        t.labelled_features, test, t.texts, plan, task, "doc_id", lexicon_words=t.lexicon_words)
+
+
+@query
+def submit_embeddings_sentiment(spark, sf):
+    return _submission(tables(spark, sf), "submit_embeddings", "sentiment")
+
+
+@query
+def submit_terms_relevance(spark, sf):
+    return _submission(tables(spark, sf), "submit_terms", "relevance")
+
+
+@query
+def submit_linear_text_sentiment(spark, sf):
+    return _submission(tables(spark, sf), "submit_linear_text", "sentiment")
+
+
+@query
+def cluster_matrix_lines(spark, sf):
+    """Feature matrix lines of mean vector, scores and cluster membership."""
+    parts = [vector_to_array(c) for c in ("w2v", "dict", "km")]
+    return tables(spark, sf).features.select("doc_id", feature_line(F.concat(*parts)).alias("line"))
 
 
 def _sequence_predictions(t: Tables, task: str) -> DataFrame:
@@ -179,7 +233,7 @@ def kmeans_cost(spark, sf):
     return spark.createDataFrame([(float(t.clusters.summary.trainingCost),)], "wssse double")
 
 
-@query
+@partial(query, name="cluster_features")
 def cluster_features_of_documents(spark, sf):
     t = tables(spark, sf)
     scored = cluster_features(t.features.select("doc_id", "w2v"), t.clusters, "w2v", "km")
@@ -211,8 +265,7 @@ def kfold_f1(spark, sf):
 def kfold_paired(spark, sf):
     """Train folds from the train split, validation folds from the dev split."""
     t = tables(spark, sf)
-    splits = t.labelled_features.withColumn("dev", F.col("doc_id") % 5 == 4)
-    train, dev = [splits.where(c).drop("dev") for c in (~F.col("dev"), F.col("dev"))]
+    train, dev = t.labelled_splits
     return cross_validate(
         train, _cv_fits("relevance"), "relevance", "doc_id", 3, SEED, validation=dev, parallelism=3)
 
@@ -233,8 +286,7 @@ def kfold_augmented(spark, sf):
 @query
 def holdout_f1(spark, sf):
     t = tables(spark, sf)
-    splits = t.labelled_features.withColumn("dev", F.col("doc_id") % 5 == 4)
-    train, dev = [splits.where(c).drop("dev") for c in (~F.col("dev"), F.col("dev"))]
+    train, dev = t.labelled_splits
     f1 = holdout(train, dev, _cv_fits("relevance")["logreg"], "relevance")
     return spark.createDataFrame([("logreg", f1)], "param_set string, f1 double")
 

@@ -11,6 +11,8 @@ from postlab.operators.terms import distinct_words, term_counts
 # ---- fixed value: tokens of the normaliser that stand for something else ---------------------------
 PLACEHOLDER_PREFIX = "<<<"
 # ---- end of fixed value ----------------------------------------------------------------------------
+MAX_BROADCAST_ENTRIES = 100_000
+SALTS = 64
 
 
 def number_entries(lexicon: DataFrame) -> DataFrame:
@@ -28,15 +30,18 @@ def number_entries(lexicon: DataFrame) -> DataFrame:
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, keys: list[str],
                  tokens: str = "tokens") -> DataFrame:
-    """(keys, word, polarity, idx): each entry present in a document, however often it occurs there."""
-    words = distinct_words(docs, keys, tokens)
-    return words.join(bounded_broadcast(number_entries(lexicon)), "word")
-
+    """(keys, word, polarity, idx): each entry present in a document, however often it occurs there.
 
-def bounded_broadcast(table: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a reference list after checking its size; a longer one is joined by shuffle."""
-    size = table.limit(max_rows + 1).count()
-    return F.broadcast(table) if size <= max_rows else table
+    A lexicon is a fixed list; it is broadcast after checking its length.
+    """
+    words = distinct_words(docs, keys, tokens)
+    entries = number_entries(lexicon)
+    if entries.limit(MAX_BROADCAST_ENTRIES + 1).count() <= MAX_BROADCAST_ENTRIES:
+        return words.join(F.broadcast(entries), "word")
+    # too long to broadcast: a frequent word is spread over SALTS keys, its entry copied to each
+    salted = words.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    copies = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1))))
+    return salted.join(copies, ["word", "_salt"]).drop("_salt")
 
 
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, keys: list[str],

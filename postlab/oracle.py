@@ -6,10 +6,10 @@ from postlab.functions import normalize as nz
 from postlab.functions import stem as st
 from postlab.queries import (
     BLOCK_TAG, DUMP_END, DUMP_START, FOLDS, LINE_BREAK, MAX_DISTANCE, NEIGHBOURS, SAMPLE_ROWS, SEED,
-    SELECTED_FEATURES, SEQUENCE_LENGTH, TOP_TERMS,
+    SELECTED_FEATURES, SEQUENCE_LENGTH, TARGET_LABELS, TOP_TERMS,
 )
 from postlab.testtables import (
-    DICTIONARY_MIN_DF, DIM, LEXICON_RANKS, N_CENTERS, SCORE_CHARACTERS, SCORE_CLASSES,
+    DICTIONARY_MIN_DF, DIM, LEXICON_RANKS, N_CENTERS, SCORE_CHARACTERS, SCORE_CLASSES, SPLIT_PARTS, SPLIT_SEED,
 )
 
 
@@ -301,7 +301,8 @@ def _md5(key: str) -> str:
 
 
 LEADING_URL = "^(https?|ftp|file)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]"
-SPLIT = "CASE WHEN l.relevance IS NULL THEN 'test' WHEN d.doc_id % 5 = 4 THEN 'dev' ELSE 'train' END"
+SPLIT = f"""CASE WHEN l.relevance IS NULL THEN 'test'
+  WHEN CAST('0x' || left(md5('{SPLIT_SEED}:' || d.doc_id), 8) AS BIGINT) % {SPLIT_PARTS} = 0 THEN 'dev' ELSE 'train' END"""
 CORPUS = f"""corpus AS MATERIALIZED (SELECT d.doc_id, d.text, l.relevance, l.sentiment, {SPLIT} AS split
   FROM documents d LEFT JOIN lab l ON l.doc_id = d.doc_id)"""
 SOFT = ["+".join(f"(n_chars * {i + 1}) % 7" for i in range(10)),
@@ -354,8 +355,8 @@ ORACLE: dict[str, str] = {
     ) + f"""SELECT count(dim) AS n_selected, coalesce(string_agg(CAST(dim + 1 AS VARCHAR), ' ' ORDER BY dim), '') AS selected FROM (
         SELECT dim FROM (SELECT 1 AS dense, lpad(CAST(f AS VARCHAR), 4, '0') AS name, f AS dim, statistic FROM d_chi
           UNION ALL SELECT 0, f, NULL, statistic FROM t_chi) ORDER BY statistic DESC, dense DESC, name LIMIT {SELECTED_FEATURES})""",
-    "stem_german_tokens": _with(TOK, WORDS, VOCABULARY, _german_stem("vocab")) + STEM_ARRAYS,
-    "stem_english_tokens": _with(TOK, WORDS, VOCABULARY, _english_stem("vocab")) + STEM_ARRAYS,
+    "stem_german": _with(TOK, WORDS, VOCABULARY, _german_stem("vocab")) + STEM_ARRAYS,
+    "stem_english": _with(TOK, WORDS, VOCABULARY, _english_stem("vocab")) + STEM_ARRAYS,
     "stem_groups": _with(TOK, WORDS, VOCABULARY, _german_stem("vocab"))
         + "SELECT stem, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n FROM stemmed GROUP BY stem",
     "relative_length": _with(TOK) + """SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens,
@@ -413,12 +414,12 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, neighbour, distance FROM (SELECT vec_id, neighbour, distance,
           row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM (
             SELECT a.vec_id, b.vec_id AS neighbour, {DIST.format(n=DIM, a='a.v', b='b.v')} AS distance
-            FROM emb a CROSS JOIN emb b WHERE b.label % 2 = 0) WHERE distance <= {MAX_DISTANCE}) WHERE rank = 1) n
+            FROM emb a CROSS JOIN emb b WHERE b.label < {TARGET_LABELS}) WHERE distance <= {MAX_DISTANCE}) WHERE rank = 1) n
         ON n.vec_id = a.vec_id""",
     "substitute_words": _with(TOK, WORDS, RANKED, EMB, WV, f"""subs AS MATERIALIZED (SELECT word, substitute FROM (
           SELECT word, substitute, row_number() OVER (PARTITION BY word ORDER BY distance, id) AS rank FROM (
             SELECT a.word, b.word AS substitute, b.id, {DIST.format(n=DIM, a='a.v', b='b.v')} AS distance
-            FROM wv a CROSS JOIN wv b WHERE b.label % 2 = 0) WHERE distance < {MAX_DISTANCE}) WHERE rank = 1)""")
+            FROM wv a CROSS JOIN wv b WHERE b.label < {TARGET_LABELS}) WHERE distance < {MAX_DISTANCE}) WHERE rank = 1)""")
         + """SELECT t.doc_id, coalesce(string_agg(coalesce(s.substitute, w.word), ' ' ORDER BY w.pos), '') AS tokens,
         count(CASE WHEN s.substitute <> w.word THEN 1 END) AS n_replaced
         FROM documents t LEFT JOIN words w ON w.doc_id = t.doc_id LEFT JOIN subs s ON s.word = w.word GROUP BY t.doc_id""",

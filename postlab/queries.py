@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ FOLDS = 5
 SAMPLE_ROWS = 200
 NEIGHBOURS = 5
 MAX_DISTANCE = 4.5
+TARGET_LABELS = 5
 SEQUENCE_LENGTH = 5
 SELECTED_FEATURES = 1000
 TOP_TERMS = 20
@@ -36,8 +38,9 @@ DUMP_START, DUMP_END = "<article", "</article"
 # ---- end of fixed values -----------------------------------------------------------------------------
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+def query(function: Query, name: str | None = None) -> Query:
+    """Register a query under its own name, or under ``name``."""
+    QUERIES[name or function.__name__] = function
     return function
 
 
@@ -252,14 +255,14 @@ def selected_dense_features(spark, sf):
     )
 
 
-@query
+@partial(query, name="stem_german")
 def stem_german_tokens(spark, sf):
     t = tables(spark, sf)
     stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_german, t.ranked_words.select("word", "n"))
     return stems.select("doc_id", F.array_join("stems", " ").alias("stems"))
 
 
-@query
+@partial(query, name="stem_english")
 def stem_english_tokens(spark, sf):
     t = tables(spark, sf)
     stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_english, t.ranked_words.select("word", "n"))
@@ -412,9 +415,9 @@ def knn_exact(spark, sf):
 
 @query
 def closest_within(spark, sf):
-    """For each vector the closest one of an even label within reach, if there is one."""
+    """For each vector the closest one of the first labels within reach, if there is one."""
     points = tables(spark, sf).embeddings.withColumnRenamed("vec_id", "id")
-    found = neighbors.closest_by_criterion(points, points, F.col("label") % 2 == 0, MAX_DISTANCE)
+    found = neighbors.closest_by_criterion(points, points, F.col("label") < TARGET_LABELS, MAX_DISTANCE)
     return found.select(
         F.col("id").alias("vec_id"), "neighbour", r6(F.col("distance")).alias("distance")
     )
@@ -422,10 +425,10 @@ def closest_within(spark, sf):
 
 @query
 def substitute_words(spark, sf):
-    """Tokens replaced by the closest word whose vector has an even label, within reach."""
+    """Tokens replaced by the closest word whose vector has one of the first labels, within reach."""
     t = tables(spark, sf)
     vocabulary = t.word_vectors
-    found = neighbors.substitutions(vocabulary, vocabulary.where(F.col("label") % 2 == 0), MAX_DISTANCE)
+    found = neighbors.substitutions(vocabulary, vocabulary.where(F.col("label") < TARGET_LABELS), MAX_DISTANCE)
     replaced = lookup_substitutes(t.tokens, found)
     return replaced.select(
         "doc_id", F.array_join("tokens", " ").alias("tokens"), "n_replaced"
@@ -586,7 +589,7 @@ def bare_text(spark, sf):
     t = tables(spark, sf)
     line = writers.bare_line(nz.normalize_tokens(F.col("text"))).alias("line")
     docs = t.documents.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("key"), line)
-    turns = readers.spread(t.table("conversations"), "conv_id").select(
+    turns = readers.spread(t.table("conversations"), "conv_id", "turn").select(
         F.lit("conversations").alias("origin"), F.concat_ws("-", "conv_id", "turn").alias("key"), line
     )
     items = t.table("benchmark").select(

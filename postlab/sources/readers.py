@@ -133,14 +133,14 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work when the input comes in fewer partitions than there are cores.
 
     Text rules are heavy on the CPU, and a small file is one partition. Input of many files stays as it
     is: its text is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:

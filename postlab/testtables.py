@@ -13,7 +13,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.functions.labels import SENTIMENT_NAMES
+from postlab.functions.labels import SENTIMENT_NAMES, hash_fold
 from postlab.functions.normalize import normalize_tokens
 from postlab.functions.stem import stem_german
 from postlab.functions.vectors import as_double
@@ -29,6 +29,7 @@ DIM = 64
 N_CENTERS = 10
 LEXICON_RANKS = 50
 DICTIONARY_MIN_DF = 5
+SPLIT_PARTS, SPLIT_SEED = 5, 7
 SCORE_CHARACTERS = [" ", "\n", ".", ",", "!", "?", "-"]
 SCORE_CLASSES = ["[0-9]", "[A-Z]"]
 N_SCORES = 1 + len(SCORE_CHARACTERS) + len(SCORE_CLASSES)
@@ -51,6 +52,11 @@ def sentiment_of(toxic: Column, quality: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).otherwise(2)
 
 
+def in_dev(doc_id: Column) -> Column:
+    """Labelled documents are split by key hash into train and dev."""
+    return hash_fold(doc_id, SPLIT_PARTS, SPLIT_SEED) == 0
+
+
 def sentiment_text(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in SENTIMENT_NAMES]), code + 1)
 
@@ -98,7 +104,7 @@ class Tables:
         """Every document with its labels (null in the test split) and its split."""
         split = (
             F.when(F.col("relevance").isNull(), "test")
-            .when(F.col("doc_id") % 5 == 4, "dev").otherwise("train")
+            .when(in_dev(F.col("doc_id")), "dev").otherwise("train")
         )
         return (
             self.texts.join(self.labels, "doc_id", "left").withColumn("split", split)
@@ -165,6 +171,12 @@ class Tables:
     def labelled_features(self) -> DataFrame:
         return self.features.where(F.col("relevance").isNotNull())
 
+    @property
+    def labelled_splits(self) -> tuple[DataFrame, DataFrame]:
+        """The labelled feature rows of the train and the dev split."""
+        dev = in_dev(F.col("doc_id"))
+        return self.labelled_features.where(~dev), self.labelled_features.where(dev)
+
     @cached_property
     def lexicon_words(self) -> list[str]:
         """Lexicon entries in slot order; a list of LEXICON_RANKS entries."""

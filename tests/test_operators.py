@@ -91,7 +91,9 @@ def words(spark):
         "word string, polarity string, idx int")
 
 
-def test_lexicon(docs, words):
+@pytest.mark.parametrize("broadcast_up_to", [100, 1])
+def test_lexicon(docs, words, monkeypatch, broadcast_up_to):
+    monkeypatch.setattr(lexicon, "MAX_BROADCAST_ENTRIES", broadcast_up_to)
     counts = by_key(lexicon.lexicon_counts(docs, words, ["doc_id"]))
     assert [(counts[i]["positive"], counts[i]["negative"]) for i in (1, 2, 3, 4)] == [(1, 2), (0, 0), (0, 0), (0, 2)]
     found = by_key(lexicon.lexicon_vectors(docs, words, ["doc_id"]))
