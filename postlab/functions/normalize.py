@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlab.functions.binding import apply_where
+
 # ---- fixed values: patterns, replacements and alphabets that decide the tokens -------------------
 TIME_EXPRESSION = r"[0-9]*-?[0-9]+[ \t\n\x0B\f\r]?min((ute)?n?)((ütige)?r?)"
 HYPERLINK = r"(https?://)?([a-z0-9.]+\.[a-z0-9]+(/([a-z0-9_/.?&%=+])*)*)"
@@ -52,6 +54,7 @@ _FAST_TIME = f"(?:{DIGITS}(?:-{DIGITS})?|-{DIGITS})[ \t\n\x0B\f\r]?min(?:ute)?n?
 _FAST_LINK = (
     f"(?:https?://|(?<![a-z{DIGITS}.]))[a-z{DIGITS}.]+\\.[a-z{DIGITS}]+(?:/[a-z{DIGITS}_/.?&%=+]*+)?"
 )
+_LINK_DOT = f"\\.[a-z{DIGITS}]"
 
 
 def _mark(name: str) -> str:
@@ -71,19 +74,28 @@ def normalize_text(text: Column) -> Column:
     No rule looks across a blank, so all rules run on the whole text at once. Digits become one marker
     character first, which turns three digit patterns into plain replacements. A marker character in
     the text itself is swapped for another control character; no rule tells control characters apart.
+    The costly patterns only run on texts that pass a cheap test they cannot match without.
     """
+    def has_digits(t: Column) -> Column:
+        return t.contains(DIGITS)
+
+    def number_words(t: Column) -> Column:
+        t = F.replace(t, F.lit(DIGITS + "min"), F.lit(_mark("time")))
+        t = F.replace(t, F.lit(DIGITS + "€"), F.lit(_mark("moneyamount").lstrip()))
+        return _swap(t, DIGITS, _mark("number"))
+
     c = _swap(F.lower(text), DIGITS, _OTHER_CONTROL)
     c = F.regexp_replace(c, "[0-9]+", DIGITS)
-    c = F.regexp_replace(c, _FAST_TIME, _mark("timeexpression"))
+    c = apply_where(
+        c, has_digits, lambda t: F.regexp_replace(t, _FAST_TIME, _mark("timeexpression")))
     c = F.replace(F.replace(c, F.lit("s bahn"), F.lit("sbahn")), F.lit("s-bahn"), F.lit("sbahn"))
     c = _swap(c, "-", " ")
-    c = F.regexp_replace(c, _FAST_LINK, _mark("hyperlink"))
+    c = apply_where(
+        c, lambda t: t.rlike(_LINK_DOT), lambda t: F.regexp_replace(t, _FAST_LINK, _mark("hyperlink")))
     for tag in ("#bahn", "#db"):
         c = F.replace(c, F.lit(tag), F.lit(_mark("bahnhashtag")))
     c = _swap(c, "#", "")
-    c = F.replace(c, F.lit(DIGITS + "min"), F.lit(_mark("time")))
-    c = F.replace(c, F.lit(DIGITS + "€"), F.lit(_mark("moneyamount").lstrip()))
-    c = _swap(c, DIGITS, _mark("number"))
+    c = apply_where(c, has_digits, number_words)
     c = _swap(c, "&", "und")
     c = F.regexp_replace(c, r"\.{3,}", _mark("annoyeddots"))
     for smiley in (":)", "☺"):

@@ -1,7 +1,7 @@
 """Suffix stemming of single words as column expressions.
 
 Meant for *distinct* words: a corpus is stemmed by joining its tokens with the stemmed vocabulary
-(``postlab.operators.terms``). Every stage binds its input to a name first (``_let``), so the expression
+(``postlab.operators.terms``). Every stage binds its input to a name first (``let``), so the expression
 stays linear in size although a stage mentions its input several times, wherever Catalyst moves it.
 """
 
@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlab.functions.binding import let
+
 # ---- fixed values: German ------------------------------------------------------------------------
 DE_VOWELS = "aeiouyäöü"
 DE_S_ENDING = "bdfghklmnrt"
@@ -52,22 +54,17 @@ EN_STEP_4 = [
 # ---- end of fixed values -------------------------------------------------------------------------
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _chain(word: Column, stages: list[Callable[[Column], Column]]) -> Column:
     if not stages:
         return word
-    return _let(stages[0](word), lambda w: _chain(w, stages[1:]))
+    return let(stages[0](word), lambda w: _chain(w, stages[1:]))
 
 
 def _on_ending(endings, rule: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
     """A stage that looks up the longest of ``endings`` and calls ``rule(word, ending, word cut)``."""
     pattern = f"({'|'.join(endings)})$"
-    return lambda w: _let(
-        F.regexp_extract(w, pattern, 1), lambda e: _let(_cut(w, e), lambda cut: rule(w, e, cut))
+    return lambda w: let(
+        F.regexp_extract(w, pattern, 1), lambda e: let(_cut(w, e), lambda cut: rule(w, e, cut))
     )
 
 
@@ -139,7 +136,7 @@ def stem_german(word: Column) -> Column:
             lambda w: F.translate(w, "UYäöü", "uyaou"),
         ]
 
-    return _let(prepared, lambda w: _let(region(w, 1, 3), lambda p1: _let(
+    return let(prepared, lambda w: let(region(w, 1, 3), lambda p1: let(
         region(w, 2, 0), lambda p2: _chain(w, stages(p1, p2)))))
 
 
@@ -231,12 +228,12 @@ def stem_english(word: Column) -> Column:
 
     def stemmed(w: Column, p1: Column, p2: Column) -> Column:
         no_quote = F.regexp_replace(w, "('s'|'s|')$", "")
-        return _let(no_quote, lambda q: _let(
+        return let(no_quote, lambda q: let(
             _on_ending(["sses", "ied", "ies", "us", "ss", "s"], plural)(q),
             lambda s: F.when(s.isin(EN_STOP_AFTER_PLURAL), s).otherwise(_chain(s, stages(p1, p2))),
         ))
 
-    regular = _let(prepared, lambda w: _let(first_region(w), lambda p1: _let(
+    regular = let(prepared, lambda w: let(first_region(w), lambda p1: let(
         second_region(w, p1), lambda p2: F.translate(stemmed(w, p1, p2), "Y", "y"))))
     return (
         F.when(word.isin(list(EN_WHOLE_WORDS)), F.try_element_at(literal_map(EN_WHOLE_WORDS), word))

@@ -22,7 +22,6 @@ from postlab.session import checkpointed
 BLOCK_ROWS = 512
 MAX_PIVOTS = 256
 TARGETS_PER_PIVOT = 2048
-ARROW_BATCH_BYTES = 64 << 20
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -159,9 +158,8 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
                 })
                 yield found if max_distance is None else found[found["distance"] <= max_distance]
 
-    # a row below holds two blocks, so an Arrow batch is bounded by bytes, not by its usual row count
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    # joined per target block, not per cell: a hot cell is many keys
+    # Joined per target block, not per cell: a hot cell is many keys. A row holds two blocks, about
+    # half a megabyte; Spark bounds an Arrow batch by bytes too, so a batch holds few of them.
     block_pairs = (
         _blocks(q, q_stats, "q")
         .join(F.broadcast(pair_table), "q_cell")
