@@ -1,8 +1,10 @@
-"""Session set-up and the one way this package cuts lineage."""
+"""Session set-up and the two ways this package cuts lineage: checkpoints and stored tables."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, removed when the program ends."""
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses, unless the session is gone."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Unlike a checkpoint, the copy keeps columns apart, so a later reader reads only what it needs.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
