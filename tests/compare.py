@@ -72,7 +72,8 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
     session = build_session(master="local[8]", shuffle_partitions=8,
-                            **{"spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+                            **{"spark.ui.enabled": "false", "spark.driver.memory": "12g",
+                               "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls = entry.oracle_sql()
