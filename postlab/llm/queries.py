@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import exact_dedup
+from postlab.llm import bpe, exact_dedup, mixing, url_filter
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,30 @@ def _query(function: Query) -> Query:
     return function
 
 
+# ---- fixed values: settings of the queries ----------------------------------------------------------------
+RANKS = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+MIX = {"weights": (1, 2, 3), "most": 3, "block": 64, "shard_slots": 4096, "seed": 1}
+# ---- end of fixed values ----------------------------------------------------------------------------------
+
+
+# ---- 2: byte-level BPE ------------------------------------------------------------------------------------
+
+@_query
+def op2_bpe(spark, sf):
+    """Token ids of every whole text, and the bytes decoded from them, as digests."""
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    tokens = bpe.encode(read_table(spark, sf, "documents"), ranks, pattern)
+    decoded = bpe.decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), ranks, pattern)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # ---- 3: exact duplicates ---------------------------------------------------------------------------------
 
 @_query
@@ -36,3 +61,116 @@ LLM_ORACLE["op3_exact_dedup"] = """
            sha256(coalesce(text, '')) AS text_sha256
     FROM documents
 """
+
+
+# ---- 6: url filters --------------------------------------------------------------------------------------
+
+@_query
+def op6_url_filter(spark, sf):
+    """Host, path, deciding rule and verdict of every page's url."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES).select("page_id", "judged.*")
+
+
+LLM_ORACLE["op6_url_filter"] = r"""
+    WITH cut AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages
+    ), split AS (
+        SELECT page_id,
+               translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM cut
+    ), judged AS (
+        SELECT page_id, host, path, '.' || host AS dotted,
+               CASE WHEN dotted LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                    WHEN dotted LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+                    WHEN dotted LIKE '%.com' AND starts_with(path, '/') THEN 'com/'
+                    WHEN dotted LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+                    WHEN dotted LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule
+        FROM split
+    )
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+    FROM judged
+"""
+
+
+# ---- 7: mixing sources -------------------------------------------------------------------------------------
+
+@_query
+def op7_mixing(spark, sf):
+    """Words that a mix of all sources takes from every document."""
+    mix = mixing.Mix(mixing.word_sizes(read_table(spark, sf, "documents")), **MIX)
+    return mix.per_row().select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _mixed_sql(x: str, salt: str) -> str:
+    """``mixing.mixed`` as SQL: its steps nested in one-row subqueries."""
+    p = mixing.PRIME
+    a = f"((({x}) + ({salt}) * 1000003) % {p} + {p}) % {p}"
+    return (f"(SELECT (d * d + c) % {p} FROM (SELECT c, (c * 69621 + 7) % {p} AS d FROM (SELECT (b * b + a) % {p} AS c "
+            f"FROM (SELECT a, (a * 48271 + 11) % {p} AS b FROM (SELECT {a} AS a)))))")
+
+
+_SHIFT = f"(salt * {mixing.ROUNDS} + r)"
+_MIRROR = f"({_mixed_sql(_SHIFT, '1')} * {mixing.PRIME} + {_mixed_sql(_SHIFT, '2')} - pos) % n_blocks"
+LLM_ORACLE["op7_mixing"] = f"""
+    WITH RECURSIVE sizes AS (
+        SELECT doc_id, source,
+               coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+        FROM documents
+    ), totals AS (
+        SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
+    ), numbered AS (
+        SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM totals
+    ), weighed AS (
+        SELECT *, (src - 1) % 3 + 1 AS weight, source_size * {MIX['most']} AS top FROM numbered
+    ), shares AS (
+        SELECT *, ((SELECT sum(source_size) FROM weighed)
+                   - coalesce(sum(top) OVER (ORDER BY top / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  )::DOUBLE / sum(weight) OVER (ORDER BY top / weight, src
+                                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+        FROM weighed
+    ), sources AS (
+        SELECT src, source, source_size, target,
+               CAST(ceil(source_size / {MIX['block']}) AS BIGINT) AS n_blocks,
+               CAST(CASE WHEN source_size > 0
+                    THEN round(ceil(source_size / {MIX['block']}) * target / source_size) ELSE 0 END AS BIGINT) AS n_slots
+        FROM (SELECT *, least(top::DOUBLE, weight * (
+                  SELECT arg_min(share, top / weight) FROM shares WHERE share * weight <= top)) AS target FROM shares)
+    ), groups AS (
+        SELECT greatest(1, CAST(ceil(count(*) / {mixing.GROUP_ROWS}) AS BIGINT)) AS n_groups,
+               greatest(1, CAST(ceil(sum(size) / ({MIX['block']} * {MIX['shard_slots']})) AS BIGINT)) AS n_shards
+        FROM sizes
+    ), placed AS (
+        SELECT s.src, d.doc_id, d.size,
+               coalesce(sum(d.size) OVER (
+                   PARTITION BY s.src ORDER BY {_mixed_sql('d.doc_id', str(MIX['seed'] + 3))} % n_groups, d.doc_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+        FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source, groups
+        WHERE d.size > 0
+    ), pieces AS (
+        SELECT src, doc_id, block, least(pos + size, (block + 1) * {MIX['block']}) - greatest(pos, block * {MIX['block']}) AS n
+        FROM (SELECT *, unnest(generate_series(pos // {MIX['block']}, (pos + size - 1) // {MIX['block']})) AS block FROM placed)
+    ), thrown AS (
+        SELECT src, n_blocks, {_mixed_sql('j', f"(src * 7 + {MIX['seed']})")} % n_shards AS shard, j
+        FROM (SELECT src, n_blocks, unnest(generate_series(0, n_slots - 1)) AS j FROM sources WHERE n_slots > 0), groups
+    ), slots AS (
+        SELECT src, n_blocks, row_number() OVER (PARTITION BY src ORDER BY shard, j) - 1 AS j FROM thrown
+    ), turned AS (
+        SELECT src, n_blocks, j % n_blocks AS pos, src * 1009 + (j // n_blocks) * 31 + {MIX['seed']} AS salt, 0 AS r FROM slots
+        UNION ALL
+        SELECT src, n_blocks,
+               CASE WHEN {_mixed_sql('greatest(pos, mirror)', _SHIFT)} % 2 = 1 THEN mirror ELSE pos END, salt, r + 1
+        FROM (SELECT *, ({_MIRROR} + n_blocks) % n_blocks AS mirror FROM turned WHERE r < {mixing.ROUNDS})
+    ), uses AS (
+        SELECT src, pos AS block, count(*) AS times FROM turned WHERE r = {mixing.ROUNDS} GROUP BY ALL
+    ), sums AS (
+        SELECT doc_id, sum(n * times)::BIGINT AS taken FROM pieces JOIN uses USING (src, block) GROUP BY doc_id
+    )
+    SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(t.taken, 0) AS taken
+    FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN sums t ON t.doc_id = d.doc_id
+"""
