@@ -26,9 +26,10 @@ from postlab.session import stored
 WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 PRIME = 2147483647
+FACTORS = (1103515245, 1013904223, 69621)
 # ---- end of fixed values ----------------------------------------------------------------------------------
-#: The table of sources is broadcast and numbered in one task, so its size is bounded.
-MAX_SOURCES = 100_000
+#: The table of sources, with the keys of its permutations, is broadcast and numbered in one task, so its size is bounded.
+MAX_SOURCES = 20_000
 #: Entries of a running sum that one task adds up, and slots that one row stands for before they are dealt out.
 FAN = 1024
 #: Documents of a source that share a running sum, on average over all sources.
@@ -38,21 +39,29 @@ ROUNDS = 20
 
 def mixed(x: Column, salt: Column) -> Column:
     """A pseudorandom number from 0 to ``PRIME`` - 1. Plain arithmetic, so any SQL engine gives the same."""
-    a = F.pmod(x + salt * 1000003, F.lit(PRIME))
-    b = (a * 48271 + 11) % PRIME
-    c = (b * b + a) % PRIME
-    d = (c * 69621 + 7) % PRIME
-    return (d * d + c) % PRIME
+    first = F.pmod(x + salt * 1000003, F.lit(PRIME)).cast("bigint")
+    return F.aggregate(
+        F.array(*[F.lit(k).cast("bigint") for k in FACTORS]), first, lambda y, k: (y * y + k * y + 11) % PRIME)
 
 
-def permuted(x: Column, size: Column, salt: Column, rounds: int = ROUNDS) -> Column:
+def round_keys(size: Column, salt: Column, rounds: int = ROUNDS) -> Column:
+    """What the rounds of a permutation of 0 … size - 1 need: per round the sum of mirror images and a number."""
+    def key(r: Column) -> Column:
+        number = mixed(r, salt)
+        return F.struct(
+            F.pmod(number * PRIME + mixed(r + rounds, salt), size).alias("sum"), number.alias("number"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), key)
+
+
+def permuted(x: Column, size: Column, keys: Column) -> Column:
     """A permutation of 0 … size - 1, by swap-or-not rounds: x meets its mirror image, one bit decides for both."""
-    def turn(at: Column, r: Column) -> Column:
-        shift = salt * rounds + r
-        mirror = F.pmod(mixed(shift, F.lit(1)) * PRIME + mixed(shift, F.lit(2)) - at, size)
-        return F.when(mixed(F.greatest(at, mirror), shift) % 2 == 1, mirror).otherwise(at)
+    def turn(at: Column, key: Column) -> Column:
+        mirror = F.pmod(key["sum"] - at, size)
+        spread = (F.greatest(at, mirror) % PRIME * FACTORS[0] + key["number"]) % PRIME
+        return F.when(spread * spread % PRIME % 2 == 1, mirror).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), x.cast("bigint"), turn)
+    return F.aggregate(keys, x.cast("bigint"), turn)
 
 
 def starts(totals: DataFrame, keys: list[str], index: str, value: str, size: int) -> DataFrame:
@@ -141,15 +150,19 @@ class Mix:
 
     @property
     def slots(self) -> DataFrame:
-        """(shard, src, j, block): the block index of each slot; j numbers a source's slots through the shards."""
+        """(shard, src, j, turn, block): the block index of each slot; j numbers a source's slots through the shards."""
         placed = starts(self.counts, ["src"], "shard", "n", self.n_shards)
         numbered = placed.select("shard", "src", F.explode(
             F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("j"))
         n = F.col("n_blocks")
-        turn = F.floor(F.col("j") / n)
-        return numbered.join(F.broadcast(self.sources.select("src", "n_blocks")), "src").select(
-            "shard", "src", "j",
-            permuted(F.col("j") % n, n, F.col("src") * 1009 + turn * 31 + self.seed).alias("block"))
+        turns = self.sources.where("n_slots > 0").withColumn("turn", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_slots") - 1) / n))))
+        keys = round_keys(n, F.col("src") * 1009 + F.col("turn") * 31 + self.seed)
+        passes = F.broadcast(turns.select("src", "n_blocks", "n_slots", "turn", keys.alias("keys")))
+        return numbered.join(F.broadcast(self.sources.select("src", "n_blocks")), "src").withColumn(
+            "turn", F.floor(F.col("j") / n)
+        ).drop("n_blocks").join(passes, ["src", "turn"]).select(
+            "shard", "src", "j", "turn", permuted(F.col("j") % n, n, F.col("keys")).alias("block"))
 
     @property
     def pieces(self) -> DataFrame:
@@ -176,7 +189,7 @@ class Mix:
 
     @property
     def taken(self) -> DataFrame:
-        """(shard, src, j, block, row, id, first, n_words): the pieces of the block in each slot."""
+        """(shard, src, j, turn, block, row, id, first, n_words): the pieces of the block in each slot."""
         return self.slots.join(self.pieces, ["src", "block"])
 
     def per_row(self) -> DataFrame:
@@ -201,10 +214,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc").getField(id_col).alias("id"), text.alias("text"),
         F.col("doc").getField(source_col).alias("source"), "tag")
     mix = Mix(word_sizes(named, "id", "text", "source", F.col("tag")), **settings)
-    turn = F.floor(F.col("j") / F.col("n_blocks"))
-    used = mix.taken.join(F.broadcast(mix.sources.select("src", "n_blocks")), "src").groupBy(
-        F.col("row").alias("tag"), turn.alias("turn")
-    ).agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("parts"))
+    used = mix.taken.groupBy(F.col("row").alias("tag"), "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("parts"))
     words = F.regexp_extract_all(text, F.lit(SPACED_WORD), 0)
     cut = F.array_join(F.flatten(F.transform(
         "parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n_words"].cast("int")))), "")

@@ -110,13 +110,12 @@ def op7_mixing(spark, sf):
 def _mixed_sql(x: str, salt: str) -> str:
     """``mixing.mixed`` as SQL: its steps nested in one-row subqueries."""
     p = mixing.PRIME
-    a = f"((({x}) + ({salt}) * 1000003) % {p} + {p}) % {p}"
-    return (f"(SELECT (d * d + c) % {p} FROM (SELECT c, (c * 69621 + 7) % {p} AS d FROM (SELECT (b * b + a) % {p} AS c "
-            f"FROM (SELECT a, (a * 48271 + 11) % {p} AS b FROM (SELECT {a} AS a)))))")
+    y = f"(SELECT ((({x}) + ({salt}) * 1000003) % {p} + {p}) % {p} AS y)"
+    for k in mixing.FACTORS:
+        y = f"(SELECT (y * y + {k} * y + 11) % {p} AS y FROM {y})"
+    return f"(SELECT y FROM {y})"
 
 
-_SHIFT = f"(salt * {mixing.ROUNDS} + r)"
-_MIRROR = f"({_mixed_sql(_SHIFT, '1')} * {mixing.PRIME} + {_mixed_sql(_SHIFT, '2')} - pos) % n_blocks"
 LLM_ORACLE["op7_mixing"] = f"""
     WITH RECURSIVE sizes AS (
         SELECT doc_id, source,
@@ -160,12 +159,17 @@ LLM_ORACLE["op7_mixing"] = f"""
         FROM (SELECT src, n_blocks, unnest(generate_series(0, n_slots - 1)) AS j FROM sources WHERE n_slots > 0), groups
     ), slots AS (
         SELECT src, n_blocks, row_number() OVER (PARTITION BY src ORDER BY shard, j) - 1 AS j FROM thrown
+    ), rounds AS (
+        SELECT src, turn, n_blocks, r, {_mixed_sql('r', 'salt')} AS number, {_mixed_sql(f'r + {mixing.ROUNDS}', 'salt')} AS other
+        FROM (SELECT src, turn, n_blocks, src * 1009 + turn * 31 + {MIX['seed']} AS salt, unnest(range({mixing.ROUNDS})) AS r
+              FROM (SELECT *, unnest(range({MIX['most']})) AS turn FROM sources WHERE n_blocks > 0))
     ), turned AS (
-        SELECT src, n_blocks, j % n_blocks AS pos, src * 1009 + (j // n_blocks) * 31 + {MIX['seed']} AS salt, 0 AS r FROM slots
+        SELECT src, j % n_blocks AS pos, j // n_blocks AS turn, 0::BIGINT AS r FROM slots
         UNION ALL
-        SELECT src, n_blocks,
-               CASE WHEN {_mixed_sql('greatest(pos, mirror)', _SHIFT)} % 2 = 1 THEN mirror ELSE pos END, salt, r + 1
-        FROM (SELECT *, ({_MIRROR} + n_blocks) % n_blocks AS mirror FROM turned WHERE r < {mixing.ROUNDS})
+        SELECT src, CASE WHEN spread * spread % {mixing.PRIME} % 2 = 1 THEN mirror ELSE pos END, turn, r + 1
+        FROM (SELECT *, (greatest(pos, mirror) % {mixing.PRIME} * {mixing.FACTORS[0]} + number) % {mixing.PRIME} AS spread
+              FROM (SELECT t.*, number, ((number * {mixing.PRIME} + other) % n_blocks - pos + n_blocks) % n_blocks AS mirror
+                    FROM turned t JOIN rounds k ON k.src = t.src AND k.turn = t.turn AND k.r = t.r))
     ), uses AS (
         SELECT src, pos AS block, count(*) AS times FROM turned WHERE r = {mixing.ROUNDS} GROUP BY ALL
     ), sums AS (
