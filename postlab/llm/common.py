@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,3 +26,52 @@ def _lengths(values: pa.Array) -> np.ndarray:
 
     found = pc.binary_length(values)
     return np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+
+
+def codes(text: str) -> np.ndarray:
+    """Code points of a lower-cased text."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which code points of the basic plane are letters."""
+    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+
+def words_only(points: np.ndarray) -> np.ndarray:
+    """Letters with one blank for each run of other characters; beyond the basic plane all count as letters."""
+    table = _letters()
+    letter = table[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, np.uint32(32))[keep]
+
+
+def grams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Hashed buckets (0 … 2**bits - 1) of all n-grams of code points, repeats included."""
+    found = []
+    for n in orders:
+        count = len(points) - n + 1
+        if count <= 0:
+            continue
+        hashed = np.full(count, n, dtype=np.uint32)
+        for k in range(n):
+            hashed ^= points[k:k + count]
+            hashed *= np.uint32(0x9E3779B1)
+        hashed ^= hashed >> np.uint32(15)
+        hashed *= np.uint32(0x85EBCA6B)
+        found.append(hashed >> np.uint32(32 - bits))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
+
+
+class Distinct:
+    """Distinct buckets of an array without sorting; keeps one table of 2**bits entries."""
+
+    def __init__(self, bits: int):
+        self.last = np.zeros(1 << bits, dtype=np.int64)
+
+    def __call__(self, buckets: np.ndarray) -> np.ndarray:
+        at = np.arange(len(buckets))
+        self.last[buckets] = at  # the last position of a bucket stays
+        return buckets[self.last[buckets] == at]

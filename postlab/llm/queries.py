@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, exact_dedup, mixing, url_filter
+from postlab.llm import bpe, exact_dedup, langid, mixing, toxicity, url_filter, warc
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,36 @@ MIX = {"weights": (1, 2, 3), "most": 3, "block": 64, "shard_slots": 4096, "seed"
 # ---- end of fixed values ----------------------------------------------------------------------------------
 
 
+# ---- 1: WARC ------------------------------------------------------------------------------------------------
+
+@_query
+def op1_warc(spark, sf):
+    """All pages written as WARC records in seekable bundles, and what the records say when read back."""
+    pages = read_table(spark, sf, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = warc.read_records(*warc.write_archives(pages), with_payload=False)
+    return records.select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+LLM_ORACLE["op1_warc"] = """
+    WITH hashed AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+    ), digits AS (
+        SELECT page_id, html, hex, min(page_id) OVER (PARTITION BY html) AS first FROM hashed
+    )
+    SELECT page_id, strlen(html) AS payload_bytes,
+           array_to_string([substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (('0x' || substr(hex, 5 * (d // 4) + 1, 5))::BIGINT >> (15 - 5 * (d % 4))) % 32 + 1, 1)
+               FOR d IN range(32)], '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM digits
+"""
+
+
 # ---- 2: byte-level BPE ------------------------------------------------------------------------------------
 
 @_query
@@ -178,3 +208,27 @@ LLM_ORACLE["op7_mixing"] = f"""
     SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(t.taken, 0) AS taken
     FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN sums t ON t.doc_id = d.doc_id
 """
+
+
+# ---- 8: toxicity -------------------------------------------------------------------------------------------
+
+def _remainder(parts: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@_query
+def op8_toxicity(spark, sf):
+    """Toxicity of every text; rows of remainder 0 are held out of the fit."""
+    docs, held = read_table(spark, sf, "documents").select("doc_id", "text"), _remainder(5) == 0
+    model = toxicity.fit(docs.where(~held), read_table(spark, sf, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+# ---- 9: language ---------------------------------------------------------------------------------------------
+
+@_query
+def op9_language(spark, sf):
+    """Language of every text; rows of remainder 2 are held out of the fit."""
+    docs, held = read_table(spark, sf, "documents").select("doc_id", "text", "lang"), _remainder(4) == 2
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
