@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, exact_dedup, langid, mixing, toxicity, url_filter, warc
+from postlab.llm import bpe, exact_dedup, hamming, langid, mixing, toxicity, url_filter, warc
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ URL_RULES = [
     url_filter.Rule("net", "/es/", "block"),
     url_filter.Rule("net", "/fr/", "block"),
 ]
+TOP_K = 10
 MIX = {"weights": (1, 2, 3), "most": 3, "block": 64, "shard_slots": 4096, "seed": 1}
 # ---- end of fixed values ----------------------------------------------------------------------------------
 
@@ -232,3 +233,27 @@ def op9_language(spark, sf):
     docs, held = read_table(spark, sf, "documents").select("doc_id", "text", "lang"), _remainder(4) == 2
     model = langid.fit(docs.where(~held))
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# ---- 10: nearest binary codes ----------------------------------------------------------------------------------
+
+@_query
+def op10_hamming_topk(spark, sf):
+    """The nearest sign codes of every embedding whose id is divisible by 50."""
+    vectors = read_table(spark, sf, "embeddings")
+    found = hamming.top_k(vectors, F.col("vec_id") % 50 == 0, TOP_K)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+LLM_ORACLE["op10_hamming_topk"] = f"""
+    WITH codes AS (
+        SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << (i - 1) ELSE 0::UBIGINT END
+                                 FOR i IN range(1, 65)])::UBIGINT AS code
+        FROM embeddings
+    ), ranked AS (
+        SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id)::INTEGER AS rank
+        FROM codes q, codes c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    )
+    SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= {TOP_K}
+"""
