@@ -28,6 +28,70 @@ def _lengths(values: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(found, 0)).astype(np.int64)
 
 
+# ---- words of whole batches -----------------------------------------------------------------------------------
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers, one to one (the finishing step of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _byte_values(lower: bool) -> np.ndarray:
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+    if lower:
+        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
+    return values
+
+
+class Words:
+    """The words (runs of bytes other than blank and \\x09-\\x0D) of a batch of texts, with 64-bit hashes.
+
+    ``first`` has, per text, the number of its first word, and at the end the number of all words. ``begin`` and
+    ``end`` are byte positions in ``data``. With ``lower``, A-Z count as a-z. A null text has no words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        whole = texts.buffers()[2]
+        self.data = np.frombuffer(whole, dtype=np.uint8)[bounds[0]:bounds[-1]] if whole else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
+        solid = ~_SPACE[self.data]
+        opens = np.zeros(len(self.data) + 1, dtype=bool)
+        opens[bounds] = True
+        before = np.concatenate([[True], ~solid])
+        self.begin = np.flatnonzero(solid & (before[:-1] | opens[:-1]))
+        self.end = np.flatnonzero(solid & (np.concatenate([before[1:], [True]])[1:] | opens[1:])) + 1
+        self.first = np.searchsorted(self.begin, bounds)
+        length = self.end - self.begin
+        if len(length):
+            starts = np.concatenate([[0], np.cumsum(length)[:-1]])
+            place = np.arange(length.sum()) - np.repeat(starts, length)
+            power = np.cumprod(np.full(length.max(), _BASE))
+            value = _byte_values(lower)[self.data[solid]] * power[place]
+            self.hash = mix64(np.add.reduceat(value, starts) + length.astype(np.uint64))
+        else:
+            self.hash = np.zeros(0, dtype=np.uint64)
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hashes of the ``n`` words from each word on, over the whole batch; a window may run into the next text."""
+        count = max(0, len(self.hash) - n + 1)
+        total = np.zeros(count, dtype=np.uint64)
+        for k in range(n):
+            total = (total + self.hash[k:k + count]) * _BASE
+            total ^= total >> np.uint64(29)
+        return mix64(total)
+
+
 def codes(text: str) -> np.ndarray:
     """Code points of a lower-cased text."""
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")

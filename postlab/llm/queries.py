@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, exact_dedup, hamming, langid, mixing, toxicity, url_filter, warc
+from postlab.llm import bpe, exact_dedup, hamming, jaccard_join, langid, mixing, toxicity, url_filter, warc
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,14 @@ LLM_ORACLE["op3_exact_dedup"] = """
 """
 
 
+# ---- 4: Jaccard join -----------------------------------------------------------------------------------------
+
+@_query
+def op4_jaccard_join(spark, sf):
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 85 % or more."""
+    return jaccard_join.similar_documents(read_table(spark, sf, "documents"), n=4, percent=85)
+
+
 # ---- 6: url filters --------------------------------------------------------------------------------------
 
 @_query
