@@ -82,12 +82,15 @@ class Words:
         else:
             self.hash = np.zeros(0, dtype=np.uint64)
 
-    def windows(self, n: int) -> np.ndarray:
-        """Hashes of the ``n`` words from each word on, over the whole batch; a window may run into the next text."""
+    def windows(self, n: int, base: np.uint64 = _BASE) -> np.ndarray:
+        """Hashes of the ``n`` words from each word on, over the whole batch; a window may run into the next text.
+
+        Another odd ``base`` gives another, independent hash.
+        """
         count = max(0, len(self.hash) - n + 1)
         total = np.zeros(count, dtype=np.uint64)
         for k in range(n):
-            total = (total + self.hash[k:k + count]) * _BASE
+            total = (total + self.hash[k:k + count]) * base
             total ^= total >> np.uint64(29)
         return mix64(total)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, exact_dedup, hamming, jaccard_join, langid, mixing, toxicity, url_filter, warc
+from postlab.llm import bpe, exact_dedup, hamming, jaccard_join, langid, mixing, substring_dedup, toxicity, url_filter, warc
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,15 @@ def op4_jaccard_join(spark, sf):
     return jaccard_join.similar_documents(read_table(spark, sf, "documents"), n=4, percent=85)
 
 
+# ---- 5: repeated passages --------------------------------------------------------------------------------------
+
+@_query
+def op5_substring_dedup(spark, sf):
+    """Every document without the words of passages of 20 words that occur earlier."""
+    found = substring_dedup.remove_repeats(read_table(spark, sf, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 # ---- 6: url filters --------------------------------------------------------------------------------------
 
 @_query
