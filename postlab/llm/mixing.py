@@ -35,6 +35,8 @@ FAN = 1024
 #: Documents of a source that share a running sum, on average over all sources.
 GROUP_ROWS = 64
 ROUNDS = 20
+#: Slots of a task that permutes them.
+PART_SLOTS = 1 << 17
 
 
 def mixed(x: Column, salt: Column) -> Column:
@@ -127,6 +129,7 @@ class Mix:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         self.n_groups = max(1, -(-(found[2] or 0) // GROUP_ROWS))
         self.n_shards = max(1, -(-(found[1] or 0) // (block * shard_slots)))
+        self.n_parts = max(sizes.sparkSession.sparkContext.defaultParallelism, (found[1] or 0) // (block * PART_SLOTS))
         n_blocks = F.ceil(F.col("source_size") / block)
         # blocks hold source_size / n_blocks words on average
         n_slots = F.when(F.col("source_size") > 0, F.round(n_blocks * F.col("target") / F.col("source_size"))).otherwise(0)
@@ -152,7 +155,9 @@ class Mix:
     def slots(self) -> DataFrame:
         """(shard, src, j, turn, block): the block index of each slot; j numbers a source's slots through the shards."""
         placed = starts(self.counts, ["src"], "shard", "n", self.n_shards)
-        numbered = placed.select("shard", "src", F.explode(
+        # the rows are few until they are exploded: without a number of partitions they would meet in one task
+        spread = placed.repartition(self.n_parts, "src", "shard")
+        numbered = spread.select("shard", "src", F.explode(
             F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("j"))
         n = F.col("n_blocks")
         turns = self.sources.where("n_slots > 0").withColumn("turn", F.explode(
