@@ -69,8 +69,8 @@ def _rank_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           part_chars: int = PART_CHARS) -> DataFrame:
-    """One row per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit integers).
+           part_chars: int = PART_CHARS, keep_text: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit integers), and text if kept.
 
     Special tokens are not used: their strings are ordinary text. A null text has no tokens.
     """
@@ -82,21 +82,22 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         for batch in text_slices(batches, 1):
             ids = [encode_text(coder, text, part_chars) for text in batch.column(1).to_pylist()]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), counts, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+            columns = [batch.column(0), counts, pa.array(ids, pa.binary()), *batch.columns[1:1 + keep_text]]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids", "text"][:len(columns)])
 
     kind = chosen.schema[0].dataType.simpleString()
-    return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
+    return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary" + ", text string" * keep_text)
 
 
-def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", result: str = "decoded") -> DataFrame:
-    """Replace the packed ids by the bytes they stand for, in a binary column ``result``.
+def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", result: str = "decoded",
+           keep_ids: bool = False) -> DataFrame:
+    """Replace the packed ids by the bytes they stand for, in a binary column ``result``, or add it if ids are kept.
 
     The bytes need not be UTF-8: ids may cut a character. Null ids give no bytes; an unknown id is an error.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(_rank_bytes(rank_path))
-    others = [c for c in tokens.columns if c not in (ids_col, result)]
-    chosen = tokens.select(F.col(ids_col), *others)
+    others = [c for c in tokens.columns if c != result and (keep_ids or c != ids_col)]
+    chosen = tokens.select(F.col(ids_col).alias("_packed"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value, pattern)
@@ -108,5 +109,5 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids"
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(found, pa.binary())], names=[*others, result])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != ids_col]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_packed"]
     return chosen.mapInArrow(run, ", ".join([*kept, f"`{result}` binary"]))

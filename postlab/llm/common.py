@@ -7,6 +7,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from postlab.operators.position import with_position
+from postlab.session import stored
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -142,3 +147,26 @@ class Distinct:
         at = np.arange(len(buckets))
         self.last[buckets] = at  # the last position of a bucket stays
         return buckets[self.last[buckets] == at]
+
+
+# ---- rows of their own ----------------------------------------------------------------------------------------
+
+ROW = "_row_number"
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a number of its own for each row in ``ROW``, in the order of the identifiers.
+
+    Identifiers that are whole numbers, present and unique are the numbers. Otherwise rows are numbered by
+    identifier, null last; rows that share one follow by a hash of their text.
+    """
+    kind = docs.schema[id_col].dataType.typeName()
+    ids = docs.select(F.col(id_col).alias("id"))
+    odd = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1")
+    if kind in ("byte", "short", "integer", "long") and odd.isEmpty():
+        return docs.withColumn(ROW, F.col(id_col).cast("bigint"))
+    tagged = stored(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
+    order = [F.col("id").asc_nulls_last(), F.col("hash"), F.col("_tag")]
+    numbers = with_position(tagged.select(
+        F.col(id_col).alias("id"), "_tag", F.sha2(F.col(text_col), 256).alias("hash")), order, name=ROW)
+    return tagged.join(numbers.select("_tag", ROW), "_tag").drop("_tag")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.llm.common import Words, mix64, text_slices
+from postlab.llm.common import ROW, Words, mix64, numbered, text_slices
 from postlab.llm.components import components
 from postlab.session import stored
 
@@ -431,3 +431,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linkable.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
+                 **sizes: int) -> DataFrame:
+    """The rows of ``docs`` with all their columns, but of each component only the one of the smallest identifier.
+
+    Rows that share an identifier are told apart by their texts.
+    """
+    # one struct column, so that names in ``docs`` cannot clash with others
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    rows = numbered(docs.select(whole, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    kept = similar_documents(rows, ROW, "text", n, percent, **sizes).where(F.col(ROW) == F.col("component_id"))
+    return rows.select(ROW, "doc").join(kept.select(ROW), ROW, "left_semi").select("doc.*")

@@ -117,6 +117,22 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         np.array([next(row["least"] for row in found if row["lang"] == lang) for lang in languages]), idf)
 
 
+def _judge(m: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text; None is a text without a letter."""
+    lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    known = [i for i, text in enumerate(texts) if text is not None and m.languages]
+    for start in range(0, len(known), 256):
+        some = known[start:start + 256]
+        made = [_vector(texts[i], m.idf) for i in some]
+        cosines = np.stack([v for v, _ in made]) @ m.centroids.T
+        best = cosines.argmax(axis=1)
+        score[some] = np.clip(cosines[np.arange(len(some)), best], 0, 1)
+        rejected[some] = score[some] < m.least[m.owner[best]] * np.array([f for _, f in made])
+        for i, b in zip(some, best):
+            lang[i] = m.languages[m.owner[b]]
+    return lang, score, rejected
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of every row: score is the largest cosine, from 0 to 1.
 
@@ -127,23 +143,25 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     chosen = docs.select(F.col(id_col).alias(id_col), F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in text_slices(batches, 1, 1 << 20):
-            lang, score, rejected = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
-            texts = batch.column(1).to_pylist()
-            known = [i for i, text in enumerate(texts) if text is not None and m.languages]
-            for start in range(0, len(known), 256):
-                some = known[start:start + 256]
-                made = [_vector(texts[i], m.idf) for i in some]
-                cosines = np.stack([v for v, _ in made]) @ m.centroids.T
-                best = cosines.argmax(axis=1)
-                score[some] = np.clip(cosines[np.arange(len(some)), best], 0, 1)
-                rejected[some] = score[some] < m.least[m.owner[best]] * np.array([f for _, f in made])
-                for i, b in zip(some, best):
-                    lang[i] = m.languages[m.owner[b]]
+            lang, score, rejected = _judge(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)],
                 names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = chosen.schema[0].dataType.simpleString()
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+
+
+def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    judged = docs.select(*docs.columns, F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_judged_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, judged_at, 1 << 20):
+            rejected = _judge(shared.value, batch.column(judged_at).to_pylist())[2]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=docs_names).filter(pa.array(~rejected))
+
+    judged_at, docs_names = len(docs.columns), docs.columns
+    return judged.mapInArrow(run, docs.schema)

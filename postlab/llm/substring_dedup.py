@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.llm.common import Words, text_slices
-from postlab.operators.position import with_position
+from postlab.llm.common import ROW, Words, numbered, text_slices
 from postlab.session import stored
 
 #: Words of an anchor.
@@ -235,11 +234,11 @@ def _cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[int, int
 
 
 def _spans(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, n_words, n_removed, kept_text, factors) from doc, text, parts (factors in windows) and copy_of."""
+    """(id, n_words, n_removed, kept_text, factors) from id, text, parts (factors in windows) and copy_of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
             rows = []
-            for doc, text, parts, copy_of in zip(*(c.to_pylist() for c in batch.columns)):
+            for identifier, text, parts, copy_of in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 if copy_of is not None:
                     n = len(data.split())
@@ -253,14 +252,15 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
                 spans.sort()
                 at = np.array([s[:2] for s in spans], dtype=np.int64).reshape(-1, 2)
                 n, removed, kept = _cut(data, at[:, 0], at[:, 1])
-                rows.append((doc, n, removed, kept.decode(), [
+                rows.append((identifier, n, removed, kept.decode(), [
                     {"start": s, "length": c, "source": d, "source_start": p} for s, c, d, p in spans]))
-            yield _rows(rows, ["doc", "n_words", "n_removed", "kept_text", "factors"], [
-                pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([
+            yield _rows(rows, ["id", "n_words", "n_removed", "kept_text", "factors"], [
+                batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([
                     ("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))])
 
-    return docs.select("doc", "text", "parts", "copy_of").mapInArrow(
-        run, f"doc bigint, n_words bigint, n_removed bigint, kept_text string, factors {FACTORS}")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", "parts", "copy_of").mapInArrow(
+        run, f"id {kind}, n_words bigint, n_removed bigint, kept_text string, factors {FACTORS}")
 
 
 def _merge(table: np.ndarray) -> list[np.ndarray]:
@@ -274,23 +274,6 @@ def _merge(table: np.ndarray) -> list[np.ndarray]:
 
 # ---- all --------------------------------------------------------------------------------------------------------------
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, text) with a number of its own for each row, in the order of the identifiers, and (doc, id) if they differ.
-
-    Identifiers that are whole numbers, present and unique are the numbers. Otherwise rows are numbered by
-    identifier, null last; rows that share one follow by text.
-    """
-    kind = docs.schema["id"].dataType.typeName()
-    odd = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1")
-    if kind in ("byte", "short", "integer", "long") and odd.isEmpty():
-        return docs.select(F.col("id").cast("bigint").alias("doc"), "text"), None
-    tagged = stored(docs.withColumn("tag", F.monotonically_increasing_id()), "tagged")
-    order = [F.col("id").asc_nulls_last(), F.col("hash"), F.col("tag")]
-    named = stored(with_position(
-        tagged.select("id", "tag", F.sha2("text", 256).alias("hash")), order, name="doc").select("doc", "id", "tag"), "numbers")
-    return tagged.join(named.select("doc", "tag"), "tag").select("doc", "text"), named.select("doc", "id")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept_text, factors) of every row.
 
@@ -303,8 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows, names = _numbered(docs)
+    docs = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    rows = docs.select(F.col(ROW).alias("doc"), "text")
     whole = F.coalesce(F.col("text"), F.lit(""))
     digests = stored(rows.select("doc", F.unhex(F.sha2(whole, 256)).alias("digest"), F.octet_length(whole).alias("size")), "digests")
     size = digests.agg(F.sum("size")).head()[0] or 0
@@ -317,7 +300,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = found.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "source", "source_start")).alias("parts"))
     extra = parts.withColumn("copy_of", F.lit(None).cast("bigint")).unionByName(
         copies.withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType)))
-    done = _spans(rows.join(extra, "doc", "left"), window)
-    if names is not None:
-        return names.join(done, "doc").select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", "factors")
-    return done.withColumnRenamed("doc", id_col)
+    done = _spans(docs.join(extra, docs[ROW] == extra["doc"], "left"), window)
+    return done.withColumnRenamed("id", id_col)
