@@ -1,9 +1,11 @@
 """Exact join of documents by the Jaccard similarity of their word shingles, in the metric space of Jaccard distance.
 
 Nearly all distances between unrelated documents are 1, where no pivot tells anything. So the space is first cut
-exactly: sets that differ in at most d elements agree on at least one of d + 1 parts of the universe, so two documents
-that link share a signature (size class, part, elements in it). The regions joined below are the connected sets of
-documents that share signatures; no link leaves a region.
+exactly. Sets that differ in at most d elements agree on all but d parts of the universe, so two documents that link
+share a signature (size class, part, elements in it). Of the documents that share one, two can link only if
+their sketches allow it: the numbers of elements by hash, whose smaller ones add up to a bound of the overlap. The
+regions joined below are the connected sets of documents that share signatures and pass this bound; no link leaves
+a region.
 
 Within a region pivots are chosen and the distance of every member to every pivot is computed exactly. A member
 belongs to the Voronoi cell of its nearest pivot, and is copied into the cell of another pivot if its distance to it
@@ -39,6 +41,12 @@ REGION_SIZE = 4 << 20
 #: Signatures that a task collects before it sends them, and signatures of a partition that matches them.
 FLUSH = 1 << 20
 MATCH = 1 << 19
+#: Parts beyond d + 1, as a share of these; as many of the smallest parts need no signature.
+SPARE = 0.35
+#: Elements per number of a sketch, its smallest length, and documents of a signature that one task compares.
+SKETCH_FILL = 8
+SKETCH = 64
+SHARED = 10_000
 #: Pivots of a large region, members of a chunk that meets them, rounds of cutting.
 PIVOTS = 16
 CHUNK = 2000
@@ -101,20 +109,53 @@ class Signatures:
         # sets of at most ``most`` elements that link differ in at most ``d``
         most = self.bounds[number] - 1
         d = floor((1 - self.similarity) / (1 + self.similarity) * 2 * most)
-        spare = ceil(d / 10) + 3 if d else 0
+        spare = ceil(SPARE * (d + 1)) if d else 0
         parts = d + 1 + spare
         part = (shingles % np.uint64(parts)).astype(np.int64)
         value = mix64(shingles + np.uint64(number))
         low = np.bincount(part, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts)
         high = np.bincount(part, weights=(value >> np.uint64(32)).astype(float), minlength=parts)
-        held = np.bincount(part, minlength=parts) > 0
+        held = np.bincount(part, minlength=parts)
         named = np.arange(parts, dtype=np.uint64) * _TURN + np.uint64(number * 1000003 + 17)
-        signatures = mix64(mix64(low.astype(np.uint64) + named) ^ high.astype(np.uint64))[held]
-        # Of the parts that two linked sets agree on, at least 1 + spare, no more than ``spare`` may be empty, or the
-        # sets might agree on empty parts only. Where more are empty, every element is a signature of its own.
-        if parts - held.sum() > spare:
-            signatures = np.concatenate([signatures, mix64(value ^ _TURN)])
-        return signatures
+        signatures = mix64(mix64(low.astype(np.uint64) + named) ^ high.astype(np.uint64))
+        # Two linked sets agree on 1 + spare parts at least. Each set leaves out parts below a size of its own that no
+        # more than ``spare`` of its parts are below; above the larger of both sizes an agreeing part is left.
+        least = np.partition(held, spare)[spare]
+        signatures = signatures[held >= max(least, 1)]
+        # Sets with more than ``spare`` empty parts might agree on empty parts only: here elements are signatures too.
+        return signatures if least else np.concatenate([signatures, mix64(value ^ _TURN)])
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many elements have each lowest bits of the hash; empty if a number does not fit a byte."""
+    length = SKETCH
+    while length * SKETCH_FILL < len(shingles):
+        length *= 2
+    counts = np.bincount((shingles & np.uint64(length - 1)).astype(np.int64), minlength=length)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(sketches: list[bytes], sizes: np.ndarray, similarity: Fraction) -> list[int]:
+    """The smallest index of the component of each set, connecting those that the sketches allow to link."""
+    label, open_ = list(range(len(sizes))), np.arange(len(sizes))
+    blind = any(len(s) == 0 for s in sketches)
+    if blind:
+        return [0] * len(sizes)
+    length = min(map(len, sketches))
+    table = np.stack([
+        np.frombuffer(s, np.uint8).reshape(-1, length).sum(axis=0, dtype=np.uint16) for s in sketches])
+    top, bottom = similarity.numerator, similarity.denominator
+    while len(open_):
+        front, root, open_ = [int(open_[0])], int(open_[0]), open_[1:]
+        while front and len(open_):
+            one = front.pop()
+            common = np.minimum(table[open_], table[one]).sum(axis=1, dtype=np.int64)
+            near = bottom * common >= top * (sizes[open_] + sizes[one] - common)
+            for x in open_[near]:
+                label[x] = root
+                front.append(int(x))
+            open_ = open_[~near]
+    return label
 
 
 # ---- regions inside a task --------------------------------------------------------------------------------------------
@@ -206,40 +247,39 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, n bigint, key bigint, second bigint")
 
 
-def _match(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (smallest key, other key) of equal signatures, and where a signature's smallest key stands."""
+def _match(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(region, key) of keys that share a signature; equal lists of keys are one region."""
     order = np.lexsort((key, signature))
     signature, key = signature[order], key[order]
+    new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (key[1:] != key[:-1])])
+    signature, key = signature[new], key[new]
     begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    least = np.repeat(key[begin], np.diff(np.append(begin, len(key))))
-    other = key != least
-    pairs = np.unique(np.stack([least[other], key[other]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], order[begin]
+    count = np.diff(np.append(begin, len(key)))
+    named = mix64(np.add.reduceat(mix64(key.view(np.uint64)), begin) + count.astype(np.uint64))
+    several = np.flatnonzero(count > 1)
+    several = several[np.unique(named[several], return_index=True)[1]]
+    at = np.repeat(begin[several] - np.cumsum(count[several]) + count[several], count[several]) + np.arange(count[several].sum())
+    return np.repeat(named[several], count[several]).view(np.int64), key[at]
 
 
 def _shared_signatures(docs: DataFrame, n: int, similarity: Fraction, parts: int) -> DataFrame:
-    """(a, b): keys of different sets that share a signature, each linked with the smallest key that has it.
+    """(region, key): keys of different sets that share a signature, packed by ranges of signatures on the way.
 
-    A task sends each signature once, with the smallest key, packed by ranges of signatures, and the pairs that it
-    has found itself; so a signature that a third of all documents share arrives once per flush.
+    A set is sent once per flush of a task, however many documents have it.
     """
-    schema = "part int, a binary, b binary"
-
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, held, keys, seen = Signatures(similarity), [], [], set()
 
         def flush() -> pa.RecordBatch:
-            count = [len(h) for h in held]
-            signature, key = np.concatenate(held), np.repeat(np.array(keys, dtype=np.int64), count)
-            a, b, first = _match(signature, key)
-            signature, key = signature[first], key[first]  # in order of the signature
-            part = ((signature >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(int)
+            signature, key = np.concatenate(held), np.repeat(np.array(keys, dtype=np.int64), [len(h) for h in held])
+            part = ((signature >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            signature, key, part = signature[order], key[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             rows = [(p, signature[s:e].tobytes(), key[s:e].tobytes()) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-            rows += [(-1 - int(a[0] % parts), a.tobytes(), b.tobytes())] if len(a) else []
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
-                names=["part", "a", "b"])
+                names=["part", "signatures", "keys"])
 
         for batch in text_slices(batches, 0, 1 << 20):
             for shingles in shingle_sets(batch.column(0), n):
@@ -258,39 +298,61 @@ def _shared_signatures(docs: DataFrame, n: int, similarity: Fraction, parts: int
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[int, list] = {}
         for batch in batches:
-            for part, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
-                else:
-                    packed.setdefault(part, []).append((a, b))
+            for part, signature, key in zip(*(c.to_pylist() for c in batch.columns)):
+                packed.setdefault(part, []).append((signature, key))
         while packed:
             _, rows = packed.popitem()
-            signature = np.frombuffer(b"".join(a for a, _ in rows), dtype=np.uint64)
-            a, b, _ = _match(signature, np.frombuffer(b"".join(b for _, b in rows), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            region, key = _match(
+                np.frombuffer(b"".join(s for s, _ in rows), np.uint64), np.frombuffer(b"".join(k for _, k in rows), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(key)], names=["region", "key"])
 
-    sent = docs.select("text").mapInArrow(collect, schema).repartition(parts, "part")
-    return sent.mapInArrow(match, "a bigint, b bigint").distinct()
+    sent = docs.select("text").mapInArrow(collect, "part int, signatures binary, keys binary").repartition(parts, "part")
+    return sent.mapInArrow(match, "region bigint, key bigint").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(region, key, n, set) of ``wanted`` (region, key, id, n): the texts are read again for the few that need it."""
+    """(key, n, sketch, set) of ``wanted`` (key, id): the texts are read again for those that need it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 2, 1 << 20):
+        for batch in text_slices(batches, 1, 1 << 20):
             rows = [
-                (region, key, len(s), s.tobytes())
-                for region, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), n))
+                (key, len(s), sketch(s), s.tobytes())
+                for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n))
                 if len(s) and set_key(s)[0] == key  # rows may share an identifier
             ]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["region", "key", "n", "set"])
+                    [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["key", "n", "sketch", "set"])
+
+    asked = wanted.select(F.col("id").alias("asked"), "key")
+    return docs.join(asked, F.col("id").eqNullSafe(F.col("asked"))).select("key", "text").mapInArrow(
+        run, "key bigint, n bigint, sketch binary, set binary")
 
-    asked = wanted.select(F.col("id").alias("asked"), "region", "key")
-    return docs.join(asked, F.col("id").eqNullSafe(F.col("asked"))).select(
-        "region", "key", "text").mapInArrow(run, "region bigint, key bigint, n bigint, set binary")
+
+def _narrowed(shared: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (a, b) that connect the keys of a region (region, key) whose sketches allow a link.
+
+    Regions of more than ``SHARED`` keys are compared block by block.
+    """
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, region in group.groupby("region", sort=False):
+            region = region.drop_duplicates("key").sort_values("key")
+            keys = region["key"].to_numpy()
+            label = may_link(list(region["sketch"]), region["n"].to_numpy(), similarity)
+            found += {(int(keys[r]), int(keys[i])) for i, r in enumerate(label) if r != i}
+        return pd.DataFrame(list(set(found)), columns=["a", "b"], dtype="int64")
+
+    counts = shared.groupBy("region").agg(F.ceil(F.count(F.lit(1)) * 2 / SHARED).cast("int").alias("blocks"))
+    placed = shared.join(counts, "region")
+    small = placed.where("blocks <= 2").select("region", "key")
+    block, other = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    large = placed.where("blocks > 2").select("region", "key", block.alias("block"), other.alias("other")).select(
+        F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "key")
+    rows = small.unionByName(large).join(sets.select("key", "n", "sketch"), "key")
+    tasks = max(shared.sparkSession.sparkContext.defaultParallelism * 4, shared.count() // (4 * SHARED))
+    bucket = F.pmod(F.xxhash64("region"), F.lit(tasks))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def _unpack(packed: pd.Series) -> list[np.ndarray]:
@@ -398,10 +460,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise RuntimeError("two different shingle sets have the same 64-bit key")
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, (total or 0) // 3 // MATCH)
 
-    regions = components(_shared_signatures(docs, n, similarity, parts))
-    wanted = regions.select(F.col("node").alias("key"), F.col("label").alias("region")).join(sets, "key").select(
-        "key", "region", "id", "n")
-    members = stored(_sets(docs, wanted, n).dropDuplicates(["region", "key"]), "members")
+    shared = stored(_shared_signatures(docs, n, similarity, parts), "shared")
+    wanted = sets.join(shared.select("key").distinct(), "key").select("key", "id")
+    kept = stored(_sets(docs, wanted, n).dropDuplicates(["key"]), "kept")
+    regions = components(_narrowed(shared, kept, similarity))
+    members = kept.select("key", "n", "set").join(
+        regions.select(F.col("node").alias("key"), F.col("label").alias("region")), "key")
 
     links, large = [], members
     for depth in range(MAX_DEPTH + 1):
