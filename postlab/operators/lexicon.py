@@ -11,8 +11,6 @@ from postlab.operators.terms import distinct_words, term_counts
 # ---- fixed value: tokens of the normaliser that stand for something else ---------------------------
 PLACEHOLDER_PREFIX = "<<<"
 # ---- end of fixed value ----------------------------------------------------------------------------
-MAX_BROADCAST_ENTRIES = 100_000
-SALTS = 64
 
 
 def number_entries(lexicon: DataFrame) -> DataFrame:
@@ -29,25 +27,21 @@ def number_entries(lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, keys: list[str],
-                 tokens: str = "tokens") -> DataFrame:
+                 tokens: str = "tokens", words: DataFrame | None = None) -> DataFrame:
     """(keys, word, polarity, idx): each entry present in a document, however often it occurs there.
 
-    A lexicon is a fixed list; it is broadcast after checking its length.
+    ``words`` is the vocabulary (word, n) of the documents, here and below; without it, it is counted.
     """
-    words = distinct_words(docs, keys, tokens)
-    entries = number_entries(lexicon)
-    if entries.limit(MAX_BROADCAST_ENTRIES + 1).count() <= MAX_BROADCAST_ENTRIES:
-        return words.join(F.broadcast(entries), "word")
-    # too long to broadcast: a frequent word is spread over SALTS keys, its entry copied to each
-    salted = words.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-    copies = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1))))
-    return salted.join(copies, ["word", "_salt"]).drop("_salt")
+    present = distinct_words(docs, keys, tokens)
+    found = lookup_join(
+        present, number_entries(lexicon), "word", ["polarity", "idx"], [F.col(k) for k in keys], words)
+    return found.where(F.col("idx").isNotNull())
 
 
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, keys: list[str],
-                   tokens: str = "tokens") -> DataFrame:
+                   tokens: str = "tokens", words: DataFrame | None = None) -> DataFrame:
     """(keys, positive, negative): number of present entries per polarity, zero included."""
-    counts = lexicon_hits(docs, lexicon, keys, tokens).groupBy(*keys).agg(
+    counts = lexicon_hits(docs, lexicon, keys, tokens, words).groupBy(*keys).agg(
         F.count(F.when(F.col("polarity") == "positive", 1)).alias("positive"),
         F.count(F.when(F.col("polarity") == "negative", 1)).alias("negative"),
     )
@@ -59,9 +53,9 @@ def lexicon_counts(docs: DataFrame, lexicon: DataFrame, keys: list[str],
 
 
 def lexicon_vectors(docs: DataFrame, lexicon: DataFrame, keys: list[str],
-                    tokens: str = "tokens", name: str = "lexicon") -> DataFrame:
+                    tokens: str = "tokens", name: str = "lexicon", words: DataFrame | None = None) -> DataFrame:
     """(keys, lexicon map<int,double>): the nonzero slots, both counts always present."""
-    per_doc = lexicon_hits(docs, lexicon, keys, tokens).groupBy(*keys).agg(
+    per_doc = lexicon_hits(docs, lexicon, keys, tokens, words).groupBy(*keys).agg(
         F.count(F.when(F.col("polarity") == "positive", 1)).cast("double").alias("_p"),
         F.count(F.when(F.col("polarity") == "negative", 1)).cast("double").alias("_n"),
         F.array_sort(F.collect_list("idx")).alias("_slots"),
@@ -76,15 +70,15 @@ def lexicon_vectors(docs: DataFrame, lexicon: DataFrame, keys: list[str],
 
 
 def misspelling_ratio(docs: DataFrame, dictionary: DataFrame, keys: list[str],
-                      tokens: str = "tokens") -> DataFrame:
+                      tokens: str = "tokens", words: DataFrame | None = None) -> DataFrame:
     """(keys, n_tokens, n_unknown, ratio): tokens outside the dictionary per token.
 
-    ``dictionary`` is (word, n) with n the corpus frequency. Placeholders are never misspelled but do
+    ``dictionary`` has a column word. Placeholders are never misspelled but do
     count as tokens; a document without tokens counts as one empty piece.
     """
     pairs = term_counts(docs, keys, tokens, term="word")
-    table = dictionary.select("word", "n", F.lit(True).alias("known"))
-    looked_up = lookup_join(pairs, table, "word", "n", ["known"], [F.col(k) for k in keys])
+    table = dictionary.select("word", F.lit(True).alias("known"))
+    looked_up = lookup_join(pairs, table, "word", ["known"], [F.col(k) for k in keys], words)
     unknown = F.col("known").isNull() & ~F.col("word").startswith(PLACEHOLDER_PREFIX)
     per_doc = looked_up.groupBy(*keys).agg(
         F.sum("tf").alias("_n"), F.sum(F.when(unknown, F.col("tf")).otherwise(0)).alias("_u")

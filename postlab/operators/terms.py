@@ -80,7 +80,8 @@ def tfidf(docs: DataFrame, keys: list[str], n_docs: Column, tokens: str = "token
     """
     counts = term_counts(docs, keys, tokens)
     weights = idf(counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), n_docs)
-    joined = lookup_join(counts, weights, "term", "df", ["idf"], [F.col(k) for k in keys])
+    words = weights.select(F.col("term").alias("word"), F.col("df").alias("n"))
+    joined = lookup_join(counts, weights, "term", ["idf"], [F.col(k) for k in keys], words)
     return joined.withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
@@ -140,10 +141,10 @@ def stem_tokens(docs: DataFrame, keys: list[str], stemmer: Callable[[Column], Co
     ``words`` is the vocabulary (word, n); without it, it is counted from ``docs``. Documents without
     tokens keep an empty array.
     """
-    table = stem_table(words if words is not None else vocabulary(docs, tokens), stemmer)
+    words = words if words is not None else vocabulary(docs, tokens)
     stems = lookup_join(
-        explode_tokens(docs, keys, tokens), table, "word", "n", ["stem"],
-        [F.col(k) for k in keys] + [F.col("pos")],
+        explode_tokens(docs, keys, tokens), stem_table(words, stemmer), "word", ["stem"],
+        [F.col(k) for k in keys] + [F.col("pos")], words,
     )
     collected = regroup(stems, keys, "stem", name)
     return restore_empty(docs, collected, keys, name)

@@ -10,24 +10,27 @@ from postlab.operators.lookup import lookup_join
 from postlab.operators.terms import explode_tokens, regroup, restore_empty, term_counts
 
 
-def _lookup(docs: DataFrame, vectors: DataFrame, keys: list[str], tokens: str) -> DataFrame:
+def _lookup(docs: DataFrame, vectors: DataFrame, keys: list[str], tokens: str, words: DataFrame | None) -> DataFrame:
     return lookup_join(
-        explode_tokens(docs, keys, tokens), vectors, "word", "n", ["vector"],
-        [F.col(k) for k in keys] + [F.col("pos")],
+        explode_tokens(docs, keys, tokens), vectors, "word", ["vector"],
+        [F.col(k) for k in keys] + [F.col("pos")], words,
     )
 
 
 def token_vectors(docs: DataFrame, vectors: DataFrame, keys: list[str],
-                  tokens: str = "tokens") -> DataFrame:
-    """(keys, pos, word, vector) for tokens with a vector; the others go. ``vectors``: (word, n, vector)."""
-    return _lookup(docs, vectors, keys, tokens).where(F.col("vector").isNotNull())
+                  tokens: str = "tokens", words: DataFrame | None = None) -> DataFrame:
+    """(keys, pos, word, vector) for tokens with a vector; the others go. ``vectors``: (word, vector).
+
+    ``words`` is the vocabulary (word, n) of the documents, here and below; without it, it is counted.
+    """
+    return _lookup(docs, vectors, keys, tokens, words).where(F.col("vector").isNotNull())
 
 
 def token_vectors_with_default(docs: DataFrame, vectors: DataFrame, keys: list[str], dim: int,
-                               tokens: str = "tokens") -> DataFrame:
+                               tokens: str = "tokens", words: DataFrame | None = None) -> DataFrame:
     """As ``token_vectors``, but every token stays; unknown words get zeros."""
     default = F.array_repeat(F.lit(0.0), dim)
-    return _lookup(docs, vectors, keys, tokens).withColumn(
+    return _lookup(docs, vectors, keys, tokens, words).withColumn(
         "vector", F.coalesce(F.col("vector"), default)
     )
 
@@ -35,33 +38,38 @@ def token_vectors_with_default(docs: DataFrame, vectors: DataFrame, keys: list[s
 def word_vector(words: DataFrame, vectors: DataFrame, word: str = "word") -> DataFrame:
     """Vector of single words, looked up in lower case; an empty array for unknown words."""
     lowered = words.withColumn("_lower", F.lower(word))
-    table = vectors.select(F.col("word").alias("_lower"), "n", "vector")
-    return lookup_join(lowered, table, "_lower", "n", ["vector"], [F.col(word)]).withColumn(
+    table = vectors.select(F.col("word").alias("_lower"), "vector")
+    return lookup_join(lowered, table, "_lower", ["vector"], [F.col(word)]).withColumn(
         "vector", F.coalesce(F.col("vector"), F.array().cast("array<double>"))
     ).drop("_lower")
 
 
 def vector_sequences(docs: DataFrame, vectors: DataFrame, keys: list[str],
-                     tokens: str = "tokens", name: str = "vectors") -> DataFrame:
+                     tokens: str = "tokens", name: str = "vectors",
+                     words: DataFrame | None = None) -> DataFrame:
     """(keys, vectors): the known vectors of each document in token order, possibly none."""
-    known = token_vectors(docs, vectors, keys, tokens)
+    known = token_vectors(docs, vectors, keys, tokens, words)
     return restore_empty(docs, regroup(known, keys, "vector", name), keys, name)
 
 
-def prune_empty(df: DataFrame, column: str) -> DataFrame:
-    """Keep rows whose array holds anything."""
-    return df.where(F.size(column) > 0)
+def known_tokens(docs: DataFrame, vectors: DataFrame, keys: list[str], tokens: str = "tokens",
+                 words: DataFrame | None = None) -> DataFrame:
+    """(keys, n_known) of the documents that have any token with a vector. No vector is touched."""
+    pairs = term_counts(docs, keys, tokens, term="word")
+    table = vectors.select("word", F.lit(True).alias("known"))
+    found = lookup_join(pairs, table, "word", ["known"], [F.col(k) for k in keys], words)
+    return found.where("known").groupBy(*keys).agg(F.sum("tf").alias("n_known"))
 
 
 def padded_sequences(docs: DataFrame, vectors: DataFrame, keys: list[str], length: int, dim: int,
-                     tokens: str = "tokens", name: str = "sequence") -> DataFrame:
+                     tokens: str = "tokens", name: str = "sequence", words: DataFrame | None = None) -> DataFrame:
     """(keys, sequence): the first ``length`` known vectors end to end, for documents that have any.
 
     Spark drops the tokens past ``length`` per document before it shuffles.
     """
     by_place = Window.partitionBy(*keys).orderBy("pos")
     kept = (
-        token_vectors(docs, vectors, keys, tokens)
+        token_vectors(docs, vectors, keys, tokens, words)
         .withColumn("_place", F.row_number().over(by_place))
         .where(F.col("_place") <= length)
     )
@@ -70,14 +78,14 @@ def padded_sequences(docs: DataFrame, vectors: DataFrame, keys: list[str], lengt
 
 
 def mean_vectors(docs: DataFrame, vectors: DataFrame, keys: list[str], dim: int,
-                 tokens: str = "tokens", name: str = "mean_vector") -> DataFrame:
+                 tokens: str = "tokens", name: str = "mean_vector", words: DataFrame | None = None) -> DataFrame:
     """(keys, mean_vector): mean over the known tokens, repeats counted; zeros if none is known.
 
     Distinct (document, word) pairs are joined instead of occurrences, and the sums are one plain
     aggregate column per dimension, so they are partly added up before the shuffle.
     """
     pairs = term_counts(docs, keys, tokens, term="word")
-    known = lookup_join(pairs, vectors, "word", "n", ["vector"], [F.col(k) for k in keys]).where(
+    known = lookup_join(pairs, vectors, "word", ["vector"], [F.col(k) for k in keys], words).where(
         F.col("vector").isNotNull()
     )
     sums = known.groupBy(*keys).agg(

@@ -136,6 +136,11 @@ def _with(*tables: str) -> str:
     return "WITH " + ",\n".join(tables) + "\n"
 
 
+def _line(vector: str) -> str:
+    """All values of a vector, in millionths, as one text."""
+    return f"array_to_string(list_transform({vector}, lambda x: CAST(round(x * 1e6) AS BIGINT)), ' ')"
+
+
 def _chi2(source: str, feature: str, value: str, prefix: str) -> str:
     """Chi-square by the full table of observed and expected counts, zero counts included."""
     p = prefix
@@ -316,9 +321,11 @@ ORACLE: dict[str, str] = {
         list_sum({SCORES}) / 4 AS score_sum FROM documents d JOIN lab l ON l.doc_id = d.doc_id""",
     "encode_labels": _with(LAB) + """SELECT doc_id, CASE WHEN relevance = 1 THEN 1 ELSE 0 END AS relevance,
         sentiment, CAST(sentiment + 1 AS DOUBLE) AS sentiment_1based FROM lab""",
-    "vectors_load": _with(EMB) + """SELECT vec_id, CAST(len(v) AS BIGINT) AS dim, round(v[1], 6) AS "first",
-        round(v[-1], 6) AS "last" FROM emb""",
-    "review_json_parse": "SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INTEGER) AS k FROM events",
+    "vectors_load": _with(EMB) + """SELECT vec_id, CAST(len(v) AS BIGINT) AS dim, """ + _line("v") + """ AS vector FROM emb""",
+    "review_json_parse": """SELECT event_id, 'r' || event_id AS "reviewID", event_type AS asin, NULL::VARCHAR AS "reviewerName",
+        (event_id % 7) || ',' || (event_id % 11) AS helpful, props AS "reviewText", CAST(event_id % 5 + 1 AS INTEGER) AS overall,
+        CASE WHEN event_id % 3 > 0 THEN event_type END AS summary, CAST(event_id * 1000003 AS BIGINT) AS "unixReviewTime",
+        CAST(user_id AS VARCHAR) AS "reviewTime" FROM events""",
     "normalize_tokens": _with(TOK) + _joined("tok", "tokens"),
     "raw_tokens": _joined("documents", _blank_split("lower(text)")),
     "strip_punct_tokens": _joined(
@@ -383,11 +390,12 @@ ORACLE: dict[str, str] = {
     "union_splits": _with(LAB, CORPUS) + """SELECT origin, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
         SELECT split AS origin, text FROM corpus UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY origin""",
     "token_vectors": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT w.doc_id, CAST(w.pos AS INTEGER) AS pos, w.word,
-        round(wv.v[1], 6) AS "first" FROM words w JOIN wv ON wv.word = w.word""",
+        """ + _line("wv.v") + """ AS vector FROM words w JOIN wv ON wv.word = w.word""",
     "token_vectors_with_default": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT w.doc_id, CAST(w.pos AS INTEGER) AS pos,
-        w.word, round(coalesce(wv.v[1], 0.0), 6) AS "first" FROM words w LEFT JOIN wv ON wv.word = w.word""",
+        w.word, """ + _line(f"coalesce(wv.v, list_transform(range({DIM}), lambda i: 0.0::DOUBLE))")
+        + """ AS vector FROM words w LEFT JOIN wv ON wv.word = w.word""",
     "word_vector_lookup": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT f.word, CAST(coalesce(len(wv.v), 0) AS BIGINT) AS dim,
-        round(wv.v[1], 6) AS "first" FROM (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word
+        coalesce(""" + _line("wv.v") + """, '') AS vector FROM (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word
           FROM documents) f LEFT JOIN wv ON wv.word = lower(f.word) WHERE f.word <> ''""",
     "prune_empty": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT w.doc_id, count(*) AS n_known
         FROM words w JOIN wv ON wv.word = w.word GROUP BY w.doc_id""",
@@ -401,8 +409,8 @@ ORACLE: dict[str, str] = {
           SELECT w.doc_id, wv.v, row_number() OVER (PARTITION BY w.doc_id ORDER BY w.pos) AS place
           FROM words w JOIN wv ON wv.word = w.word) WHERE place <= {SEQUENCE_LENGTH}) k
         ON k.doc_id = g.doc_id AND k.dim = g.dim""",
-    "vector_math": _with(EMB) + f"""SELECT a.vec_id AS a, b.vec_id AS b, round(a.v[1] + b.v[1], 6) + 0.0 AS sum_0,
-        round(a.v[1] - b.v[1], 6) + 0.0 AS diff_0, round({DIST.format(n=DIM, a='a.v', b='b.v')}, 6) AS distance
+    "vector_math": _with(EMB) + f"""SELECT a.vec_id AS a, b.vec_id AS b, {_line("list_transform(list_zip(a.v, b.v), lambda p: p[1] + p[2])")} AS "sum",
+        {_line("list_transform(list_zip(a.v, b.v), lambda p: p[1] - p[2])")} AS difference, round({DIST.format(n=DIM, a='a.v', b='b.v')}, 6) AS distance
         FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1""",
     "embedding_as_double": _with(EMB) + f"""SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM (
         SELECT vec_id, unnest(v) AS x, unnest(range({DIM})) AS dim FROM emb)""",
@@ -433,11 +441,11 @@ ORACLE: dict[str, str] = {
         count(CASE WHEN h.polarity = 'positive' THEN 1 END) AS positive,
         count(CASE WHEN h.polarity = 'negative' THEN 1 END) AS negative
         FROM documents t LEFT JOIN hits h ON h.doc_id = t.doc_id GROUP BY t.doc_id""",
-    "lexicon_vector": _with(TOK, WORDS, RANKED, LEX, HITS, """counts AS MATERIALIZED (SELECT t.doc_id,
-        count(CASE WHEN h.polarity = 'positive' THEN 1 END) AS p, count(CASE WHEN h.polarity = 'negative' THEN 1 END) AS n
-        FROM documents t LEFT JOIN hits h ON h.doc_id = t.doc_id GROUP BY t.doc_id)""")
-        + """SELECT doc_id, 0 AS idx, CAST(p AS DOUBLE) AS value FROM counts
-        UNION ALL SELECT doc_id, 1, CAST(n AS DOUBLE) FROM counts UNION ALL SELECT doc_id, idx, 1.0::DOUBLE FROM hits""",
+    "lexicon_vector": _with(TOK, WORDS, RANKED, LEX, HITS) + """SELECT doc_id, polarity AS idx,
+        CAST(sum(n) AS DOUBLE) AS value FROM (
+          SELECT doc_id, unnest([0, 1]) AS polarity, 0 AS n FROM documents
+          UNION ALL SELECT doc_id, CASE WHEN polarity = 'positive' THEN 0 ELSE 1 END, 1 FROM hits) GROUP BY ALL
+        UNION ALL SELECT doc_id, idx, 1.0::DOUBLE FROM hits""",
     "misspelling_ratio": _with(TOK, WORDS, TF, f"""known AS MATERIALIZED (SELECT term FROM tf GROUP BY term
         HAVING count(*) >= {DICTIONARY_MIN_DF})""") + """SELECT t.doc_id, CAST(coalesce(sum(tf.tf), 0) AS BIGINT) AS n_tokens,
         CAST(coalesce(sum(CASE WHEN k.term IS NULL AND NOT starts_with(tf.term, '<<<') THEN tf.tf END), 0) AS BIGINT) AS n_unknown,

@@ -37,9 +37,9 @@ def document_features(docs: DataFrame, key: str, *, vectors: DataFrame, dim: int
     """
     keys = [key]
     stems = terms.stem_tokens(docs, keys, stemmer, words)
-    means = wv.mean_vectors(docs, vectors, keys, dim)
-    counts = lex.lexicon_counts(docs, lexicon, keys)
-    spelling = lex.misspelling_ratio(docs, dictionary, keys)
+    means = wv.mean_vectors(docs, vectors, keys, dim, words=words)
+    counts = lex.lexicon_counts(docs, lexicon, keys, words=words)
+    spelling = lex.misspelling_ratio(docs, dictionary, keys, words=words)
     joined = (
         docs.join(stems, key).join(means, key).join(counts, key).join(spelling.select(key, "ratio"), key)
         .select(

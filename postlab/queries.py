@@ -27,9 +27,9 @@ SEED = 1
 FOLDS = 5
 SAMPLE_ROWS = 200
 NEIGHBOURS = 5
-MAX_DISTANCE = 4.5
+MAX_DISTANCE = 1.15
 TARGET_LABELS = 5
-SEQUENCE_LENGTH = 5
+SEQUENCE_LENGTH = 15
 SELECTED_FEATURES = 1000
 TOP_TERMS = 20
 LINE_BREAK = r"\r\n|[\n\r]"
@@ -48,6 +48,11 @@ def r6(value: Column) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
+def vector_line(vector: str | Column) -> Column:
+    """All values of a vector, in millionths, as one text."""
+    return F.array_join(F.transform(vector, lambda v: F.round(v * 1e6).cast("bigint").cast("string")), " ")
+
+
 # ---- sources -------------------------------------------------------------------------------------------
 
 @query
@@ -91,14 +96,23 @@ def vectors_load(spark, sf):
     parsed = readers.parse_word_vectors(lines, "line", DIM)
     return parsed.select(
         F.col("word").cast("bigint").alias("vec_id"), F.size("vector").cast("bigint").alias("dim"),
-        r6(F.element_at("vector", 1)).alias("first"), r6(F.element_at("vector", -1)).alias("last"),
+        vector_line("vector").alias("vector"),
     )
 
 
 @query
 def review_json_parse(spark, sf):
-    parsed = F.from_json("props", "k int")
-    return tables(spark, sf).table("events").select("event_id", parsed["k"].alias("k"))
+    """Events written as product reviews in JSON and parsed with the review schema; one field is missing, one is null."""
+    e, second = tables(spark, sf).table("events"), F.col("event_id").cast("int")
+    review = F.struct(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("reviewID"), F.col("event_type").alias("asin"),
+        F.array(second % 7, second % 11).alias("helpful"), F.col("props").alias("reviewText"),
+        (second % 5 + 1).alias("overall"), F.when(second % 3 > 0, F.col("event_type")).alias("summary"),
+        (F.col("event_id").cast("bigint") * 1000003).alias("unixReviewTime"),
+        F.col("user_id").cast("string").alias("reviewTime"))
+    parsed = e.select("event_id", F.from_json(F.to_json(review), readers.PRODUCT_REVIEW).alias("review"))
+    return parsed.select("event_id", "review.*").withColumn(
+        "helpful", F.array_join(F.transform("helpful", lambda h: h.cast("string")), ","))
 
 
 # ---- text rules ----------------------------------------------------------------------------------------
@@ -258,14 +272,14 @@ def selected_dense_features(spark, sf):
 @partial(query, name="stem_german")
 def stem_german_tokens(spark, sf):
     t = tables(spark, sf)
-    stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_german, t.ranked_words.select("word", "n"))
+    stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_german, t.words)
     return stems.select("doc_id", F.array_join("stems", " ").alias("stems"))
 
 
 @partial(query, name="stem_english")
 def stem_english_tokens(spark, sf):
     t = tables(spark, sf)
-    stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_english, t.ranked_words.select("word", "n"))
+    stems = terms.stem_tokens(t.tokens, ["doc_id"], stem_english, t.words)
     return stems.select("doc_id", F.array_join("stems", " ").alias("stems"))
 
 
@@ -337,16 +351,16 @@ def union_splits(spark, sf):
 @query
 def token_vectors(spark, sf):
     t = tables(spark, sf)
-    return wv.token_vectors(t.tokens, t.word_vectors, ["doc_id"]).select(
-        "doc_id", "pos", "word", r6(F.col("vector")[0]).alias("first")
+    return wv.token_vectors(t.tokens, t.word_vectors, ["doc_id"], words=t.words).select(
+        "doc_id", "pos", "word", vector_line("vector").alias("vector")
     )
 
 
 @query
 def token_vectors_with_default(spark, sf):
     t = tables(spark, sf)
-    return wv.token_vectors_with_default(t.tokens, t.word_vectors, ["doc_id"], DIM).select(
-        "doc_id", "pos", "word", r6(F.col("vector")[0]).alias("first")
+    return wv.token_vectors_with_default(t.tokens, t.word_vectors, ["doc_id"], DIM, words=t.words).select(
+        "doc_id", "pos", "word", vector_line("vector").alias("vector")
     )
 
 
@@ -357,30 +371,27 @@ def word_vector_lookup(spark, sf):
     words = t.texts.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(
         F.col("word") != "").distinct()
     return wv.word_vector(words, t.word_vectors).select(
-        "word", F.size("vector").cast("bigint").alias("dim"), r6(F.get("vector", F.lit(0))).alias("first")
+        "word", F.size("vector").cast("bigint").alias("dim"), vector_line("vector").alias("vector")
     )
 
 
 @query
 def prune_empty(spark, sf):
     t = tables(spark, sf)
-    sequences = wv.vector_sequences(t.tokens, t.word_vectors, ["doc_id"])
-    return wv.prune_empty(sequences, "vectors").select(
-        "doc_id", F.size("vectors").cast("bigint").alias("n_known")
-    )
+    return wv.known_tokens(t.tokens, t.word_vectors, ["doc_id"], words=t.words)
 
 
 @query
 def sentence_vectors(spark, sf):
     t = tables(spark, sf)
-    means = wv.mean_vectors(t.tokens, t.word_vectors, ["doc_id"], DIM)
+    means = wv.mean_vectors(t.tokens, t.word_vectors, ["doc_id"], DIM, words=t.words)
     return wv.long_form(means, ["doc_id"], "mean_vector").withColumn("value", r6(F.col("value")))
 
 
 @query
 def sequence_vectors(spark, sf):
     t = tables(spark, sf)
-    padded = wv.padded_sequences(t.tokens, t.word_vectors, ["doc_id"], SEQUENCE_LENGTH, DIM)
+    padded = wv.padded_sequences(t.tokens, t.word_vectors, ["doc_id"], SEQUENCE_LENGTH, DIM, words=t.words)
     return wv.long_form(padded, ["doc_id"], "sequence").withColumn("value", r6(F.col("value")))
 
 
@@ -391,8 +402,8 @@ def vector_math(spark, sf):
     a = e.select(F.col("vec_id").alias("a"), F.col("vector").alias("va"))
     b = e.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb"))
     return a.join(b, F.col("a") + 1 == F.col("b")).select(
-        "a", "b", r6(vec.add(F.col("va"), F.col("vb"))[0]).alias("sum_0"),
-        r6(vec.subtract(F.col("va"), F.col("vb"))[0]).alias("diff_0"),
+        "a", "b", vector_line(vec.add(F.col("va"), F.col("vb"))).alias("sum"),
+        vector_line(vec.subtract(F.col("va"), F.col("vb"))).alias("difference"),
         r6(vec.distance(F.col("va"), F.col("vb"))).alias("distance"),
     )
 
@@ -429,16 +440,16 @@ def substitute_words(spark, sf):
     t = tables(spark, sf)
     vocabulary = t.word_vectors
     found = neighbors.substitutions(vocabulary, vocabulary.where(F.col("label") < TARGET_LABELS), MAX_DISTANCE)
-    replaced = lookup_substitutes(t.tokens, found)
+    replaced = lookup_substitutes(t.tokens, found, t.words)
     return replaced.select(
         "doc_id", F.array_join("tokens", " ").alias("tokens"), "n_replaced"
     )
 
 
-def lookup_substitutes(docs: DataFrame, found: DataFrame) -> DataFrame:
+def lookup_substitutes(docs: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
     looked_up = terms.lookup_join(
-        terms.explode_tokens(docs, ["doc_id"]), found, "word", "n", ["substitute"],
-        [F.col("doc_id"), F.col("pos")],
+        terms.explode_tokens(docs, ["doc_id"]), found, "word", ["substitute"],
+        [F.col("doc_id"), F.col("pos")], words,
     )
     final = looked_up.withColumn("value", F.coalesce("substitute", "word"))
     pairs = F.array_sort(F.collect_list(F.struct("pos", "value")))
@@ -479,34 +490,34 @@ def wssse_fixed_centers(spark, sf):
 @query
 def lexicon_hits(spark, sf):
     t = tables(spark, sf)
-    return lexicon.lexicon_hits(t.tokens, t.lexicon, ["doc_id"]).select("doc_id", "word", "polarity", "idx")
+    return lexicon.lexicon_hits(t.tokens, t.lexicon, ["doc_id"], words=t.words).select("doc_id", "word", "polarity", "idx")
 
 
 @query
 def lexicon_counts(spark, sf):
     t = tables(spark, sf)
-    return lexicon.lexicon_counts(t.tokens, t.lexicon, ["doc_id"])
+    return lexicon.lexicon_counts(t.tokens, t.lexicon, ["doc_id"], words=t.words)
 
 
 @query
 def lexicon_vector(spark, sf):
     t = tables(spark, sf)
-    vectors = lexicon.lexicon_vectors(t.tokens, t.lexicon, ["doc_id"])
+    vectors = lexicon.lexicon_vectors(t.tokens, t.lexicon, ["doc_id"], words=t.words)
     return vectors.select("doc_id", F.explode("lexicon").alias("idx", "value"))
 
 
 @query
 def misspelling_ratio(spark, sf):
     t = tables(spark, sf)
-    return lexicon.misspelling_ratio(t.tokens, t.dictionary, ["doc_id"]).withColumn("ratio", r6(F.col("ratio")))
+    return lexicon.misspelling_ratio(t.tokens, t.dictionary, ["doc_id"], words=t.words).withColumn("ratio", r6(F.col("ratio")))
 
 
 @query
 def assemble_features(spark, sf):
     """Mean vector, dense scores and lexicon counts end to end."""
     t = tables(spark, sf)
-    means = wv.mean_vectors(t.tokens, t.word_vectors, ["doc_id"], DIM)
-    counts = lexicon.lexicon_counts(t.tokens, t.lexicon, ["doc_id"])
+    means = wv.mean_vectors(t.tokens, t.word_vectors, ["doc_id"], DIM, words=t.words)
+    counts = lexicon.lexicon_counts(t.tokens, t.lexicon, ["doc_id"], words=t.words)
     scores = t.documents.select("doc_id", dense_scores(F.col("text")).alias("scores"))
     joined = means.join(scores, "doc_id").join(counts, "doc_id").select("doc_id", F.concat(
         "mean_vector", "scores", F.array(F.col("positive").cast("double"), F.col("negative").cast("double"))

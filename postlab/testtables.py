@@ -21,12 +21,13 @@ from postlab.operators import terms
 from postlab.operators.evaluation import center_table
 from postlab.operators.lexicon import number_entries
 from postlab.plans.features import document_features, fit_clusters
-from postlab.session import checkpointed
+from postlab.session import stored
 from postlab.sources.readers import read_table, spread
 
 # ---- fixed values: settings of the derived inputs ---------------------------------------------------
 DIM = 64
 N_CENTERS = 10
+N_CLUSTERS = 100
 LEXICON_RANKS = 50
 DICTIONARY_MIN_DF = 5
 SPLIT_PARTS, SPLIT_SEED = 5, 7
@@ -120,17 +121,22 @@ class Tables:
     @cached_property
     def ranked_words(self) -> DataFrame:
         """(word, n, rank) over the whole vocabulary, written once."""
-        return checkpointed(terms.ranked_vocabulary(self.tokens))
+        return stored(terms.ranked_vocabulary(self.tokens))
 
     @cached_property
     def word_vectors(self) -> DataFrame:
         """(word, n, id, vector): the vector with id r - 1 belongs to the word of rank r."""
-        return checkpointed(
+        return stored(
             self.ranked_words.withColumn("id", F.col("rank") - 1)
             .join(self.embeddings.withColumnRenamed("vec_id", "id"), "id")
             .select("word", "n", "id", "vector", "label")
         )
 
+    @property
+    def words(self) -> DataFrame:
+        """(word, n): the vocabulary."""
+        return self.ranked_words.select("word", "n")
+
     @property
     def lexicon(self) -> DataFrame:
         """(word, polarity, idx): ranks 1 to LEXICON_RANKS, odd ones positive, even ones negative."""
@@ -143,7 +149,7 @@ class Tables:
     @cached_property
     def dictionary(self) -> DataFrame:
         """(word, n): words of at least DICTIONARY_MIN_DF documents, with that number, written once."""
-        return checkpointed(
+        return stored(
             terms.document_frequency(self.tokens, term="word")
             .where(F.col("df") >= DICTIONARY_MIN_DF).select("word", F.col("df").alias("n"))
         )
@@ -151,21 +157,21 @@ class Tables:
     @cached_property
     def clusters(self) -> KMeansModel:
         """K-means on the embeddings."""
-        return fit_clusters(self.embeddings, k=N_CENTERS)
+        return fit_clusters(self.embeddings, k=N_CLUSTERS)
 
     @cached_property
     def features(self) -> DataFrame:
         """The feature table of every document with its labels (null if unlabelled), written once."""
-        docs = checkpointed(self.texts.select(
+        docs = stored(self.texts.select(
             "doc_id", normalize_tokens(F.col("text")).alias("tokens"),
             dense_scores(F.col("text")).alias("scores"),
         ))
         blocks = document_features(
             docs, "doc_id", vectors=self.word_vectors, dim=DIM, lexicon=self.lexicon,
-            dictionary=self.dictionary, words=self.ranked_words.select("word", "n"),
+            dictionary=self.dictionary, words=self.words,
             stemmer=stem_german, clusters=self.clusters,
         )
-        return checkpointed(blocks.join(self.labels, "doc_id", "left"))
+        return stored(blocks.join(self.labels, "doc_id", "left"))
 
     @property
     def labelled_features(self) -> DataFrame:
