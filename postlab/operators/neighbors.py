@@ -1,27 +1,25 @@
-"""Exact Euclidean nearest neighbours between two tables of vectors.
+"""Exact Euclidean nearest neighbours of one table of vectors in another, given set of targets.
 
-Targets and queries are assigned to the closest of a bounded number of pivots. The triangle inequality
-tells which target cells can hold one of the k nearest vectors of a query cell; only those are compared.
-Inside a cell the vectors are packed in blocks of bounded size, so a hot cell becomes many blocks, each
-(query block, target block) pair is one small matrix computation, and it gives back k rows per query,
-never all pairs.
+The work is queries times targets, and no bound saves it: on unit vectors of some dozens of dimensions the triangle
+inequality excludes nothing. So it is cut evenly. Targets are dealt out in blocks and queries in chunks; a task
+holds one block and one chunk, compares them as matrices and gives back k rows per query, never all pairs. A
+target is sent once per chunk, a query once per block. Meant for a vocabulary against a target list (distinct
+words, not tokens).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from postlab.session import checkpointed
+from postlab.session import stored
 
-BLOCK_ROWS = 512
-MAX_PIVOTS = 256
-TARGETS_PER_PIVOT = 2048
+BLOCK_ROWS = 4096
+CHUNK_ROWS = 16384
+#: Queries that are compared with a block at once.
+SLICE_ROWS = 256
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -36,79 +34,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _pick_pivots(targets: DataFrame, n_targets: int) -> np.ndarray:
-    """One target vector per TARGETS_PER_PIVOT, at most MAX_PIVOTS, chosen by the hash of their id."""
-    wanted = min(max(n_targets // TARGETS_PER_PIVOT, 1), MAX_PIVOTS)
-    rows = targets.orderBy(F.md5(F.col("id").cast("string"))).limit(wanted).collect()
-    return np.array([row["vector"] for row in rows], dtype="float64")
-
-
-def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the closest pivot (``cell``) and the distance to it (``radius``)."""
-
-    @pandas_udf("struct<cell:int,radius:double>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                yield pd.DataFrame({"cell": pd.Series(dtype="int32"), "radius": pd.Series(dtype="float64")})
-                continue
-            d = _distances(_matrix(batch), pivots)
-            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "radius": d.min(axis=1)})
-
-    return points.withColumn("_c", closest("vector")).select(
-        "id", "vector", F.col("_c.cell").alias("cell"), F.col("_c.radius").alias("radius")
-    )
-
-
-def _cell_stats(points: DataFrame) -> pd.DataFrame:
-    """One row per cell (at most MAX_PIVOTS): number of points, smallest and largest radius."""
-    return points.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
-    ).toPandas()
-
-
-def _cell_pairs(queries: pd.DataFrame, targets: pd.DataFrame, pivots: np.ndarray, k: int,
-                max_distance: float | None) -> pd.DataFrame:
-    """(q_cell, t_cell) pairs in which a target can be among the k nearest of a query."""
-    between = _distances(pivots, pivots)
-    pairs = []
-    for q in queries.itertuples():
-        apart = between[q.cell, targets["cell"].to_numpy()]
-        lower = np.maximum(apart - q.hi - targets["hi"], targets["lo"] - apart - q.hi)
-        # the k nearest all lie within the upper bound of any union of cells holding k targets
-        upper = (apart + q.hi + targets["hi"]).to_numpy()
-        by_upper = np.argsort(upper)
-        enough = np.searchsorted(np.cumsum(targets["n"].to_numpy()[by_upper]), k)
-        reach = upper[by_upper[enough]] if enough < len(upper) else np.inf
-        if max_distance is not None:
-            reach = min(reach, max_distance)
-        near = targets.loc[lower <= reach + 1e-9, "cell"]
-        pairs += [(int(q.cell), int(t)) for t in near]
-    return pd.DataFrame(pairs, columns=["q_cell", "t_cell"])
-
-
-def _block_counts(stats: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({
-        "cell": stats["cell"], "n_blocks": np.ceil(stats["n"] / BLOCK_ROWS).astype("int64"),
-    })
-
-
-def _blocks(points: DataFrame, stats: pd.DataFrame, prefix: str) -> DataFrame:
-    """Pack each cell in blocks of about BLOCK_ROWS vectors, spread by the hash of the id."""
-    n_blocks = dict(_block_counts(stats).itertuples(index=False))
-    per_cell = F.array(*[F.lit(int(n_blocks.get(c, 1))).cast("bigint") for c in range(MAX_PIVOTS)])
-    return (
-        points.withColumn("block", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))))
-        .groupBy("cell", "block")
-        .agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-        .select(
-            F.col("cell").alias(f"{prefix}_cell"), F.col("block").alias(f"{prefix}_block"),
-            F.transform("rows", lambda r: r["id"]).alias(f"{prefix}_ids"),
-            F.flatten(F.transform("rows", lambda r: r["vector"])).alias(f"{prefix}_values"),
-        )
-    )
-
-
 def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
             max_distance: float | None = None) -> DataFrame:
     """(id, neighbour, rank, distance): the k targets nearest to each query, closest first.
@@ -116,58 +41,34 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
     Both frames are (id bigint, vector array<double>). Ties go to the smaller target id. With
     ``max_distance`` neighbours further away are left out; a distance equal to it still counts.
     """
-    spark = queries.sparkSession
-    empty = "id bigint, neighbour bigint, rank int, distance double"
-    n_targets = targets.count()
-    if n_targets == 0:
-        return spark.createDataFrame([], empty)
-
-    if n_targets < 2 * TARGETS_PER_PIVOT:  # one cell: nothing to prune, every query meets every block
-        q, t = [df.select("id", "vector", F.lit(0).alias("cell")) for df in (queries, targets)]
-        n_queries = n_targets if queries is targets else queries.count()
-        q_stats, t_stats = [pd.DataFrame({"cell": [0], "n": [n]}) for n in (n_queries, n_targets)]
-        pairs = pd.DataFrame({"q_cell": [0], "t_cell": [0]})
-    else:
-        pivots = _pick_pivots(targets, n_targets)
-        t = checkpointed(_assign(targets, pivots))
-        q = t if queries is targets else checkpointed(_assign(queries, pivots))
-        q_stats, t_stats = _cell_stats(q), _cell_stats(t)
-        pairs = _cell_pairs(q_stats, t_stats, pivots, k, max_distance)
-    if pairs.empty:
-        return spark.createDataFrame([], empty)
-    pairs = pairs.merge(_block_counts(t_stats), left_on="t_cell", right_on="cell")
-    pair_table = spark.createDataFrame(  # at most MAX_PIVOTS squared rows
-        pairs[["q_cell", "t_cell", "n_blocks"]], "q_cell int, t_cell int, n_blocks bigint"
-    )
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                q_ids, t_ids = np.asarray(row.q_ids), np.asarray(row.t_ids)
-                by_id = np.argsort(t_ids, kind="stable")
-                t_ids = t_ids[by_id]
-                d = _distances(
-                    np.asarray(row.q_values).reshape(len(q_ids), -1),
-                    np.asarray(row.t_values).reshape(len(t_ids), -1)[by_id],
-                )
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-targets.count() // BLOCK_ROWS))
+    n_chunks = max(cores, -(-queries.count() // CHUNK_ROWS))
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        return df.select(
+            "id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
+        ).repartition(n_blocks * n_chunks, "block", "chunk").groupBy("block", "chunk")
+
+    def compare(chunk: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"id": [], "neighbour": [], "distance": []})]
+        if len(block):
+            block = block.sort_values("id")
+            ids, values = block["id"].to_numpy(), _matrix(block["vector"])
+            for start in range(0, len(chunk), SLICE_ROWS):
+                some = chunk.iloc[start:start + SLICE_ROWS]
+                d = _distances(_matrix(some["vector"]), values)
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({
-                    "id": np.repeat(q_ids, best.shape[1]),
-                    "neighbour": t_ids[best].ravel(),
-                    "distance": np.take_along_axis(d, best, axis=1).ravel(),
-                })
-                yield found if max_distance is None else found[found["distance"] <= max_distance]
-
-    # Joined per target block, not per cell: a hot cell is many keys. A row holds two blocks, about
-    # half a megabyte; Spark bounds an Arrow batch by bytes too, so a batch holds few of them.
-    block_pairs = (
-        _blocks(q, q_stats, "q")
-        .join(F.broadcast(pair_table), "q_cell")
-        .withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
-        .join(_blocks(t, t_stats, "t"), ["t_cell", "t_block"])
-        .select("q_ids", "q_values", "t_ids", "t_values")
-    )
-    candidates = block_pairs.mapInPandas(compare, "id bigint, neighbour bigint, distance double")
+                found.append(pd.DataFrame({
+                    "id": np.repeat(some["id"].to_numpy(), best.shape[1]), "neighbour": ids[best].ravel(),
+                    "distance": np.take_along_axis(d, best, axis=1).ravel()}))
+        rows = pd.concat(found)
+        return rows if max_distance is None else rows[rows["distance"] <= max_distance]
+
+    candidates = dealt(queries, "chunk", n_chunks, "block", n_blocks).cogroup(
+        dealt(targets, "block", n_blocks, "chunk", n_chunks)
+    ).applyInPandas(compare, "id bigint, neighbour bigint, distance double")
     by_distance = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (
         candidates.withColumn("rank", F.row_number().over(by_distance))
@@ -176,6 +77,42 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
     )
 
 
+def nearest_approximate(queries: DataFrame, targets: DataFrame, dim: int, k: int = 1, tables: int = 12, bits: int = 6,
+                        seed: int = 1) -> DataFrame:
+    """(id, neighbour, rank, distance): probably the k nearest targets, among those that share a bucket.
+
+    For two large tables, where ``nearest`` is too much work. A bucket is the side of ``bits`` random hyperplanes on
+    which a vector lies; each of ``tables`` sets of planes gives one. Candidates of all buckets are ranked by their
+    exact distance. More tables raise recall, more bits make buckets smaller; choose bits by the logarithm of
+    the number of targets.
+    """
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables, bits, dim))
+
+    def bucket(table: int) -> Column:
+        def side(plane: np.ndarray) -> Column:
+            product = F.zip_with("vector", F.array(*[F.lit(float(x)) for x in plane]), lambda a, b: a * b)
+            return (F.aggregate(product, F.lit(0.0), lambda s, x: s + x) > 0).cast("int")
+
+        number = sum((side(planes[table, bit]) * (1 << bit) for bit in range(1, bits)), side(planes[table, 0]))
+        return F.struct(F.lit(table).alias("table"), number.alias("number"))
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        buckets = F.explode(F.array(*[bucket(t) for t in range(tables)])).alias("bucket")
+        return df.select(F.col("id").alias(name), buckets)
+
+    pairs = stored(placed(queries, "id").join(placed(targets, "neighbour"), "bucket").select(
+        "id", "neighbour").distinct(), "pairs")
+    gap = F.zip_with("qv", "tv", lambda a, b: (a - b) * (a - b))
+    ranked = (
+        pairs.join(queries.select("id", F.col("vector").alias("qv")), "id")
+        .join(targets.select(F.col("id").alias("neighbour"), F.col("vector").alias("tv")), "neighbour")
+        .select("id", "neighbour", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
+    )
+    by_distance = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return ranked.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+
+
 def closest_by_criterion(queries: DataFrame, targets: DataFrame, criterion: Column,
                          max_distance: float) -> DataFrame:
     """(id, neighbour, distance): the closest target that meets ``criterion`` within ``max_distance``.

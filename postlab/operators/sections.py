@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlab.functions.normalize import clean_markup_line, is_noise_line, java_trim
+from postlab.session import stored
 
 # ---- fixed values: section markers of an XML dump ---------------------------------------------------
 SECTION_START = "<text"
@@ -21,14 +22,14 @@ def section_lines(lines: DataFrame, keys: list[str], pos: str = "pos", line: str
     Noise lines go first, so a marker on such a line is not seen. State is carried per document. A
     document of any length is handled in chunks of CHUNK_LINES positions: the state inside a chunk
     comes from a window over the chunk, the state at its start from the last marker of earlier chunks.
+    The lines without noise are written once; the markers of the chunks are read from that copy.
     """
     trimmed = java_trim(F.col(line))
     marker = F.when(trimmed.startswith(end), False).when(trimmed.startswith(start), True)
-    kept = (
+    kept = stored(
         lines.where(~is_noise_line(F.col(line)))
         .withColumn("_marker", marker)
-        .withColumn("_chunk", F.floor(F.col(pos) / CHUNK_LINES))
-    )
+        .withColumn("_chunk", F.floor(F.col(pos) / CHUNK_LINES)), "lines")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     kept = kept.withColumn("_state", F.last("_marker", ignorenulls=True).over(inside))
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from postlab.functions.labels import sentiment_code
 from postlab.functions.normalize import normalize_tokens, raw_tokens, strip_punct_tokens
+from postlab.operators.position import with_position
 
 # ---- fixed values: file layouts -------------------------------------------------------------------
 SCORE_OFFSET = 5
@@ -92,18 +93,16 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, positive: str, negative: str) -> DataFrame:
-    """(word, polarity, idx) from two files of ``idx <tab> entry <tab> ...`` lines.
+    """(word, polarity, idx) from two files of ``entry <tab> ...`` lines; ``idx`` is the line number from 0.
 
-    A distributed read has no line order, so the index is an explicit first column. Negative entries
+    A lexicon is one short file per polarity, read as a whole, so the lines keep their order. Negative entries
     are numbered on after the positive ones by the feature builder, not here.
     """
-    schema = "idx int, word string"
-
     def one(path: str, polarity: str) -> DataFrame:
-        return (
-            spark.read.schema(schema).csv(path, sep="\t", quote="")
-            .select("word", F.lit(polarity).alias("polarity"), "idx")
-        )
+        whole = F.regexp_replace("value", r"(\r\n|[\r\n])$", "")
+        lines = spark.read.text(path, wholetext=True).where(F.length("value") > 0)
+        return lines.select(F.posexplode(F.split(whole, r"\r\n|[\r\n]")).alias("idx", "line")).select(
+            F.get(F.split("line", "\t"), F.lit(0)).alias("word"), F.lit(polarity).alias("polarity"), "idx")
 
     return one(positive, "positive").unionByName(one(negative, "negative"))
 
@@ -121,26 +120,28 @@ def read_product_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, pos, line) of text files; ``pos`` follows the line order inside each file.
+    """(doc, pos, line) of text files; ``pos`` counts the lines of each file from 0.
 
-    Lines of one file are ordered by their read position: a text scan hands out a file's splits in
-    order, and the id grows along them.
+    A file's splits are ordered by the byte at which they begin, and inside a split the row id grows with the lines,
+    however Spark deals splits out to tasks.
     """
-    return spark.read.text(path).select(
-        F.input_file_name().alias("doc"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
-    )
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    placed = with_position(lines, [F.col("_block"), F.col("_id")], ["doc"], name="pos")
+    return placed.select("doc", (F.col("pos") - 1).alias("pos"), "line")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work when the input comes in fewer partitions than there are cores.
+#: A session that sets this to true spreads its input over its cores: one small file is one partition.
+SPREAD_INPUT = "spark.postlab.spreadInput"
 
-    Text rules are heavy on the CPU, and a small file is one partition. Input of many files stays as it
-    is: its text is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The input as it is, or dealt out by ``keys`` if the session asks for it (benches and tests on one file do)."""
+    session = df.sparkSession
+    if session.conf.get(SPREAD_INPUT, "false") == "true":
+        return df.repartition(session.sparkContext.defaultParallelism, *keys)
+    return df
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:

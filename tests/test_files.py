@@ -48,11 +48,11 @@ def test_word_vectors(spark, tmp_path):
 
 
 def test_lexicon(spark, tmp_path):
-    (tmp_path / "p.txt").write_text("0\tGut|ADJX\t0.3\n1\tsuper\t0.5\n", encoding="utf-8")
-    (tmp_path / "n.txt").write_text("0\tübel\t-0.3\n", encoding="utf-8")
+    (tmp_path / "p.txt").write_text("Gut|ADJX\t0.3\nsuper\t0.5\n", encoding="utf-8")
+    (tmp_path / "n.txt").write_text("übel\t-0.3\r\nschlecht", encoding="utf-8")
     rows = readers.read_lexicon(spark, str(tmp_path / "p.txt"), str(tmp_path / "n.txt")).collect()
     assert sorted(tuple(r) for r in rows) == [
-        ("Gut|ADJX", "positive", 0), ("super", "positive", 1), ("übel", "negative", 0)]
+        ("Gut|ADJX", "positive", 0), ("schlecht", "negative", 1), ("super", "positive", 1), ("übel", "negative", 0)]
 
 
 def test_reviews(spark, tmp_path):
@@ -63,10 +63,25 @@ def test_reviews(spark, tmp_path):
     assert (row["reviewID"], row["helpful"], row["overall"], row["unixReviewTime"], row["asin"]) == ("r1", [1, 2], 5, 12, None)
 
 
-def test_dump_lines(spark, tmp_path):
-    (tmp_path / "d.xml").write_text("eins\nzwei\ndrei\n", encoding="utf-8")
-    rows = readers.read_dump_lines(spark, str(tmp_path / "d.xml")).orderBy("pos").collect()
-    assert [r["line"] for r in rows] == ["eins", "zwei", "drei"]
+def test_dump_lines_of_several_splits(spark, tmp_path):
+    """Files of very different size, cut into many splits that Spark packs largest first."""
+    sizes = {"a.xml": 400, "b.xml": 3, "c.xml": 90}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name} {i} {'x' * (i % 50)}\n" for i in range(n)), encoding="utf-8")
+    keys = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        frame = readers.read_dump_lines(spark, str(tmp_path))
+        rows = frame.collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, n in sizes.items():
+        mine = sorted((r["pos"], r["line"]) for r in rows if r["doc"].endswith(name))
+        assert [p for p, _ in mine] == list(range(n)) and [x.split()[1] for _, x in mine] == [str(i) for i in range(n)]
 
 
 def test_feature_matrix(spark, tmp_path):
@@ -82,6 +97,16 @@ def test_submission_file(spark, tmp_path):
     assert lines_of(tmp_path / "s") == ['1\tsagt "hallo"\ttrue\tunknown']
 
 
+@pytest.mark.parametrize("text,want", [
+    ("  lead blank ", "  lead blank "), ("", ""), ("tab\there", "tab here"), ("line\r\nbreak", "line  break"), ('"quoted" \\', '"quoted" \\'), (None, "")])
+def test_odd_texts_in_files(spark, tmp_path, text, want):
+    df = spark.createDataFrame([(7, text, 1.0, 0)], "id int, text string, prediction double, fold int")
+    writers.write_submission(writers.submission(df, "sentiment"), str(tmp_path / "s"))
+    assert lines_of(tmp_path / "s") == [f"7\t{want}\tunknown\tneutral"]
+    writers.write_fold_files(df, str(tmp_path / "f"), ["id", "text"], 1)
+    assert lines_of(tmp_path / "f/side=test/cv=0") == [f"7\t{want}"]
+
+
 def test_text_lines(spark, tmp_path):
     df = spark.createDataFrame([(["ab", "cd"], 2)], "t array<string>, y int")
     writers.write_lines(df.select(writers.labelled_line(F.col("t"), F.col("y")).alias("line")), str(tmp_path / "l"))

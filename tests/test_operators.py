@@ -37,13 +37,29 @@ def test_lookup_beyond_the_hot_words(spark, monkeypatch):
     table = spark.createDataFrame([(f"w{i}", 100 - i, i) for i in range(20)], "word string, n bigint, v int")
     facts = spark.createDataFrame(
         [(i, f"w{j}") for i in range(30) for j in (0, 0, 1, i)], "id int, word string")
-    rows = lookup.lookup_join(facts, table, "word", "n", ["v"], [F.col("id")]).collect()
+    rows = lookup.lookup_join(facts, table, "word", ["v"], [F.col("id")]).collect()
     assert len(rows) == 120
     for r in rows:
         j = int(r["word"][1:])
         assert r["v"] == (j if j < 20 else None)
 
 
+def test_a_hot_word_that_the_table_lacks_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_WORDS", 2)
+    facts = spark.createDataFrame([(i, "<<<number>>>") for i in range(500)] + [(i, f"w{i}") for i in range(500)], "id int, word string")
+    table = spark.createDataFrame([(f"w{i}", [float(i)] * 4) for i in range(0, 500, 2)], "word string, vector array<double>")
+    words = facts.groupBy("word").count().withColumnRenamed("count", "n")
+    joined = lookup.lookup_join(facts, table, "word", ["vector"], [F.col("id")], words)
+    found = {(r["id"], r["word"]): r["vector"] for r in joined.collect()}
+    assert len(found) == 1000 and found[4, "w4"] == [4.0] * 4 and found[5, "w5"] is None and found[7, "<<<number>>>"] is None
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in plan
+    # the facts' side of the shuffle join carries keys only
+    marked = plan[plan.index("Join LeftOuter, (_key"):] if "Join LeftOuter, (_key" in plan else plan
+    facts_side = marked[:marked.index("_cold_key", marked.index("_hot_key"))]
+    assert facts_side.count("_hot#") <= 1
+
+
 def test_token_vectors(docs, vectors):
     rows = wv.token_vectors(docs, vectors, ["doc_id"]).collect()
     assert sorted((r["doc_id"], r["pos"], r["word"]) for r in rows) == [(1, 0, "a"), (1, 2, "b"), (1, 3, "a"), (4, 0, "b")]
@@ -68,7 +84,7 @@ def test_mean_vectors(docs, vectors):
 def test_sequences(docs, vectors):
     found = by_key(wv.vector_sequences(docs, vectors, ["doc_id"]))
     assert found[1]["vectors"] == [[1.0, 0.0], [0.0, 2.0], [1.0, 0.0]] and found[3]["vectors"] == []
-    assert set(by_key(wv.prune_empty(wv.vector_sequences(docs, vectors, ["doc_id"]), "vectors"))) == {1, 4}
+    assert {r["doc_id"]: r["n_known"] for r in wv.known_tokens(docs, vectors, ["doc_id"]).collect()} == {1: 3, 4: 1}
     padded = by_key(wv.padded_sequences(docs, vectors, ["doc_id"], 2, 2))
     assert padded[1]["sequence"] == [1.0, 0.0, 0.0, 2.0]
     assert padded[4]["sequence"] == [0.0, 2.0, 0.0, 0.0]
@@ -91,9 +107,9 @@ def words(spark):
         "word string, polarity string, idx int")
 
 
-@pytest.mark.parametrize("broadcast_up_to", [100, 1])
-def test_lexicon(docs, words, monkeypatch, broadcast_up_to):
-    monkeypatch.setattr(lexicon, "MAX_BROADCAST_ENTRIES", broadcast_up_to)
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_lexicon(docs, words, monkeypatch, hot):
+    monkeypatch.setattr(lookup, "HOT_WORDS", hot)
     counts = by_key(lexicon.lexicon_counts(docs, words, ["doc_id"]))
     assert [(counts[i]["positive"], counts[i]["negative"]) for i in (1, 2, 3, 4)] == [(1, 2), (0, 0), (0, 0), (0, 2)]
     found = by_key(lexicon.lexicon_vectors(docs, words, ["doc_id"]))
@@ -163,7 +179,8 @@ def frame(spark, m):
 @pytest.mark.parametrize("clustered", [True, False])
 def test_nearest_equals_brute_force(spark, monkeypatch, clustered, limit):
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
-    monkeypatch.setattr(neighbors, "TARGETS_PER_PIVOT", 25)
+    monkeypatch.setattr(neighbors, "CHUNK_ROWS", 8)
+    monkeypatch.setattr(neighbors, "SLICE_ROWS", 3)
     rng = np.random.default_rng(1)
     t = rng.normal(size=(220, 3)) * 0.3
     q = rng.normal(size=(90, 3)) * 0.3
@@ -182,6 +199,16 @@ def test_nearest_with_few_or_no_targets(spark):
     assert neighbors.nearest(q, frame(spark, [[1.0]]).where("id < 0"), 3).collect() == []
 
 
+def test_approximate_neighbours_find_most(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 16))
+    t = np.concatenate([c + rng.normal(size=(20, 16)) * 0.2 for c in centers])
+    q = centers + rng.normal(size=(30, 16)) * 0.2
+    exact = {(i, j) for i, j, _, _ in brute(q, t, 5)}
+    rows = neighbors.nearest_approximate(frame(spark, q), frame(spark, t), 16, 5).collect()
+    assert len(exact & {(r["id"], r["neighbour"]) for r in rows}) >= 0.9 * len(exact)
+
+
 def test_closest_by_criterion(spark):
     points = spark.createDataFrame(
         [(0, [0.0], 1), (1, [1.0], 2), (2, [3.0], 1), (3, [9.0], 1)], "id bigint, vector array<double>, label int")
