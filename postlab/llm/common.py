@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.operators.position import with_position
 from postlab.session import stored
 
 
+#: Rows of an Arrow batch: rows are whole texts here, and Spark's own number suits short rows.
+BATCH_ROWS = 1000
+
+
+def document_batches(spark: SparkSession) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows at once to Python; a batch of long texts has to fit in memory
+    several times, in the JVM and in Python, for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task) -> Task:
+    """A task that gives its free memory back when it ends: Python workers wait for the next task and keep it otherwise."""
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """The packed numbers of each row of a binary column, not copied."""
+    return [np.frombuffer(value.as_buffer(), dtype=kind) for value in column]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts (or bytes) of ``column`` in one part hold about ``limit`` bytes, one row at least."""
     for batch in batches:
@@ -149,6 +185,13 @@ class Distinct:
         return buckets[self.last[buckets] == at]
 
 
+# ---- samples ----------------------------------------------------------------------------------------------------
+
+def below(id_col: Column, share: Column) -> Column:
+    """Whether the hash of an identifier is among the lowest ``share`` of all; keeps a ranking of hashes small."""
+    return F.xxhash64(id_col).cast("double") / 2.0**64 + 0.5 < share
+
+
 # ---- rows of their own ----------------------------------------------------------------------------------------
 
 ROW = "_row_number"
