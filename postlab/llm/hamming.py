@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlab.llm.common import tidy
 from postlab.session import stored
 
 #: Codes of a block and queries of a chunk.
@@ -35,6 +36,7 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     chosen = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(
         F.size("vector") > 0)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -146,7 +148,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     kind = codes.schema["id"].dataType.simpleString()
     keys = ["width", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    # the rows are small, the work is not: each pair of block and chunk is to be a task
+    tasks = n_blocks * n_chunks
+    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(
         search, f"query_id {kind}, id {kind}, distance int")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
