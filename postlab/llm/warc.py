@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.llm.common import text_slices
+from postlab.llm.common import document_batches, text_slices, tidy
 from postlab.session import shared_folder, stored
 
 # ---- fixed values: formats ----------------------------------------------------------------------------------
@@ -38,6 +38,8 @@ RECORD_NAME = "urn:record:"
 #: Plain bytes of a frame and packed bytes of a bundle after which the next one begins.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 28
+#: Plain bytes of records that one task reads.
+TASK_BYTES = 1 << 27
 INDEX = "bundle string, frame int, offset bigint, length bigint"
 
 
@@ -201,9 +203,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     and the others revisit it; rows that share that identifier are all responses, and a null identifier
     is the original only of payloads that no other identifier has. A null payload is empty.
     """
+    document_batches(pages.sparkSession)
     rows = _with_first(pages, id_col, payload_col, url_col, revisit_bytes)
     folder = shared_folder(pages.sparkSession, "warc")
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in text_slices(batches, 2):
@@ -234,9 +238,13 @@ def read_records(folder: str, index: DataFrame, with_payload: bool = True) -> Da
     Columns: id (text), payload_bytes, payload_digest, record_type, refers_to (text), payload (null for revisits,
     and for all if ``with_payload`` is off).
     """
-    placed = index.select("bundle", "frame", "offset", "length").repartition("bundle", "frame").sortWithinPartitions(
+    # an index row is small, but stands for a record to unpack: the records set the number of tasks
+    size = index.agg(F.sum("length")).head()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    placed = index.select("bundle", "frame", "offset", "length").repartition(tasks, "bundle", "frame").sortWithinPartitions(
         "bundle", "frame", "offset")
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, at, plain = None, None, b""
         for batch in batches:
