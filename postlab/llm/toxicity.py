@@ -1,9 +1,10 @@
 """Toxicity of whole texts: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed character n-grams. Each bucket is scaled by the logarithm of the ratio between its
-share in the rows of label 1 and of label 0; the scaled vector is normalised, and a logistic regression is fitted
-on it. Ratios and regression are fitted on at most ``fit_rows`` rows of each label, the ones of the smallest hash
-of the identifier; every row is scored.
+share in the rows of label 1 and of label 0. A bucket that the labels do not clearly differ in (by the likelihood ratio),
+or that is rare in both, gets ratio 0, since a few rows and their copies would decide it. A logistic regression is
+fitted on the scaled sets. Ratios and regression are fitted on at most ``fit_rows`` rows of each label, the ones of
+the smallest hash of the identifier; every row is scored.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.llm.common import Distinct, codes, grams, text_slices
+from postlab.llm.common import Distinct, below, codes, document_batches, grams, text_slices, tidy
 
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Rows of each label to fit on.
-FIT_ROWS = 2000
-ROUNDS = 80
+FIT_ROWS = 3000
+#: Least likelihood-ratio statistic of a bucket, and least share of the rows of a label that have it.
+LEAST_RATIO = 8.0
+LEAST_SHARE = 0.02
+SCALE = 0.1
+ROUNDS = 300
 STEP = 0.1
-PENALTY = 1e-4
+PENALTY = 1e-5
 
 
 class ToxicityModel(NamedTuple):
@@ -35,40 +40,48 @@ class ToxicityModel(NamedTuple):
 
 
 def log_ratios(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Logarithm of (share of a bucket in label 1) / (share in label 0), with one added to every count."""
-    shares = []
-    for label in (1, 0):
+    """Logarithm of (share of a bucket in label 1) / (share in label 0), with one added to every count; 0 if not clear."""
+    def counts(label: int) -> tuple[np.ndarray, int]:
         own = [s for s, y in zip(sets, labels) if y == label]
-        counts = np.bincount(np.concatenate([*own, np.zeros(0, np.uint32)]).astype(np.int64), minlength=1 << BITS)
-        shares.append((counts + 1) / (len(own) + 2))
-    return np.log(shares[0] / shares[1]).astype(np.float32)
+        return np.bincount(np.concatenate([*own, np.zeros(0, np.uint32)]).astype(np.int64), minlength=1 << BITS), len(own)
+
+    def part(seen: np.ndarray, due: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0)
+
+    (ones, n1), (zeros, n0) = counts(1), counts(0)
+    share = (ones + zeros) / max(1, n1 + n0)
+    likelihood = 2 * (part(ones, n1 * share) + part(zeros, n0 * share)
+                      + part(n1 - ones, n1 * (1 - share)) + part(n0 - zeros, n0 * (1 - share)))
+    clear = (likelihood >= LEAST_RATIO) & ((ones >= LEAST_SHARE * n1) | (zeros >= LEAST_SHARE * n0))
+    return np.where(clear, np.log((ones + 1) / (n1 + 2) / ((zeros + 1) / (n0 + 2))), 0).astype(np.float32)
 
 
 def regress(sets: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled, normalised sets by gradient steps with per-weight step sizes.
+    """Logistic regression on the scaled sets by gradient steps with per-weight step sizes.
 
     Both labels count alike, whatever their number of rows.
     """
-    sets, y = [s for s in sets if len(s)], labels[[len(s) > 0 for s in sets]].astype(np.float32)
+    y, n = labels.astype(float), len(labels)
     weight, bias = np.zeros(1 << BITS, dtype=np.float32), 0.0
-    if not 0 < y.sum() < len(y):
-        return weight, float(np.clip(y.sum() * 2 - len(y), -5, 5))
-    at, length = np.concatenate(sets), np.array([len(s) for s in sets])
-    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-    value = ratio[at]
-    norm = np.sqrt(np.add.reduceat(value * value, begin)) + 1e-6
-    value /= np.repeat(norm, length)
-    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
-    first, second = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    if not 0 < y.sum() < n:
+        return weight, float(np.clip(y.sum() * 2 - n, -5, 5))
+    clear = np.flatnonzero(ratio)
+    place = np.full(1 << BITS, -1)
+    place[clear] = np.arange(len(clear))
+    kept = [place[s[ratio[s] != 0]] for s in sets]
+    at, row = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept])
+    value = SCALE * ratio[clear].astype(float)[at]
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    now, first, second = np.zeros(len(clear) + 1), np.zeros(len(clear) + 1), np.zeros(len(clear) + 1)
     for turn in range(1, ROUNDS + 1):
-        z = np.add.reduceat(value * weight[at], begin) + bias
+        z = np.bincount(row, weights=value * now[at], minlength=n) + now[-1]
         error = each * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.bincount(at, weights=value * np.repeat(error, length), minlength=1 << BITS) + PENALTY * weight
+        slope = np.bincount(at, weights=value * error[row], minlength=len(clear)) + PENALTY * now[:-1]
         slope = np.append(slope, error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
-        step = STEP * (first / (1 - 0.9 ** turn)) / (np.sqrt(second / (1 - 0.99 ** turn)) + 1e-9)
-        weight, bias = weight - step[:-1].astype(np.float32), bias - float(step[-1])
-    return weight, bias
+        now = now - STEP * (first / (1 - 0.9 ** turn)) / (np.sqrt(second / (1 - 0.99 ** turn)) + 1e-9)
+    weight[clear] = now[:-1]
+    return weight, float(now[-1])
 
 
 def fit(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -78,23 +91,27 @@ def fit(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     One task fits the model on the sampled rows. Without rows of both labels every text scores near 0 or 1 alike;
     without any row, one half.
     """
+    document_batches(train.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("id").isNotNull()).dropDuplicates(["id"])
     known = known.join(train.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     number = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("label") == 1, 2 * fit_rows / max(1, number.get(1, 0))).otherwise(2 * fit_rows / max(1, number.get(0, 0)))
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    some = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_rows)
+    some = known.where(below(F.col("id"), share)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_rows)
     # at most 2 * fit_rows identifiers
     rows = train.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
         F.broadcast(some), "id").select("label", "rank", "text")
     rows = rows.groupBy("label", "rank").agg(F.min("text").alias("text"))  # identifiers may repeat
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct(BITS)
         for batch in text_slices(batches, 2):
             sets = [distinct(grams(codes(text), ORDERS, BITS)).tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["label", "rank", "set"])
 
+    @tidy
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(
             (label, rank, value) for b in batches for label, rank, value in zip(*(c.to_pylist() for c in b.columns)))
@@ -117,19 +134,20 @@ def fit(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every row. A null text, or one too short for an n-gram, scores the share of label 1."""
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, distinct = shared.value, Distinct(BITS)
-        pairs = np.stack([m.ratio * m.weight, m.ratio * m.ratio], axis=1)
+        scaled = (SCALE * m.ratio * m.weight).astype(np.float64)
         for batch in text_slices(batches, 1):
             found = np.full(batch.num_rows, m.prior)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 held = distinct(grams(codes(text), ORDERS, BITS)) if text else ()
                 if len(held):
-                    dot, square = pairs[held].sum(axis=0, dtype=np.float64)
-                    found[i] = 1 / (1 + np.exp(-np.clip(dot / (np.sqrt(square) + 1e-6) + m.bias, -30, 30)))
+                    found[i] = 1 / (1 + np.exp(-np.clip(scaled[held].sum() + m.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
                 names=[id_col, "score", "predicted"])
