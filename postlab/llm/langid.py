@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.llm.common import codes, grams, text_slices, words_only
+from postlab.llm.common import below, codes, document_batches, grams, text_slices, tidy, words_only
+from postlab.session import stored
 
 ORDERS = (1, 2, 3)
 BITS = 13
@@ -53,6 +54,7 @@ def _vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _frequencies(rows: DataFrame) -> np.ndarray:
     """Rows that hold each bucket, then the number of rows; one sum per bucket comes to the driver."""
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((1 << BITS) + 1, dtype=np.int64)
         for batch in text_slices(batches, 0):
@@ -88,18 +90,19 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS, slack: float = SLACK) -> LanguageModel:
     """Fit on the rows whose language is known and whose text has a letter. Without any, there are no languages."""
+    document_batches(train.sparkSession)
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & has_letter(F.col("text")))
     total = _frequencies(rows)
     idf = np.log((1 + total[-1]) / (1 + total[:-1])) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
-    if ids.select("lang").distinct().count() > MAX_LANGUAGES:
+    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")), "languages")
+    if counts.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # at most MAX_LANGUAGES * sample_rows identifiers; ranked again, since identifiers may repeat
-    sample = rows.join(F.broadcast(ids.select("id", "lang")), ["id", "lang"], "left_semi").withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    sample = rows.join(F.broadcast(counts), "lang").where(
+        below(F.col("id"), 2 * sample_rows / F.col("n_lang"))
+    ).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
 
     def centers(group: pd.DataFrame) -> pd.DataFrame:
         made = [_vector(text, idf) for text in group["text"]]
@@ -139,9 +142,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if the model
     knows no language. Other rejected texts still get the nearest language.
     """
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(id_col).alias(id_col), F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1, 1 << 20):
             lang, score, rejected = _judge(shared.value, batch.column(1).to_pylist())
@@ -155,13 +160,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text the model does not reject, with all their columns."""
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    judged = docs.select(*docs.columns, F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("_judged_text"))
+    lettered = docs.where(has_letter(F.col(text_col)))
+    at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, judged_at, 1 << 20):
-            rejected = _judge(shared.value, batch.column(judged_at).to_pylist())[2]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=docs_names).filter(pa.array(~rejected))
+        for batch in text_slices(batches, at, 1 << 20):
+            yield batch.filter(pa.array(~_judge(shared.value, batch.column(at).to_pylist())[2]))
 
-    judged_at, docs_names = len(docs.columns), docs.columns
-    return judged.mapInArrow(run, docs.schema)
+    return lettered.mapInArrow(run, docs.schema)
