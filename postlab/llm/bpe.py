@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.llm.common import text_slices
+from postlab.llm.common import document_batches, text_slices, tidy
 
 MAX_RANK_BYTES = 64 << 20
 #: Longer texts are encoded in parts of about so many characters.
@@ -60,6 +60,11 @@ def encode_text(coder: tiktoken.Encoding, text: str | None, size: int = PART_CHA
     return b"".join(np.array(coder.encode_ordinary(p), dtype="<u4").tobytes() for p in parts(text, size))
 
 
+def decode_ids(coder: tiktoken.Encoding, ids: bytes | None) -> bytes:
+    """The bytes that packed ids stand for."""
+    return coder.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) if ids else b""
+
+
 def _rank_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         found = file.read(MAX_RANK_BYTES + 1)
@@ -69,24 +74,31 @@ def _rank_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           part_chars: int = PART_CHARS, keep_text: bool = False) -> DataFrame:
-    """One row per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit integers), and text if kept.
+           part_chars: int = PART_CHARS, verify: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit integers).
 
-    Special tokens are not used: their strings are ordinary text. A null text has no tokens.
+    Special tokens are not used: their strings are ordinary text. A null text has no tokens. With ``verify`` the ids
+    are decoded at once, and a column round_trip tells whether they give the text.
     """
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_rank_bytes(rank_path))
     chosen = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value, pattern)
         for batch in text_slices(batches, 1):
-            ids = [encode_text(coder, text, part_chars) for text in batch.column(1).to_pylist()]
-            counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-            columns = [batch.column(0), counts, pa.array(ids, pa.binary()), *batch.columns[1:1 + keep_text]]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids", "text"][:len(columns)])
-
+            texts = batch.column(1).to_pylist()
+            ids = [encode_text(coder, text, part_chars) for text in texts]
+            columns = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if verify:
+                columns.append(pa.array([
+                    decode_ids(coder, i) == (text or "").encode() for i, text in zip(ids, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [id_col, "n_tokens", "ids", "round_trip"][:3 + verify]
     kind = chosen.schema[0].dataType.simpleString()
-    return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary" + ", text string" * keep_text)
+    return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary" + ", round_trip boolean" * verify)
 
 
 def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", result: str = "decoded",
@@ -95,17 +107,16 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids"
 
     The bytes need not be UTF-8: ids may cut a character. Null ids give no bytes; an unknown id is an error.
     """
+    document_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(_rank_bytes(rank_path))
     others = [c for c in tokens.columns if c != result and (keep_ids or c != ids_col)]
     chosen = tokens.select(F.col(ids_col).alias("_packed"), *others)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value, pattern)
         for batch in text_slices(batches, 0):
-            found = [
-                coder.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()) if ids else b""
-                for ids in batch.column(0).to_pylist()
-            ]
+            found = [decode_ids(coder, ids) for ids in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(found, pa.binary())], names=[*others, result])
 

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.llm.common import ROW, Words, mix64, numbered, text_slices
+from postlab.llm.common import ROW, Words, document_batches, mix64, numbered, text_slices, tidy, views
 from postlab.llm.components import components
 from postlab.session import stored
 
 #: Shingles of a region that one task joins.
 REGION_SIZE = 4 << 20
 #: Signatures that a task collects before it sends them, and signatures of a partition that matches them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 MATCH = 1 << 19
 #: Parts beyond d + 1, as a share of these; as many of the smallest parts need no signature.
 SPARE = 0.35
@@ -237,6 +237,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
     """(id, n, key, second) of every row."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1, 1 << 20):
             found = [(len(s), *set_key(s)) for s in shingle_sets(batch.column(1), n)]
@@ -267,6 +268,7 @@ def _shared_signatures(docs: DataFrame, n: int, similarity: Fraction, parts: int
 
     A set is sent once per flush of a task, however many documents have it.
     """
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, held, keys, seen = Signatures(similarity), [], [], set()
 
@@ -295,15 +297,16 @@ def _shared_signatures(docs: DataFrame, n: int, similarity: Fraction, parts: int
         if held:
             yield flush()
 
+    @tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[int, list] = {}
         for batch in batches:
-            for part, signature, key in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = zip(batch.column(0).to_pylist(), views(batch.column(1), np.uint64), views(batch.column(2), np.int64))
+            for part, signature, key in rows:
                 packed.setdefault(part, []).append((signature, key))
         while packed:
             _, rows = packed.popitem()
-            region, key = _match(
-                np.frombuffer(b"".join(s for s, _ in rows), np.uint64), np.frombuffer(b"".join(k for _, k in rows), np.int64))
+            region, key = _match(*(np.concatenate(c) for c in zip(*rows)))
             yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(key)], names=["region", "key"])
 
     sent = docs.select("text").mapInArrow(collect, "part int, signatures binary, keys binary").repartition(parts, "part")
@@ -312,6 +315,7 @@ def _shared_signatures(docs: DataFrame, n: int, similarity: Fraction, parts: int
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(key, n, sketch, set) of ``wanted`` (key, id): the texts are read again for those that need it."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1, 1 << 20):
             rows = [
@@ -448,6 +452,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with nothing: its component is its own identifier. Rows of equal sets link, whatever their identifiers; a null
     identifier counts only if a component has no other.
     """
+    document_batches(docs.sparkSession)
     similarity = Fraction(percent, 100)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stored(_describe(docs, n), "shingles")
