@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.llm.common import ROW, Words, numbered, text_slices
+from postlab.llm.common import ROW, Words, document_batches, mix64, numbered, text_slices, tidy, views
+from postlab.llm.exact_dedup import merge_runs
 from postlab.session import stored
 
 #: Words of an anchor.
@@ -70,13 +71,15 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _block_of(phrase: np.ndarray, blocks: int) -> np.ndarray:
-    return ((phrase >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    # anchors have small hashes, so these are scrambled first
+    return ((mix64(phrase ^ _SECOND_BASE) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 # ---- 1: anchors ---------------------------------------------------------------------------------------------------
 
 def _shared_anchors(docs: DataFrame, window: int, blocks: int) -> DataFrame:
-    """(doc, places): the words of each document at which an anchor begins that occurs elsewhere too, as packed lists."""
+    """(doc, places): the words of each document at which an anchor begins that occurs elsewhere too, packed."""
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
@@ -107,30 +110,47 @@ def _shared_anchors(docs: DataFrame, window: int, blocks: int) -> DataFrame:
         if held:
             yield flush()
 
-    def lists(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return _rows(
-            [(d, p.tobytes()) for d, p in _by_block(doc, place)], ["doc", "places"], [pa.int64(), pa.binary()])
+    def homeward(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """What a block has found, packed by the task that will gather each document's places."""
+        home = (mix64(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        rows = [(h, d.tobytes(), p.tobytes()) for h, d, p in _by_block(home, doc, place)]
+        return _rows(rows, ["home", "docs", "places"], [pa.int32(), pa.binary(), pa.binary()])
 
+    @tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[int, list] = {}
         for batch in batches:
-            for part, phrase, doc, place in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            columns = (views(batch.column(i + 1), kind) for i, kind in enumerate((np.uint32, np.int64, np.uint32)))
+            for part, phrase, doc, place in zip(batch.column(0).to_pylist(), *columns):
                 if part < 0:
-                    yield lists(np.frombuffer(doc, np.int64), np.frombuffer(place, np.uint32))
+                    yield homeward(doc, place)
                 else:
                     packed.setdefault(part, []).append((phrase, doc, place))
         while packed:
             _, rows = packed.popitem()
-            phrase, doc, place = (
-                np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*rows), (np.uint32, np.int64, np.uint32)))
+            phrase, doc, place = (np.concatenate(c) for c in zip(*rows))
             order = np.argsort(phrase, kind="stable")
             same = phrase[order][1:] == phrase[order][:-1]
             shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
             if len(shared):
-                yield lists(doc[shared], place[shared])
+                yield homeward(doc[shared], place[shared])
+
+    @tidy
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: dict[int, list] = {}
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), views(batch.column(1), np.int64), views(batch.column(2), np.uint32))
+            for home, doc, place in rows:
+                packed.setdefault(home, []).append((doc, place))
+        while packed:
+            _, rows = packed.popitem()
+            found = _by_block(*(np.concatenate(c) for c in zip(*rows)))
+            for start in range(0, len(found), 1000):
+                yield _rows([(d, p.tobytes()) for d, p in found[start:start + 1000]], ["doc", "places"], [pa.int64(), pa.binary()])
 
     sent = docs.select("doc", "text").mapInArrow(collect, _PACKED).repartition(blocks, "part")
-    return sent.mapInArrow(match, "doc bigint, places binary").groupBy("doc").agg(F.collect_list("places").alias("places"))
+    back = sent.mapInArrow(match, "home int, docs binary, places binary").repartition(blocks, "home")
+    return back.mapInArrow(gather, "doc bigint, places binary")
 
 
 # ---- 2: windows ----------------------------------------------------------------------------------------------------
@@ -163,6 +183,7 @@ def _settle(phrase: np.ndarray, second: np.ndarray, doc: np.ndarray, start: np.n
 
 def _windows(docs: DataFrame, window: int, blocks: int) -> DataFrame:
     """(doc, start, count, source, source_start): the factors of each document, in windows. ``docs`` has doc, text, places."""
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
@@ -179,8 +200,8 @@ def _windows(docs: DataFrame, window: int, blocks: int) -> DataFrame:
             words = Words(batch.column(1))
             start, anchor, phrases, text = _anchors(words, window)
             marked = np.zeros(len(words.hash) + 1, dtype=bool)
-            for begin, places in zip(words.first, batch.column(2).to_pylist()):
-                marked[begin + np.frombuffer(b"".join(places), np.uint32).astype(np.int64)] = True
+            for begin, places in zip(words.first, views(batch.column(2), np.uint32)):
+                marked[begin + places.astype(np.int64)] = True
             chosen = marked[anchor]
             start, anchor = start[chosen], anchor[chosen]
             if len(start):
@@ -197,23 +218,26 @@ def _windows(docs: DataFrame, window: int, blocks: int) -> DataFrame:
 
     names, kinds = ["doc", "start", "source", "source_start", "count"], (np.int64, np.uint32, np.int64, np.uint32, np.uint32)
 
+    window_kinds = (np.uint64, np.uint32, np.int64, np.uint32)
+
     def unpacked(arrays: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(a.astype(np.int64) if k is np.int64 else a.astype(np.int32)) for a, k in zip(arrays, kinds)], names=names)
 
+    @tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: dict[int, list] = {}
         for batch in batches:
-            for part, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                one = batch.slice(row, 1)
                 if part < 0:
-                    yield unpacked([np.frombuffer(a, k) for a, k in zip(arrays, kinds)])
+                    yield unpacked([views(one.column(i + 1), kind)[0] for i, kind in enumerate(kinds)])
                 else:
-                    packed.setdefault(part, []).append(arrays[:4])
+                    held = [views(one.column(i + 1), kind)[0] for i, kind in enumerate(window_kinds)]
+                    packed.setdefault(part, []).append(held)
         while packed:
             _, rows = packed.popitem()
-            settled = _settle(*(
-                np.frombuffer(b"".join(c), k) for c, k in zip(zip(*rows), (np.uint64, np.uint32, np.int64, np.uint32))))[1]
-            yield unpacked(settled)
+            yield unpacked(_settle(*(np.concatenate(c) for c in zip(*rows)))[1])
 
     sent = docs.select("doc", "text", "places").mapInArrow(collect, _PACKED).repartition(blocks, "part")
     return sent.mapInArrow(match, "doc bigint, start int, source bigint, source_start int, count int")
@@ -235,6 +259,7 @@ def _cut(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[int, int
 
 def _spans(docs: DataFrame, window: int) -> DataFrame:
     """(id, n_words, n_removed, kept_text, factors) from id, text, parts (factors in windows) and copy_of."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
             rows = []
@@ -286,17 +311,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
+    document_batches(docs.sparkSession)
     docs = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     rows = docs.select(F.col(ROW).alias("doc"), "text")
-    whole = F.coalesce(F.col("text"), F.lit(""))
-    digests = stored(rows.select("doc", F.unhex(F.sha2(whole, 256)).alias("digest"), F.octet_length(whole).alias("size")), "digests")
-    size = digests.agg(F.sum("size")).head()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, size // 36 // BLOCK)
-    firsts = digests.groupBy("digest", "size").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = stored(digests.join(firsts, ["digest", "size"]).where("doc <> copy_of").select("doc", "copy_of"), "copies")
+    copies = stored(merge_runs(rows, "doc", "text", keep="smallest").where("NOT kept").select(
+        "doc", F.col("keep_id").alias("copy_of")), "copies")
 
-    shared = _shared_anchors(rows, window, blocks).join(copies, "doc", "left_anti")
-    found = _windows(rows.join(shared, "doc"), window, blocks)
+    shared = _shared_anchors(rows, window, blocks)
+    found = _windows(rows.join(copies, "doc", "left_anti").join(shared, "doc"), window, blocks)
     parts = found.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "source", "source_start")).alias("parts"))
     extra = parts.withColumn("copy_of", F.lit(None).cast("bigint")).unionByName(
         copies.withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType)))
