@@ -71,13 +71,14 @@ def starts(totals: DataFrame, keys: list[str], index: str, value: str, size: int
     order = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     if size <= FAN:
         return totals.withColumn("start", F.coalesce(F.sum(value).over(order.partitionBy(*keys)), F.lit(0)))
-    fine = totals.withColumn("upper", F.floor(F.col(index) / FAN))
-    upper = starts(fine.groupBy(*keys, "upper").agg(F.sum(value).alias(value)), keys, "upper", value, -(-size // FAN))
-    inner = F.coalesce(F.sum(value).over(order.partitionBy(*keys, "upper")), F.lit(0))
+    upper = f"{index}_above"
+    fine = totals.withColumn(upper, F.floor(F.col(index) / FAN))
+    coarse = starts(fine.groupBy(*keys, upper).agg(F.sum(value).alias(value)), keys, upper, value, -(-size // FAN))
+    inner = F.coalesce(F.sum(value).over(order.partitionBy(*keys, upper)), F.lit(0))
     return (
         fine.withColumn("inner", inner)
-        .join(upper.select(*keys, "upper", F.col("start").alias("base")), [*keys, "upper"])
-        .withColumn("start", F.col("base") + F.col("inner")).drop("upper", "inner", "base")
+        .join(coarse.select(*keys, upper, F.col("start").alias("base")), [*keys, upper])
+        .withColumn("start", F.col("base") + F.col("inner")).drop(upper, "inner", "base")
     )
 
 
