@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import partial
 
 from pyspark.ml import Pipeline
@@ -18,17 +17,15 @@ from postlab.operators import wordvectors as wv
 from postlab.operators.terms import stem_tokens, vocabulary
 from postlab.plans import catalog
 from postlab.plans.features import cluster_features, fit_clusters, fit_word_vectors
-from postlab.plans.models import SEQUENCE_HIDDEN, Plan, fit, predict
-from postlab.plans.validation import cross_validate, holdout
+from postlab.plans.models import PCA_WIDTH, SEQUENCE_HIDDEN, Plan, fit, predict
+from postlab.plans.validation import cross_validate, holdout, mean_metric
 from postlab.queries import FOLDS, SEED, query, r6
-from postlab.session import checkpointed
+from postlab.session import stored
 from postlab.sources.writers import feature_line
-from postlab.testtables import N_CENTERS, Tables, tables
+from postlab.testtables import DIM, N_CLUSTERS, Tables, tables
 
-# ---- fixed values: small settings, the defaults of the plans are the full ones --------------------------
-SMALL = {"trees": 5, "depth": 5, "iterations": 20, "hidden": [50], "bucket": 1 << 14}
-COMPONENTS, COMPONENT_TERMS = 10, 512
-WORD_DIM, WORD_MIN_COUNT, WORD_PARTITIONS = 16, 5, 8
+# ---- fixed values: settings of the feature queries; models have those of their plans --------------------
+WORD_DIM, WORD_MIN_COUNT, WORD_PARTITIONS = 100, 5, 8
 SEQUENCE = 15
 # ---- end of fixed values ----------------------------------------------------------------------------------
 
@@ -38,8 +35,7 @@ _EMBEDDED = catalog.PLANS["submit_embeddings"]
 
 def _predictions(t: Tables, plan: Plan, kind: str, task: str) -> DataFrame:
     """Fit on the labelled documents, predict all of them and the unlabelled ones."""
-    small = catalog.with_settings(plan, **SMALL)
-    model = fit(t.labelled_features, small, kind, task, t.lexicon_words)
+    model = fit(t.labelled_features, plan, kind, task, t.lexicon_words)
     scored = predict(model, t.features, "doc_id")
     return t.features.select("doc_id", F.col(task).alias("label")).join(scored, "doc_id")
 
@@ -102,8 +98,7 @@ def terms_lexicon_clusters_relevance(spark, sf):
 @query
 def terms_components_relevance(spark, sf):
     """Principal components of the term weights with lexicon, scores and spelling."""
-    plan = replace(catalog.PLANS["terms_components"], tf_width=COMPONENT_TERMS, pca=COMPONENTS)
-    return _predictions(tables(spark, sf), plan, "logreg", "relevance")
+    return _predictions(tables(spark, sf), catalog.PLANS["terms_components"], "logreg", "relevance")
 
 
 @query
@@ -120,17 +115,17 @@ def embeddings_logreg_sentiment(spark, sf):
 def linear_text_raw_sentiment(spark, sf):
     """The linear text classifier on stems of the uncleaned tokens."""
     t = tables(spark, sf)
-    docs = checkpointed(t.texts.select("doc_id", raw_tokens(F.col("text")).alias("tokens")))
-    stems = checkpointed(
+    docs = stored(t.texts.select("doc_id", raw_tokens(F.col("text")).alias("tokens")))
+    stems = stored(
         stem_tokens(docs, ["doc_id"], stem_german).join(t.labels, "doc_id", "left"))
-    plan = catalog.with_settings(catalog.PLANS["linear_text"], **SMALL)
+    plan = catalog.PLANS["linear_text"]
     model = fit(stems.where(F.col("sentiment").isNotNull()), plan, "logreg", "sentiment")
     return stems.select("doc_id", F.col("sentiment").alias("label")).join(predict(model, stems, "doc_id"), "doc_id")
 
 
 def _submission(t: Tables, name: str, task: str) -> DataFrame:
     """Train on the labelled documents, submission rows for the others."""
-    plan = catalog.with_settings(catalog.PLANS[name], **SMALL)
+    plan = catalog.PLANS[name]
     test = t.features.where(F.col("relevance").isNull())
     return catalog.submit(
         t.labelled_features, test, t.texts, plan, task, "doc_id", lexicon_words=t.lexicon_words)
@@ -141,6 +136,16 @@ def submit_embeddings_sentiment(spark, sf):
     return _submission(tables(spark, sf), "submit_embeddings", "sentiment")
 
 
+@query
+def submit_embeddings_relevance(spark, sf):
+    return _submission(tables(spark, sf), "submit_embeddings", "relevance")
+
+
+@query
+def submit_terms_sentiment(spark, sf):
+    return _submission(tables(spark, sf), "submit_terms", "sentiment")
+
+
 @query
 def submit_terms_relevance(spark, sf):
     return _submission(tables(spark, sf), "submit_terms", "relevance")
@@ -151,6 +156,11 @@ def submit_linear_text_sentiment(spark, sf):
     return _submission(tables(spark, sf), "submit_linear_text", "sentiment")
 
 
+@query
+def submit_linear_text_relevance(spark, sf):
+    return _submission(tables(spark, sf), "submit_linear_text", "relevance")
+
+
 @query
 def cluster_matrix_lines(spark, sf):
     """Feature matrix lines of mean vector, scores and cluster membership."""
@@ -158,16 +168,24 @@ def cluster_matrix_lines(spark, sf):
     return tables(spark, sf).features.select("doc_id", feature_line(F.concat(*parts)).alias("line"))
 
 
+@query
+def matrix_cluster_lines(spark, sf):
+    """Feature matrix lines of the cluster membership of the mean vector, after the label."""
+    t = tables(spark, sf)
+    return t.labelled_features.select(
+        "doc_id", feature_line(vector_to_array("km"), F.col("sentiment")).alias("line"))
+
+
 def _sequence_predictions(t: Tables, task: str) -> DataFrame:
     """Word vectors trained on the corpus, padded sequences, a perceptron on top."""
-    docs = checkpointed(t.tokens)
+    docs = stored(t.tokens)
     vectors = fit_word_vectors(docs, WORD_DIM, WORD_MIN_COUNT, SEED, partitions=WORD_PARTITIONS).join(vocabulary(docs), "word")
-    padded = wv.padded_sequences(docs, checkpointed(vectors), ["doc_id"], SEQUENCE, WORD_DIM)
-    blocks = checkpointed(
+    padded = wv.padded_sequences(docs, stored(vectors), ["doc_id"], SEQUENCE, WORD_DIM)
+    blocks = stored(
         padded.select("doc_id", array_to_vector("sequence").alias("sequence"))
         .join(t.labels, "doc_id", "left")
     )
-    plan = Plan(("sequence",), models=("mlp",), settings={"hidden": SEQUENCE_HIDDEN, "iterations": 20})
+    plan = Plan(("sequence",), models=("mlp",), settings={"hidden": SEQUENCE_HIDDEN})
     model = fit(blocks.where(F.col(task).isNotNull()), plan, "mlp", task)
     return blocks.select("doc_id", F.col(task).alias("label")).join(predict(model, blocks, "doc_id"), "doc_id")
 
@@ -215,14 +233,14 @@ def chi2_select(spark, sf):
 @query
 def pca_embeddings(spark, sf):
     points = tables(spark, sf).embeddings.select("vec_id", array_to_vector("vector").alias("v"))
-    reduced = PCA(k=COMPONENTS, inputCol="v", outputCol="p").fit(points).transform(points)
+    reduced = PCA(k=min(PCA_WIDTH, DIM), inputCol="v", outputCol="p").fit(points).transform(points)
     return wv.long_form(reduced, ["vec_id"], vector_to_array("p")).withColumn("value", r6(F.col("value")))
 
 
 @query
 def kmeans_fit(spark, sf):
     """Centers of a K-means fit, one row per dimension."""
-    model = fit_clusters(tables(spark, sf).embeddings, k=N_CENTERS, seed=SEED)
+    model = fit_clusters(tables(spark, sf).embeddings, k=N_CLUSTERS, seed=SEED)
     rows = [(c, [float(x) for x in center]) for c, center in enumerate(model.clusterCenters())]
     return wv.long_form(spark.createDataFrame(rows, "center int, v array<double>"), ["center"], "v")
 
@@ -250,8 +268,7 @@ def word2vec_vocab(spark, sf):
 # ---- evaluation -----------------------------------------------------------------------------------------------
 
 def _cv_fits(task: str):
-    plan = catalog.with_settings(_BOW, **SMALL)
-    return {"logreg": lambda train: fit(train, plan, "logreg", task)}
+    return {"logreg": lambda train: fit(train, _BOW, "logreg", task)}
 
 
 @query
@@ -267,20 +284,24 @@ def kfold_paired(spark, sf):
     t = tables(spark, sf)
     train, dev = t.labelled_splits
     return cross_validate(
-        train, _cv_fits("relevance"), "relevance", "doc_id", 3, SEED, validation=dev, parallelism=3)
+        train, _cv_fits("relevance"), "relevance", "doc_id", FOLDS, SEED, validation=dev, parallelism=FOLDS)
 
 
 @query
 def kfold_augmented(spark, sf):
-    """The items of the benchmark table join the training side of each fold as relevant texts."""
+    """The items of the benchmark table join the training side of each fold as relevant texts; folds and their mean.
+
+    The mean stands under fold -1.
+    """
     t = tables(spark, sf)
     items = t.table("benchmark").select(
-        (-F.col("item_id") - 1).alias("doc_id"), normalize_tokens(F.col("text")).alias("stems"),
-        F.lit(1).alias("relevance"),
-    )
+        (-F.col("item_id") - 1).alias("doc_id"), normalize_tokens(F.col("text")).alias("tokens"))
+    added = stem_tokens(items, ["doc_id"], stem_german).withColumn("relevance", F.lit(1))
     data = t.labelled_features.select("doc_id", "stems", "relevance")
-    return cross_validate(
-        data, _cv_fits("relevance"), "relevance", "doc_id", 3, SEED, augmentation=items, parallelism=3)
+    folds = cross_validate(
+        data, _cv_fits("relevance"), "relevance", "doc_id", FOLDS, SEED, augmentation=added, parallelism=FOLDS)
+    mean = mean_metric(folds).select("param_set", F.lit(-1).alias("fold"), F.col("average").alias("f1"))
+    return folds.unionByName(mean)
 
 
 @query
@@ -293,15 +314,15 @@ def holdout_f1(spark, sf):
 
 @query
 def plan_comparison(spark, sf):
-    """Fold scores of several feature combinations under one classifier."""
+    """Fold scores of the embedding combinations under the perceptron, for both tasks."""
     t = tables(spark, sf)
-    chosen = {
-        name: catalog.with_settings(catalog.PLANS[name], **SMALL)
-        for name in ("compare_embeddings", "compare_embeddings_dict", "compare_embeddings_dict_lex")
-    }
-    one_model = {n: catalog.only_models(p, "mlp") for n, p in chosen.items()}
-    return catalog.compare(
-        t.labelled_features, one_model, "relevance", "doc_id", t.lexicon_words, k=2, parallelism=2)
+    names = ("compare_embeddings", "compare_embeddings_dict", "compare_embeddings_lex", "compare_embeddings_dict_lex")
+    one_model = {n: catalog.only_models(catalog.PLANS[n], "mlp") for n in names}
+    by_task = [
+        catalog.compare(t.labelled_features, one_model, task, "doc_id", t.lexicon_words, parallelism=FOLDS)
+        for task in ("relevance", "sentiment")
+    ]
+    return by_task[0].unionByName(by_task[1])
 
 
 @query

@@ -14,35 +14,42 @@ from postlab.sources.writers import submission
 
 # ---- fixed values: the combinations and their settings ------------------------------------------------
 EVERYTHING = 16384 + 93
+NO_HIDDEN = {"mlp": {"hidden": []}}
+DEFAULT_TREES = {"trees": 20, "depth": 5}
+LINEAR_TEXT = {"standardize": False}
 PLANS: dict[str, Plan] = {
     # predictions for submission
     "submit_embeddings": Plan(("w2v", "dict", "lex")),
     "submit_terms": Plan(("tfidf", "dict"), top=TOP_FEATURES),
-    "submit_linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
+    "submit_linear_text": Plan(("grams",), models=("logreg",), settings=LINEAR_TEXT),
     # feature and model comparison
     "compare_terms_dict": Plan(("tfidf", "dict"), top=TOP_FEATURES, models=("gbt", "mlp")),
     "compare_terms": Plan(("tfidf",), top=TOP_FEATURES, models=("gbt", "mlp")),
-    "compare_terms_spell": Plan(("tfidf",), ("spell",), top=TOP_FEATURES, models=("gbt", "mlp")),
-    "compare_embeddings": Plan(("w2v",), models=("gbt", "mlp")),
-    "compare_embeddings_dict": Plan(("w2v", "dict"), models=("gbt", "mlp")),
-    "compare_embeddings_lex": Plan(("w2v", "lex"), models=("gbt", "mlp")),
-    "compare_embeddings_dict_lex": Plan(("w2v", "dict", "lex"), models=("gbt", "mlp")),
-    "compare_linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
+    "compare_terms_spell": Plan(("tfidf", "spell"), top=TOP_FEATURES, models=("gbt", "mlp")),
+    "compare_embeddings": Plan(("w2v",), models=("gbt", "mlp"), settings=NO_HIDDEN),
+    "compare_embeddings_dict": Plan(("w2v", "dict"), models=("gbt", "mlp"), settings=NO_HIDDEN),
+    "compare_embeddings_lex": Plan(("w2v", "lex"), models=("gbt", "mlp"), settings=NO_HIDDEN),
+    "compare_embeddings_dict_lex": Plan(("w2v", "dict", "lex"), models=("gbt", "mlp"), settings=NO_HIDDEN),
+    "compare_linear_text": Plan(("grams",), models=("logreg",), settings=LINEAR_TEXT),
     # single studies
-    "bare_terms": Plan(("tfidf",), top=TOP_FEATURES, models=("mlp", "gbt", "svc", "logreg")),
+    "bare_terms": Plan(
+        ("tfidf",), top=TOP_FEATURES, models=("mlp", "gbt", "svc", "logreg"), settings={"gbt": DEFAULT_TREES}),
     "terms_lexicon_clusters": Plan(
         ("tfidf", "dict"), ("lexc", "km"), top=TOP_FEATURES, settings={"trees": 100}),
     "terms_components": Plan(
-        ("tfidf",), ("lex", "dict", "spell"), pca=PCA_WIDTH, tf_width=8192,
-        models=("mlp", "gbt", "svc", "logreg")),
-    "embeddings": Plan(("w2v", "dict", "lex"), models=("mlp", "logreg", "gbt", "svc")),
+        ("tfidf",), ("lex", "dict", "spell"), top=TOP_FEATURES, pca=PCA_WIDTH, tf_width=8192,
+        models=("mlp", "gbt", "svc", "logreg"),
+        settings={"gbt": DEFAULT_TREES, "mlp": {"hidden": [100], "iterations": 200}}),
+    "embeddings": Plan(
+        ("w2v", "dict", "lex"), models=("mlp", "logreg", "gbt", "svc"),
+        settings={**NO_HIDDEN, "gbt": {"trees": 20, "depth": {"sentiment": 10, "relevance": 5}}}),
     "embeddings_clusters": Plan(
         ("w2v", "dict", "lex", "km"), models=("gbt", "logreg"), tasks=("sentiment",), folds=3,
-        settings={"depth": 5}),
+        settings={"gbt": {"trees": 20, "depth": 5}}),
     "embeddings_clusters_spell": Plan(
         ("w2v", "dict", "lex", "km", "spell"), models=("gbt", "logreg"), tasks=("sentiment",), folds=2,
-        settings={"depth": 8}),
-    "linear_text": Plan(("grams",), models=("logreg",), settings={"standardize": False}),
+        settings={"gbt": {"trees": 20, "depth": 8}}),
+    "linear_text": Plan(("grams",), models=("logreg",), settings=LINEAR_TEXT),
     "scores_only": Plan(("dict",), models=("mlp",), settings={"hidden": [50]}),
     "matrix_clusters": Plan(("w2v",), ("km",), models=()),
     "matrix_all": Plan(("w2v", "dict", "km"), models=()),

@@ -31,7 +31,7 @@ def document_features(docs: DataFrame, key: str, *, vectors: DataFrame, dim: int
                       dictionary: DataFrame, words: DataFrame,
                       stemmer: Callable[[Column], Column],
                       clusters: KMeansModel | None = None) -> DataFrame:
-    """(key, tokens, stems, w2v, dict, dictbins, lexc, spell, km) for ``docs`` (key, tokens, scores).
+    """(key, tokens, stems, w2v, dict, dictbins, lexc, spell, spellbins, km) for ``docs`` (key, tokens, scores).
 
     Each block is a table keyed by document, and all blocks meet in equi-joins on that key.
     """
@@ -49,6 +49,7 @@ def document_features(docs: DataFrame, key: str, *, vectors: DataFrame, dim: int
             array_to_vector(F.transform("scores", two_digits)).alias("dictbins"),
             array_to_vector(F.array("positive", "negative").cast("array<double>")).alias("lexc"),
             array_to_vector(F.array("ratio")).alias("spell"),
+            array_to_vector(F.array(two_digits(F.col("ratio")))).alias("spellbins"),
         )
     )
     return joined if clusters is None else cluster_features(joined, clusters, "w2v", "km")

@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import (
     IDF, PCA, CountVectorizerModel, HashingTF, NGram, Normalizer, SQLTransformer,
-    UnivariateFeatureSelector, VectorAssembler,
+    UnivariateFeatureSelector, VectorAssembler, VectorSlicer,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ MLP_HIDDEN = [500]
 MLP_BLOCK = 128
 MLP_ITERATIONS = 100
 SEQUENCE_HIDDEN = [128, 100]
+BUCKETS = 1 << 18
 # ---- end of fixed values ------------------------------------------------------------------------------
 
 
@@ -34,7 +35,8 @@ class Plan:
     """Feature blocks and classifiers of one named combination.
 
     ``base`` blocks are assembled first and may be cut down by chi-square (``top``) or PCA (``pca``);
-    ``extra`` blocks are appended after that.
+    ``extra`` blocks are appended after that. ``settings`` hold for all classifiers, or under the name of one
+    for that one; a value may be given per task.
     """
 
     base: tuple[str, ...]
@@ -48,8 +50,16 @@ class Plan:
     settings: dict = field(default_factory=dict)
 
 
-def feature_stages(plan: Plan, task: str, lexicon_words: list[str] | None = None) -> list:
-    """Stages that end in the column ``features``."""
+#: Blocks of unrounded numbers and the rounded ones that selection sees in their place.
+BINNED = {"dict": "dictbins", "spell": "spellbins"}
+
+
+def feature_stages(plan: Plan, lexicon_words: list[str] | None = None) -> tuple[list, list[str], list[str]]:
+    """Stages up to the assembled base, and the columns of the base and of what is appended to it.
+
+    With selection or components the base is the one column ``_base``; with selection there is also ``_bins``: the
+    same features, with unrounded numbers cut to two digits, since chi-square takes every value as a category.
+    """
     stages: list = []
 
     def column(block: str) -> list[str]:
@@ -65,7 +75,7 @@ def feature_stages(plan: Plan, task: str, lexicon_words: list[str] | None = None
                     statement="SELECT *, concat(stems, _bigrams) AS _grams FROM __THIS__"))
                 grams = "_grams"
             stages.append(HashingTF(inputCol=grams, outputCol="_counts",
-                                    numFeatures=plan.settings.get("bucket", 1 << 18)))
+                                    numFeatures=plan.settings.get("bucket", BUCKETS)))
             stages.append(Normalizer(inputCol="_counts", outputCol="_unit", p=2.0))
             return ["_unit"]
         if block == "lex":
@@ -74,30 +84,44 @@ def feature_stages(plan: Plan, task: str, lexicon_words: list[str] | None = None
             return ["lexc", "_present"]
         return [block]
 
-    # selection counts distinct values, so it sees the scores rounded to two digits
-    base = ["dictbins" if plan.top and b == "dict" else b for b in plan.base]
-    stages_columns = [c for block in base for c in column(block)]
-    current = stages_columns
+    base = [c for block in plan.base for c in column(block)]
+    if plan.top:
+        stages.append(VectorAssembler(inputCols=[BINNED.get(c, c) for c in base], outputCol="_bins"))
     if plan.top or plan.pca:
-        stages.append(VectorAssembler(inputCols=current, outputCol="_base"))
-        current = ["_base"]
+        stages.append(VectorAssembler(inputCols=base, outputCol="_base"))
+        base = ["_base"]
+    return stages, base, [c for block in plan.extra for c in column(block)]
+
+
+def fit_features(train: DataFrame, plan: Plan, task: str, lexicon_words: list[str] | None = None) -> PipelineModel:
+    """The fitted stages of a plan, ending in the column ``features``.
+
+    Selection looks at the rounded features and passes the indices on, so the classifier gets the unrounded ones. Spark
+    takes at most 10,000 different values of a feature there; counts of terms and two digits stay below.
+    """
+    stages, base, extra = feature_stages(plan, lexicon_words)
+    fitted = [Pipeline(stages=stages).fit(train)]
     if plan.top:
-        stages.append(UnivariateFeatureSelector(
-            featuresCol="_base", labelCol=task, outputCol="_selected", selectionMode="numTopFeatures",
-        ).setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(plan.top))
-        current = ["_selected"]
-    if plan.pca:
-        stages.append(PCA(k=plan.pca, inputCol="_base", outputCol="_components"))
-        current = ["_components"]
-    current = current + [c for block in plan.extra for c in column(block)]
-    stages.append(VectorAssembler(inputCols=current, outputCol="features"))
-    return stages
+        found = UnivariateFeatureSelector(
+            featuresCol="_bins", labelCol=task, outputCol="_unused", selectionMode="numTopFeatures",
+        ).setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(plan.top).fit(
+            fitted[0].transform(train)).selectedFeatures
+        fitted.append(VectorSlicer(inputCol="_base", outputCol="_selected", indices=sorted(found)))
+        base = ["_selected"]
+    if plan.pca:  # the driver holds a square matrix of the input's width: wide inputs are selected first
+        fitted.append(PCA(k=plan.pca, inputCol=base[0], outputCol="_components").fit(
+            PipelineModel(stages=list(fitted)).transform(train)))
+        base = ["_components"]
+    fitted.append(VectorAssembler(inputCols=base + extra, outputCol="features"))
+    return PipelineModel(stages=fitted)
 
 
 def classifier(kind: str, task: str, width: int, settings: dict) -> Estimator:
     """The classifier of a plan; ``width`` is the number of features it will see."""
     common = {"featuresCol": "features", "labelCol": task}
     multiclass = TASK_CLASSES[task] > 2
+    own = {**settings, **settings.get(kind, {})}
+    settings = {k: v.get(task) if isinstance(v, dict) else v for k, v in own.items()}
     seed = settings.get("seed", 1)
     if kind == "gbt":
         model = GBTClassifier(
@@ -125,7 +149,7 @@ def fit(train: DataFrame, plan: Plan, kind: str, task: str,
         lexicon_words: list[str] | None = None) -> Transformer:
     """Fit feature stages and classifier on ``train`` (feature blocks and the task's label column)."""
     labelled = train.withColumn(task, F.col(task).cast("double"))
-    stages = Pipeline(stages=feature_stages(plan, task, lexicon_words)).fit(labelled)
+    stages = fit_features(labelled, plan, task, lexicon_words)
     features = stages.transform(labelled).select(task, "features").persist()
     try:
         first = features.select("features").head()

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from postlab.functions.stem import stem_german
@@ -10,7 +10,9 @@ from postlab.operators.terms import vocabulary
 from postlab.plans import catalog, features, models, validation
 from postlab.plans.models import Plan
 
-SMALL = {"trees": 3, "depth": 3, "iterations": 10, "hidden": [8], "bucket": 1 << 10}
+SMALL = {
+    "bucket": 1 << 10, "gbt": {"trees": 3, "depth": 3}, "mlp": {"hidden": [8], "iterations": 10},
+    "svc": {"iterations": 10}, "logreg": {"iterations": 10}}
 WORDS = {0: ["zug", "verspätung", "schlecht"], 1: ["bahn", "pünktlich", "gut"], 2: ["wetter", "fussball", "essen"]}
 
 
@@ -70,10 +72,49 @@ def test_components_and_bigrams(table):
 def test_every_named_plan_builds_its_stages(table):
     for plan in catalog.PLANS.values():
         for task in plan.tasks:
-            assert models.feature_stages(plan, task, ["gut"])[-1].getOutputCol() == "features"
+            _, base, extra = models.feature_stages(plan, ["gut"])
+            assert base == (["_base"] if plan.top or plan.pca else base) and len(extra) >= len(plan.extra), task
     assert len(catalog.PLANS) == 22
 
 
+#: (trees, depth) for sentiment and relevance, hidden layers and iterations of the perceptron, by plan.
+SETTINGS = {
+    "submit_embeddings": ((30, 10), (100, 10), None), "submit_terms": ((30, 10), (100, 10), None),
+    "compare_terms_dict": ((30, 10), (100, 10), ([500], 100)), "compare_terms": ((30, 10), (100, 10), ([500], 100)),
+    "compare_terms_spell": ((30, 10), (100, 10), ([500], 100)), "compare_embeddings": ((30, 10), (100, 10), ([], 100)),
+    "compare_embeddings_dict": ((30, 10), (100, 10), ([], 100)), "compare_embeddings_lex": ((30, 10), (100, 10), ([], 100)),
+    "compare_embeddings_dict_lex": ((30, 10), (100, 10), ([], 100)), "bare_terms": ((20, 5), (20, 5), ([500], 100)),
+    "terms_lexicon_clusters": ((100, 10), (100, 10), None), "terms_components": ((20, 5), (20, 5), ([100], 200)),
+    "embeddings": ((20, 10), (20, 5), ([], 100)), "embeddings_clusters": ((20, 5), None, None),
+    "embeddings_clusters_spell": ((20, 8), None, None), "scores_only": (None, None, ([50], 100)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SETTINGS))
+def test_settings_of_the_plans(spark, name):
+    sentiment, relevance, perceptron = SETTINGS[name]
+    plan = catalog.PLANS[name]
+    if sentiment:
+        model = models.classifier("gbt", "sentiment", 5, plan.settings).getClassifier()
+        assert (model.getMaxIter(), model.getMaxDepth()) == sentiment
+    if relevance:
+        model = models.classifier("gbt", "relevance", 5, plan.settings)
+        assert (model.getMaxIter(), model.getMaxDepth()) == relevance
+    if perceptron:
+        model = models.classifier("mlp", "sentiment", 5, plan.settings)
+        assert (model.getLayers(), model.getMaxIter()) == ([5, *perceptron[0], 3], perceptron[1])
+    assert "spell" not in plan.extra or plan.pca or name == "embeddings_clusters_spell"
+
+
+def test_selection_passes_unrounded_values(table):
+    plan = Plan(("dict",), top=3)
+    rows = table.select("doc_id", "relevance", F.transform(vector_to_array("dict"), lambda v: v + 1234.56).alias("d"))
+    rows = rows.select("doc_id", F.col("relevance").cast("double").alias("relevance"), array_to_vector("d").alias("dict"),
+                       array_to_vector(F.transform("d", features.two_digits)).alias("dictbins"))
+    seen = models.fit_features(rows, plan, "relevance").transform(rows).select("features", "dict").collect()
+    assert all(r["features"].toArray().tolist() == r["dict"].toArray().tolist() for r in seen)
+
+
 def test_default_settings():
     gbt = models.classifier("gbt", "relevance", 5, {})
     assert (gbt.getMaxIter(), gbt.getMaxDepth()) == (100, 10)
