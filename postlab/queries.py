@@ -424,6 +424,16 @@ def knn_exact(spark, sf):
     )
 
 
+@query
+def knn_lsh(spark, sf):
+    """The same by buckets of random hyperplanes; how many are looked at is measured."""
+    points = tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), "vector")
+    return neighbors.nearest_approximate(points, points, DIM, NEIGHBOURS).select(
+        F.col("id").alias("vec_id"), "neighbour", F.col("rank").cast("int").alias("rank"),
+        r6(F.col("distance")).alias("distance"),
+    )
+
+
 @query
 def closest_within(spark, sf):
     """For each vector the closest one of the first labels within reach, if there is one."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from postlab.functions import labels as lab
 from postlab.functions import vectors as vec
 from postlab.operators import evaluation, folds, lexicon, lookup, neighbors, position, sections, stats, terms
@@ -209,6 +210,28 @@ def test_approximate_neighbours_find_most(spark):
     assert len(exact & {(r["id"], r["neighbour"]) for r in rows}) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_of_the_embeddings(spark, folder):
+    """Every vector against the others: its own row is at distance 0 and does not count."""
+    rows = entry.queries()["knn_lsh"](spark, f"/root/testdata/{folder}").collect()
+    exact = entry.queries()["knn_exact"](spark, f"/root/testdata/{folder}").collect()
+    want = {(r.vec_id, r.neighbour) for r in exact if r.vec_id != r.neighbour}
+    assert len(rows) == len(exact) and all(r.distance == 0 for r in rows if r.rank == 1)
+    assert len(want & {(r.vec_id, r.neighbour) for r in rows}) >= 0.9 * len(want)
+
+
+def test_approximate_neighbours_of_copies_and_few_targets(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 7)
+    monkeypatch.setattr(neighbors, "BLOCK_TARGETS", 20)
+    same = frame(spark, [[1.0, 0.0]] * 60 + [[-1.0, 0.5]])
+    rows = neighbors.nearest_approximate(same, same, 2, 3, bits=2).collect()
+    found = {(r["id"], r["rank"]): r["neighbour"] for r in rows}
+    assert len(rows) == 183 and all(found[i, r] == r - 1 for i in range(60) for r in (1, 2, 3))
+    few = neighbors.nearest_approximate(same, same.where("id >= 59"), 2, 5).collect()
+    assert len(few) == 122
+    assert neighbors.nearest_approximate(same, same.where("id < 0"), 2, 5).collect() == []
+
+
 def test_closest_by_criterion(spark):
     points = spark.createDataFrame(
         [(0, [0.0], 1), (1, [1.0], 2), (2, [3.0], 1), (3, [9.0], 1)], "id bigint, vector array<double>, label int")
