@@ -325,6 +325,19 @@ def plan_comparison(spark, sf):
     return by_task[0].unionByName(by_task[1])
 
 
+def _plan_scores(spark, sf, name: str, kind: str) -> DataFrame:
+    """Folds, mean (fold -1) and hold-out score (fold -2) of a plan with one of its models, for all its tasks."""
+    t = tables(spark, sf)
+    plan = {name: catalog.only_models(catalog.PLANS[name], kind)}
+    return catalog.scores(t.labelled_features, t.labelled_splits, plan, "doc_id", t.lexicon_words, parallelism=FOLDS)
+
+
+# one query per plan and model, since the boosted trees take far longer than the others
+for _name, _plan in catalog.PLANS.items():
+    for _kind in _plan.models:
+        query(partial(_plan_scores, name=_name, kind=_kind), f"scores_{_name}_{_kind}")
+
+
 @query
 def scores_only_confusion(spark, sf):
     """Confusion counts of the perceptron on dense scores over the labelled documents."""

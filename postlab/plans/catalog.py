@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.plans.models import PCA_WIDTH, TOP_FEATURES, Plan, fit, predict
-from postlab.plans.validation import cross_validate
+from postlab.plans.validation import cross_validate, holdout, mean_metric
 from postlab.sources.writers import submission
 
 # ---- fixed values: the combinations and their settings ------------------------------------------------
@@ -96,5 +96,26 @@ def compare(data: DataFrame, plans: dict[str, Plan], task: str, key: str,
     return result.withColumn("task", F.lit(task))
 
 
+def scores(data: DataFrame, splits: tuple[DataFrame, DataFrame], plans: dict[str, Plan], key: str,
+           lexicon_words: list[str] | None = None, parallelism: int = 1) -> DataFrame:
+    """(param_set, fold, f1, task) of every plan, model and task: the folds, their mean and the hold-out score.
+
+    The mean stands under fold -1, the score of a fit on the first split and a look at the second one under fold -2.
+    """
+    parts = []
+    for task in dict.fromkeys(task for plan in plans.values() for task in plan.tasks):
+        folds = compare(data, plans, task, key, lexicon_words, parallelism=parallelism)
+        mean = mean_metric(folds).select("param_set", F.lit(-1).alias("fold"), F.col("average").alias("f1"), F.lit(task).alias("task"))
+        held = [
+            (f"{name}:{kind}", -2, holdout(*splits, lambda train, p=plan, m=kind: fit(train, p, m, task, lexicon_words), task), task)
+            for name, plan in plans.items() if task in plan.tasks for kind in plan.models
+        ]
+        parts += [folds, mean, data.sparkSession.createDataFrame(held, "param_set string, fold int, f1 double, task string")]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def only_models(plan: Plan, *kinds: str) -> Plan:
     return replace(plan, models=kinds)

@@ -198,3 +198,24 @@ def test_two_digits(spark):
 def test_scores_as_vector(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
     assert df.select(array_to_vector("v").alias("v")).head()["v"].toArray().tolist() == [1.0, 2.0]
+
+
+def test_scores_of_a_plan(table):
+    plan = catalog.with_settings(catalog.PLANS["embeddings"], **SMALL)
+    plan = {"embeddings": catalog.only_models(plan, "logreg")}
+    splits = table.where("doc_id % 5 > 0"), table.where("doc_id % 5 = 0")
+    rows = catalog.scores(table, splits, plan, "doc_id", ["gut", "schlecht"]).collect()
+    found = {(r.task, r.fold): r.f1 for r in rows}
+    assert len(rows) == 14 and set(found) == {(t, f) for t in ("relevance", "sentiment") for f in range(-2, 5)}
+    for task in ("relevance", "sentiment"):
+        assert found[task, -1] == pytest.approx(sum(found[task, f] for f in range(5)) / 5)
+        assert found[task, -2] > 0.9
+
+
+def test_every_plan_and_model_has_scores():
+    import __spark_entry__ as entry
+
+    wanted = {f"scores_{name}_{kind}" for name, plan in catalog.PLANS.items() for kind in plan.models}
+    assert wanted <= set(entry.queries())
+    compared = {n for n in wanted if n.startswith("scores_compare_")}
+    assert len(compared) == 15
