@@ -1,7 +1,8 @@
 """Language of whole texts by the nearest of several clustered centroids per language.
 
 A text is a vector of hashed character n-grams over its letters, with one blank for anything between, weighted by TF-IDF and normalised. Document frequencies come from
-all training rows. Up to ``sample_rows`` training rows of each language, chosen by a hash of the identifier, are
+all training rows. Up to ``sample_rows`` training rows of each language, chosen by a hash of identifier and text (so
+identifiers may be missing or repeat; copies of a row count once), are
 grouped by spherical k-means; the means are the language's centroids. A text gets the language of the centroid
 of largest cosine. It is rejected if that cosine is below ``slack`` times the smallest one that a sampled row of
 the language has with its own centroids, or if it has no letter. A text of few n-grams cannot come near a
@@ -96,13 +97,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     total = _frequencies(rows)
     idf = np.log((1 + total[-1]) / (1 + total[:-1])) + 1
 
-    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")), "languages")
+    keyed = rows.select("lang", "text", F.xxhash64("id", "text").alias("key"))
+    counts = stored(keyed.select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")), "languages")
     if counts.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = rows.join(F.broadcast(counts), "lang").where(
-        below(F.col("id"), 2 * sample_rows / F.col("n_lang"))
-    ).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    sample = keyed.join(F.broadcast(counts), "lang").where(
+        below(F.col("key"), 2 * sample_rows / F.col("n_lang"))
+    ).groupBy("lang", "key").agg(F.min("text").alias("text")).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
 
     def centers(group: pd.DataFrame) -> pd.DataFrame:
         made = [_vector(text, idf) for text in group["text"]]

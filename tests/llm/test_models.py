@@ -48,6 +48,19 @@ def test_no_language_to_learn(spark):
     assert langid.predict(empty(spark), model).collect() == []
 
 
+@pytest.mark.parametrize("number", [None, 7])
+def test_languages_of_a_large_table_without_identifiers(spark, number):
+    """More rows than twice the sample, identifiers missing or all the same; the third language is one text many times."""
+    train = spark.createDataFrame(
+        [(number, f"the cat number {i} sat on the mat with the hat", "en") for i in range(60)]
+        + [(number, f"der hund {i} und die katze sind nicht hier", "de") for i in range(60)]
+        + [(number, "le chat est sur la table avec le chien", "fr")] * 60, "doc_id long, text string, lang string")
+    model = langid.fit(train, sample_rows=8)
+    assert model.languages == ["de", "en", "fr"]
+    got = langid.predict(train.select(F.monotonically_increasing_id().alias("doc_id"), "text", "lang"), model)
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["en"] * 60 + ["de"] * 60 + ["fr"] * 60
+
+
 def test_languages_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError):
