@@ -1,8 +1,8 @@
 """Toxicity of whole texts: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed character n-grams. Each bucket is scaled by the logarithm of the ratio between its
-share in the rows of label 1 and of label 0. A bucket that the labels do not clearly differ in (by the likelihood ratio),
-or that is rare in both, gets ratio 0, since a few rows and their copies would decide it. A logistic regression is
+share in the rows of label 1 and of label 0. A bucket that the labels do not clearly differ in (by the likelihood ratio)
+gets ratio 0. Copies of a text under one label count once. A logistic regression is
 fitted on the scaled sets. Ratios and regression are fitted on at most ``fit_rows`` rows of each label, the ones of
 the smallest hash of the identifier; every row is scored.
 """
@@ -23,9 +23,8 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: Rows of each label to fit on.
 FIT_ROWS = 3000
-#: Least likelihood-ratio statistic of a bucket, and least share of the rows of a label that have it.
+#: Least likelihood-ratio statistic of a bucket.
 LEAST_RATIO = 8.0
-LEAST_SHARE = 0.02
 SCALE = 0.1
 ROUNDS = 300
 STEP = 0.1
@@ -52,7 +51,7 @@ def log_ratios(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     share = (ones + zeros) / max(1, n1 + n0)
     likelihood = 2 * (part(ones, n1 * share) + part(zeros, n0 * share)
                       + part(n1 - ones, n1 * (1 - share)) + part(n0 - zeros, n0 * (1 - share)))
-    clear = (likelihood >= LEAST_RATIO) & ((ones >= LEAST_SHARE * n1) | (zeros >= LEAST_SHARE * n0))
+    clear = likelihood >= LEAST_RATIO
     return np.where(clear, np.log((ones + 1) / (n1 + 2) / ((zeros + 1) / (n0 + 2))), 0).astype(np.float32)
 
 
@@ -115,6 +114,7 @@ def fit(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(
             (label, rank, value) for b in batches for label, rank, value in zip(*(c.to_pylist() for c in b.columns)))
+        found = list({(label, value): (label, rank, value) for label, rank, value in reversed(found)}.values())[::-1]  # copies once
         sets, marks = [np.frombuffer(s, dtype=np.uint32) for _, _, s in found], np.array([y for y, _, _ in found])
         del found
         ratio = log_ratios(sets, marks)

@@ -99,6 +99,13 @@ def test_toxicity_of_odd_texts_and_labels(spark):
     assert toxicity.score(more.limit(0), model).collect() == []
 
 
+def test_an_insult_of_few_toxic_rows_counts():
+    """40 of 3,000 toxic rows have a bucket that no clean row has; a bucket of 2 rows is not clear."""
+    sets = [np.array([5] + [9] * (i < 40) + [11] * (i < 2), dtype=np.uint32) for i in range(3000)] + [np.array([5], dtype=np.uint32)] * 3000
+    ratio = toxicity.log_ratios(sets, np.repeat([1, 0], 3000))
+    assert ratio[9] > 3 and ratio[5] == ratio[11] == 0
+
+
 def test_toxicity_without_rows_of_a_label(spark):
     text = spark.createDataFrame([(1, "a text of words")], "doc_id long, text string")
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
