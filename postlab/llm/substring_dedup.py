@@ -1,7 +1,7 @@
 """Repeated passages by relative Lempel-Ziv parsing against all documents.
 
 The reference is the text of all documents in the order of their identifiers, words in place of characters. A factor is
-a longest stretch of a document that also occurs earlier in the reference; factors of ``window`` words or more are
+a run of windows of a document whose earliest sources run on in the reference (see README); factors of ``window`` words or more are
 duplicate spans. The phrase index of the reference is cut into blocks, each a range of phrase hashes and held by one
 task, so every document is looked up in every block that can have a phrase of it, and in no other:
 
