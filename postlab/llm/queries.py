@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, exact_dedup, hamming, jaccard_join, langid, mixing, substring_dedup, toxicity, url_filter, warc
+from postlab.llm import (
+    bpe, chunk_bpe, exact_dedup, hamming, jaccard_join, langid, merkle, mixing, substring_dedup, toxicity, url_filter, warc,
+    whitening,
+)
 from postlab.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +26,8 @@ def _query(function: Query) -> Query:
 
 # ---- fixed values: settings of the queries ----------------------------------------------------------------
 RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
@@ -274,3 +279,101 @@ LLM_ORACLE["op10_hamming_topk"] = f"""
     )
     SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= {TOP_K}
 """
+
+
+# ---- 11: Merkle manifest -----------------------------------------------------------------------------------------
+
+@_query
+def op11_merkle(spark, sf):
+    """A leaf and a proof for every document, and whether the table as it was tampered with still folds to the root."""
+    docs = read_table(spark, sf, "documents")
+    tampered = F.when(_remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    changed = merkle.hashed(*[merkle.field(tampered if c == "text" else F.col(c)) for c in LEAF_COLUMNS])
+    manifest = merkle.build(docs, LEAF_COLUMNS, carry={"tampered": changed})
+    payload = ["leaf_id", F.col("digest").alias("leaf"), "tampered"]
+    proofs = merkle.prove(manifest, manifest.leaves, payload)
+    return proofs.select(
+        F.col("leaf_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("path"), F.col("tampered")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [text if c == "text" else f"{c}::VARCHAR" for c in LEAF_COLUMNS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _crc_sql(data: str) -> str:
+    """CRC-32 of a decimal number: bit by bit over the bits of its characters, highest power first."""
+    bits = f"flatten([[(ord({data}[i + 1]) >> b) & 1 FOR b IN range(8)] FOR i IN range(strlen({data}))])"
+    return (f"xor(list_reduce({bits}, lambda r, bit: xor(r >> 1, CASE WHEN xor(r & 1, bit) = 1 THEN 3988292384 ELSE 0 END),"
+            " 4294967295::BIGINT), 4294967295)")
+
+
+LLM_ORACLE["op11_merkle"] = f"""
+    WITH RECURSIVE marked AS (
+        SELECT *, {_crc_sql('(doc_id::VARCHAR)')} % 2 = 0 AS even FROM documents
+    ), leaves AS (
+        SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+               {_leaf_sql("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")} AS tampered
+        FROM marked
+    ), ranked AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS rank
+        FROM leaves
+    ), nodes AS (
+        SELECT tree, 0 AS level, rank, leaf AS digest, count(*) OVER (PARTITION BY tree) AS width FROM ranked
+        UNION ALL
+        SELECT tree, level + 1, parent, digest, count(*) OVER (PARTITION BY tree) FROM (
+            SELECT tree, level, rank // 3 AS parent, sha256(string_agg(digest, '' ORDER BY rank)) AS digest
+            FROM nodes WHERE width > 1 GROUP BY ALL)
+    ), tops AS (
+        SELECT tree, level AS height, digest AS subroot FROM nodes WHERE width = 1
+    ), joints AS (
+        SELECT 0 AS level, tree - 1 AS rank, subroot AS digest, count(*) OVER () AS width FROM tops
+        UNION ALL
+        SELECT level + 1, parent, digest, count(*) OVER () FROM (
+            SELECT level, rank // 3 AS parent, sha256(string_agg(digest, '' ORDER BY rank)) AS digest
+            FROM joints WHERE width > 1 GROUP BY ALL)
+    ), whole AS (
+        SELECT tree, level, rank, digest FROM nodes WHERE width > 1
+        UNION ALL
+        SELECT t.tree, t.height + j.level, j.rank, j.digest FROM tops t, joints j WHERE j.width > 1
+    ), steps AS (
+        SELECT tree, level, rank,
+               coalesce(string_agg(other, '' ORDER BY o) FILTER (WHERE o < rank), '') AS before,
+               coalesce(string_agg(other, '' ORDER BY o) FILTER (WHERE o > rank), '') AS after
+        FROM (SELECT a.tree, a.level, a.rank, b.rank AS o, b.digest AS other
+              FROM whole a JOIN whole b ON a.tree = b.tree AND a.level = b.level AND a.rank // 3 = b.rank // 3)
+        GROUP BY ALL
+    ), folds AS (
+        SELECT doc_id, r.tree, rank, 0 AS level, leaf, tampered AS node, '' AS seen, height FROM ranked r JOIN tops USING (tree)
+        UNION ALL
+        SELECT doc_id, f.tree, CASE WHEN f.level + 1 = height THEN f.tree - 1 ELSE f.rank // 3 END, f.level + 1, leaf,
+               sha256(before || node || after), seen || before || after, height
+        FROM folds f JOIN steps s ON s.tree = f.tree AND s.level = f.level AND s.rank = f.rank
+    )
+    SELECT doc_id, leaf, subroot, digest AS root, sha256(seen) AS proof_sha256, node AS folded_root, node = digest AS verified
+    FROM folds f JOIN tops USING (tree) JOIN joints j ON j.width = 1
+    WHERE f.level = f.height + j.level
+"""
+
+
+# ---- 12: chunk reuse -------------------------------------------------------------------------------------------
+
+@_query
+def op12_chunk_bpe(spark, sf):
+    """Token ids of every whole text, with shared chunks encoded once, and the text decoded from them, as digests."""
+    path = public_tokenizers.path(TOKENIZER)
+    tokens = chunk_bpe.encode(read_table(spark, sf, "documents"), path)
+    decoded = chunk_bpe.decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+# ---- 13: whitening ---------------------------------------------------------------------------------------------
+
+@_query
+def op13_whitening(spark, sf):
+    """The 16 strongest whitened components of every vector, fitted on distinct vectors."""
+    return whitening.whitened_rows(read_table(spark, sf, "embeddings")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
