@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ _SAFE = re.compile(
     r"(?<=[A-Za-zÀ-ÖØ-öø-ſΑ-Ρα-ωА-яא-ת"
     r"अ-हぁ-ゔァ-ヺ一-龥가-힣])(?=[\x00-\x40\x5B-\x60\x7B-\x7F])"
 )
+#: Longer pieces without a safe boundary are split in Python: on a million blanks the library's splitter ends the process.
+LONGEST_PIECE = 1 << 18
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -53,11 +56,33 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def piece_ids(coder: tiktoken.Encoding, piece: str, longest: int = LONGEST_PIECE) -> Iterator[list[int]]:
+    """Ids of a piece, however long; a piece above ``longest`` is cut at the ends of matches, found in Python.
+
+    Matches that follow each other are encoded together, since between their ends they match alike; a single match that
+    is too long for the splitter is one piece of the merges anyway.
+    """
+    if len(piece) <= longest:
+        yield coder.encode_ordinary(piece)
+        return
+    start = end = 0
+    for match in regex.finditer(coder._pat_str, piece):
+        if match.end() - start > longest and end > start:
+            yield coder.encode_ordinary(piece[start:end])
+            start = end
+        end = match.end()
+        if end - start > longest:
+            yield coder._encode_single_piece(piece[start:end])
+            start = end
+    if end > start:
+        yield coder.encode_ordinary(piece[start:end])
+
+
 def encode_text(coder: tiktoken.Encoding, text: str | None, size: int = PART_CHARS) -> bytes:
     """Token ids as little-endian unsigned 32-bit integers; none for a null or empty text."""
     if not text:
         return b""
-    return b"".join(np.array(coder.encode_ordinary(p), dtype="<u4").tobytes() for p in parts(text, size))
+    return b"".join(np.array(ids, dtype="<u4").tobytes() for p in parts(text, size) for ids in piece_ids(coder, p))
 
 
 def decode_ids(coder: tiktoken.Encoding, ids: bytes | None) -> bytes:

@@ -29,6 +29,25 @@ def test_parts_do_not_change_the_ids(coder, text, size):
     assert [i for p in bpe.parts(text, size) for i in coder.encode_ordinary(p)] == whole
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "'s", "'", " ", "  ", "\n", "1", "é", "漢", "!", "x" * 30, " " * 30]), max_size=40).map("".join),
+       st.integers(1, 20))
+def test_long_pieces_are_cut_at_matches(coder, text, longest):
+    assert [i for ids in bpe.piece_ids(coder, text, longest) for i in ids] == coder.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("times", [1_000_000, 3_000_000])
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "漢", "!", "7"])
+def test_very_long_runs(coder, unit, times):
+    found = bpe.encode_text(coder, unit * times + "a end.")
+    assert bpe.decode_ids(coder, found) == (unit * times + "a end.").encode()
+    short = bpe.encode_text(coder, unit * 200_000 + "a end.")
+    if unit.isspace():  # the last blank before a letter is a match of its own
+        assert found[-16:] == short[-16:]
+    few = coder.encode_ordinary(unit * 4096)
+    assert found[:4 * len(few) // 2] == b"".join(i.to_bytes(4, "little") for i in few)[:4 * len(few) // 2]
+
+
 def test_tables(spark, coder):
     docs = documents(spark, repeated=True, odd_ids=True)
     coded = bpe.encode(docs, RANKS, PATTERN, part_chars=50, verify=True)
