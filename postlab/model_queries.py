@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, HashingTF, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.functions.normalize import normalize_tokens, raw_tokens
 from postlab.functions.stem import stem_german
-from postlab.operators import evaluation
+from postlab.operators import evaluation, foldstats
 from postlab.operators import wordvectors as wv
 from postlab.operators.terms import stem_tokens, vocabulary
 from postlab.plans import catalog
 from postlab.plans.features import cluster_features, fit_clusters, fit_word_vectors
-from postlab.plans.models import PCA_WIDTH, SEQUENCE_HIDDEN, Plan, fit, predict
+from postlab.plans.models import PCA_WIDTH, SEQUENCE_HIDDEN, TASK_CLASSES, TF_WIDTH, TOP_FEATURES, Plan, fit, predict
 from postlab.plans.validation import cross_validate, holdout, mean_metric
 from postlab.queries import FOLDS, SEED, query, r6
 from postlab.session import stored
 from postlab.sources.writers import feature_line
-from postlab.testtables import DIM, N_CLUSTERS, Tables, tables
+from postlab.testtables import DIM, N_CLUSTERS, Tables, in_dev, tables
 
 # ---- fixed values: settings of the feature queries; models have those of their plans --------------------
 WORD_DIM, WORD_MIN_COUNT, WORD_PARTITIONS = 100, 5, 8
@@ -205,29 +204,65 @@ def sequence_mlp_sentiment(spark, sf):
 @query
 def hashed_tf(spark, sf):
     """(doc_id, bucket, tf) of the hashed stem counts."""
-    hashed = HashingTF(inputCol="stems", outputCol="tf", numFeatures=1 << 14).transform(
-        tables(spark, sf).features.select("doc_id", "stems"))
-    cells = F.unwrap_udt("tf")
-    return hashed.select("doc_id", F.explode(
-        F.arrays_zip(cells["indices"].alias("bucket"), cells["values"].alias("tf"))).alias("c")
-    ).select("doc_id", F.col("c.bucket").alias("bucket"), F.col("c.tf").alias("tf"))
+    cells = foldstats.bucket_counts(tables(spark, sf).features, ["doc_id"], TF_WIDTH)
+    return cells.select("doc_id", F.col("feature").alias("bucket"), F.col("value").alias("tf"))
+
+
+@query
+def fold_statistics(spark, sf):
+    """Documents, document frequency and idf of every bucket on every training side (fold, -1: all, -2: the train split)."""
+    counts = _scores(tables(spark, sf)).counts(catalog.PLANS["compare_terms_dict"])
+    return counts.frequencies().select("side", "feature", "df", foldstats.six_digits(F.col("idf")).alias("idf"))
+
+
+def _selected(spark, sf, task: str, top: int | None) -> DataFrame:
+    ranked = _scores(tables(spark, sf)).counts(catalog.PLANS["compare_terms_dict"]).ranked(task)
+    chosen = ranked.where(F.col("rank") <= top) if top else ranked
+    return chosen.select("side", "feature", (F.col("feature") >= TF_WIDTH).alias("dense"), foldstats.six_digits(F.col("statistic")).alias("statistic"),
+                         "dof", "log_p", "rank")
 
 
 @query
 def chi2_select(spark, sf):
-    """The features kept by chi-square out of hashed TF-IDF and scores."""
-    t = tables(spark, sf)
-    stages = [
-        HashingTF(inputCol="stems", outputCol="tf", numFeatures=1 << 14),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        VectorAssembler(inputCols=["tfidf", "dictbins"], outputCol="base"),
-        UnivariateFeatureSelector(
-            featuresCol="base", labelCol="relevance", outputCol="selected", selectionMode="numTopFeatures",
-        ).setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(1000),
-    ]
-    data = t.labelled_features.withColumn("relevance", F.col("relevance").cast("double"))
-    selected = Pipeline(stages=stages).fit(data).stages[-1].selectedFeatures
-    return spark.createDataFrame([(int(i), i >= 1 << 14) for i in selected], "feature int, dense boolean")
+    """The features kept by chi-square out of hashed TF-IDF and scores for relevance, on every training side."""
+    return _selected(spark, sf, "relevance", TOP_FEATURES)
+
+
+@query
+def chi2_select_sentiment(spark, sf):
+    """The same for sentiment."""
+    return _selected(spark, sf, "sentiment", TOP_FEATURES)
+
+
+@query
+def chi2_all_features(spark, sf):
+    """All hashed terms and scores by chi-square with relevance."""
+    return _selected(spark, sf, "relevance", None)
+
+
+@query
+def chi2_all_features_sentiment(spark, sf):
+    """All hashed terms and scores by chi-square with sentiment."""
+    return _selected(spark, sf, "sentiment", None)
+
+
+def _dense_among_best(spark, sf, task: str) -> DataFrame:
+    best = _selected(spark, sf, task, TOP_FEATURES).where(F.col("side") == foldstats.WHOLE)
+    place = F.when(F.col("dense"), F.col("feature") - TF_WIDTH + 1)
+    return best.agg(F.count(place).alias("n_selected"), F.array_join(
+        F.transform(F.array_sort(F.collect_list(place)), lambda i: i.cast("string")), " ").alias("selected"))
+
+
+@query
+def dense_among_best(spark, sf):
+    """How many of the dense scores, and which (from 1 on), are among the best features of the corpus for relevance."""
+    return _dense_among_best(spark, sf, "relevance")
+
+
+@query
+def dense_among_best_sentiment(spark, sf):
+    """The same for sentiment."""
+    return _dense_among_best(spark, sf, "sentiment")
 
 
 @query
@@ -325,22 +360,33 @@ def plan_comparison(spark, sf):
     return by_task[0].unionByName(by_task[1])
 
 
-def _plan_scores(spark, sf, name: str, kind: str) -> DataFrame:
-    """Folds, mean (fold -1) and hold-out score (fold -2) of a plan with one of its models, for all its tasks."""
-    t = tables(spark, sf)
-    plan = {name: catalog.only_models(catalog.PLANS[name], kind)}
-    return catalog.scores(t.labelled_features, t.labelled_splits, plan, "doc_id", t.lexicon_words, parallelism=FOLDS)
-
-
-# one query per plan and model, since the boosted trees take far longer than the others
-for _name, _plan in catalog.PLANS.items():
-    for _kind in _plan.models:
-        query(partial(_plan_scores, name=_name, kind=_kind), f"scores_{_name}_{_kind}")
-
-
 @query
 def scores_only_confusion(spark, sf):
     """Confusion counts of the perceptron on dense scores over the labelled documents."""
     t = tables(spark, sf)
     scored = _predictions(t, catalog.PLANS["scores_only"], "mlp", "sentiment").where(F.col("label").isNotNull())
     return evaluation.confusion_matrix(scored, "label", "prediction", 3)
+
+
+_SCORES: dict[int, catalog.Scores] = {}
+
+
+def _scores(t: Tables) -> catalog.Scores:
+    """The scores of a folder; the counts behind them are shared by all queries of one session."""
+    if id(t) not in _SCORES:
+        data = stored(t.labelled_features.withColumn("dev", in_dev(F.col("doc_id"))), "labelled")
+        _SCORES[id(t)] = catalog.Scores(data, "doc_id", t.lexicon_words, SEED)
+    return _SCORES[id(t)]
+
+
+def _plan_scores(spark, sf, name: str, kind: str, task: str) -> DataFrame:
+    """Folds, mean (fold -1) and hold-out score (fold -2) of a plan with one of its models for a task."""
+    rows = _scores(tables(spark, sf)).table(catalog.PLANS[name], kind, (task,))
+    return spark.createDataFrame(rows, "task string, fold int, f1 double").withColumn("param_set", F.lit(f"{name}:{kind}"))
+
+
+# one query per plan, model and task, last in the catalogue: they fit six models each
+for _name, _plan in catalog.PLANS.items():
+    for _kind in _plan.models:
+        for _task in _plan.tasks:
+            query(partial(_plan_scores, name=_name, kind=_kind, task=_task), f"scores_{_name}_{_kind}_{_task}")

@@ -94,30 +94,37 @@ def chi_square(values: DataFrame, feature: str, value: str, label: str, classes:
     ``classes``. With o observed in a cell of row total r and class size c, the statistic is
     N * (sum of o*o/(r*c) - 1), so empty cells need no rows.
     """
-    k = len(classes)
-    size = [class_sizes[f"c{i}"].cast("double") for i in range(k)]
-    total = sum(size[1:], size[0])
     observed = values.groupBy(feature, value).agg(
         *[F.count(F.when(F.col(label) == c, 1)).alias(f"o{i}") for i, c in enumerate(classes)]
     )
+    return chi_square_counts(observed, [feature], [f"o{i}" for i in range(len(classes))],
+                             [class_sizes[f"c{i}"] for i in range(len(classes))])
+
+
+def chi_square_counts(observed: DataFrame, keys: list[str], counts: list[str], sizes: list[Column]) -> DataFrame:
+    """(keys, statistic, dof) from a row per nonzero value of a feature with its ``counts`` per class.
+
+    ``sizes`` are the class sizes; they may depend on ``keys``.
+    """
+    size = [s.cast("double") for s in sizes]
+    total = sum(size[1:], size[0])
 
     def share(cells: list[Column]) -> Column:
         row = sum(cells[1:], cells[0])
-        return sum((c * c / (row * s) for c, s in zip(cells[1:], size[1:])),
-                   cells[0] * cells[0] / (row * size[0]))
+        return sum((F.when(s > 0, c * c / (row * s)).otherwise(0.0) for c, s in zip(cells, size)), F.lit(0.0))
 
-    cells = [F.col(f"o{i}").cast("double") for i in range(k)]
-    per_feature = observed.groupBy(feature).agg(
-        F.sum(share(cells)).alias("_s"), F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(f"o{i}").alias(f"o{i}") for i in range(k)],
+    per_feature = observed.groupBy(*keys).agg(
+        F.sum(share([F.col(o).cast("double") for o in counts])).alias("_s"), F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(o).alias(o) for o in counts],
     )
-    zeros = [s - F.col(f"o{i}") for i, s in enumerate(size)]
+    zeros = [s - F.col(o) for o, s in zip(counts, size)]
     n_zero = sum(zeros[1:], zeros[0])
     has_zero = n_zero > 0
+    n_classes = sum(((s > 0).cast("int") for s in size), F.lit(0))
     return per_feature.select(
-        feature,
+        *keys,
         (total * (F.col("_s") + F.when(has_zero, share(zeros)).otherwise(0.0) - 1)).alias("statistic"),
-        ((F.col("_rows") + has_zero.cast("int") - 1) * (k - 1)).cast("bigint").alias("dof"),
+        ((F.col("_rows") + has_zero.cast("int") - 1) * (n_classes - 1)).cast("bigint").alias("dof"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postlab.functions import normalize as nz
 from postlab.functions import stem as st
+from postlab.plans.models import TF_WIDTH, TOP_FEATURES
 from postlab.queries import (
     BLOCK_TAG, DUMP_END, DUMP_START, FOLDS, LINE_BREAK, MAX_DISTANCE, NEIGHBOURS, SAMPLE_ROWS, SEED,
     SELECTED_FEATURES, SEQUENCE_LENGTH, TARGET_LABELS, TOP_TERMS,
@@ -305,7 +306,6 @@ def _md5(key: str) -> str:
     return f"md5('{SEED}:' || CAST({key} AS VARCHAR))"
 
 
-LEADING_URL = "^(https?|ftp|file)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]"
 SPLIT = f"""CASE WHEN l.relevance IS NULL THEN 'test'
   WHEN CAST('0x' || left(md5('{SPLIT_SEED}:' || d.doc_id), 8) AS BIGINT) % {SPLIT_PARTS} = 0 THEN 'dev' ELSE 'train' END"""
 CORPUS = f"""corpus AS MATERIALIZED (SELECT d.doc_id, d.text, l.relevance, l.sentiment, {SPLIT} AS split
@@ -336,7 +336,7 @@ ORACLE: dict[str, str] = {
     "concat_token_arrays": _with(TOK) + _joined("tok", f"list_concat(tokens, {PAIRS})", "|"),
     "lowercase_text": "SELECT conv_id, turn, lower(text) AS text FROM conversations",
     "clean_sentence": f"""SELECT conv_id, turn, lower(replace(replace(
-        regexp_replace(text, {_text(LEADING_URL)}, ''), '(', ''), ')', '')) AS text FROM conversations""",
+        regexp_replace(text, {_text(nz.LEADING_URL)}, ''), '(', ''), ')', '')) AS text FROM conversations""",
     "clean_news_lines": f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, {NEWS} AS line FROM (SELECT doc_id, unnest(l) AS line,
         unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(text, {_text(LINE_BREAK)}) AS l FROM documents))""",
     "section_lines": _with(LINES) + "SELECT page_id, CAST(pos AS INTEGER) AS pos, line FROM inside",
@@ -492,3 +492,60 @@ ORACLE: dict[str, str] = {
     "micro_f1": _with(EMB, CENTERS) + """SELECT round(avg(CASE WHEN label = center THEN 1.0 ELSE 0.0 END), 6) AS f1
         FROM assigned""",
 }
+
+
+# ---- fold statistics: bucket counts and chi-square of every training side ----------------------------------
+HASHED = f"""hashed AS MATERIALIZED (SELECT w.doc_id,
+    CAST(CAST('0x' || left(md5(s.stem), 8) AS BIGINT) % {TF_WIDTH} AS INTEGER) AS f, CAST(count(*) AS DOUBLE) AS x
+  FROM words w JOIN stemmed s ON s.word = w.word GROUP BY ALL)"""
+_STEP = "pow(10, floor(log10(greatest(abs(v), 1e-9))) - 1)"
+BINS = f"""bins AS MATERIALIZED (SELECT doc_id, CAST({TF_WIDTH} + i AS INTEGER) AS f,
+    CASE WHEN v = 0 THEN 0.0 ELSE round(v / {_STEP}) * {_STEP} END AS x
+  FROM (SELECT doc_id, unnest(s) AS v, unnest(range(len(s))) AS i FROM (SELECT doc_id, {SCORES} AS s FROM documents)))"""
+TRAINED = f"""placed AS (SELECT *, CAST('0x' || left({_md5('doc_id')}, 8) AS BIGINT) % {FOLDS} AS fold,
+    CAST('0x' || left(md5('{SPLIT_SEED}:' || doc_id), 8) AS BIGINT) % {SPLIT_PARTS} = 0 AS dev FROM lab),
+  trained AS MATERIALIZED (SELECT CAST(side AS INTEGER) AS side, p.* FROM placed p
+    CROSS JOIN (SELECT unnest(range(-2, {FOLDS})) AS side) WHERE side = -1 OR (side = -2 AND NOT dev) OR (side >= 0 AND side <> fold)),
+  side_size AS (SELECT side, count(*) AS n FROM trained GROUP BY side)"""
+FREQUENCIES = """freq AS MATERIALIZED (SELECT side, f, count(*) AS df FROM hashed JOIN trained USING (doc_id) GROUP BY side, f)"""
+
+
+def _side_chi2(task: str) -> str:
+    """Ends in ``ranked_features``: expected counts cell by cell, and the p-value from the closed sums of its gamma function."""
+    return f"""cells AS (SELECT * FROM hashed UNION ALL SELECT * FROM bins WHERE x <> 0),
+  class_size AS MATERIALIZED (SELECT side, {task} AS c, CAST(count(*) AS DOUBLE) AS size FROM trained GROUP BY ALL),
+  seen AS MATERIALIZED (SELECT side, f, x, {task} AS c, CAST(count(*) AS DOUBLE) AS o FROM cells JOIN trained USING (doc_id) GROUP BY ALL),
+  grid AS (SELECT r.side, r.f, r.x, k.c, k.size FROM (SELECT DISTINCT side, f, x FROM seen) r JOIN class_size k ON k.side = r.side),
+  filled AS MATERIALIZED (SELECT g.*, coalesce(s.o, 0) AS o FROM grid g
+    LEFT JOIN seen s ON s.side = g.side AND s.f = g.f AND s.x = g.x AND s.c = g.c),
+  zeros AS (SELECT side, f, 0.0 AS x, c, any_value(size) AS size, any_value(size) - sum(o) AS o FROM filled GROUP BY side, f, c),
+  every AS (SELECT * FROM filled UNION ALL SELECT * FROM zeros),
+  margins AS (SELECT *, sum(o) OVER (PARTITION BY side, f, x) AS r, CAST(n AS DOUBLE) AS n FROM every JOIN side_size USING (side)),
+  raw_chi AS (SELECT side, f, sum((o - r * size / n) ^ 2 / (r * size / n)) AS chi,
+      (count(DISTINCT x) - 1) * (count(DISTINCT c) - 1) AS free FROM margins WHERE r > 0 GROUP BY side, f),
+  chi AS MATERIALIZED (SELECT r.side, r.f, CASE WHEN q.df = z.n THEN 0.0 ELSE chi END AS statistic,
+      CASE WHEN q.df = z.n THEN 0 ELSE free END AS dof
+    FROM raw_chi r JOIN side_size z USING (side) LEFT JOIN freq q ON q.side = r.side AND q.f = r.f),
+  halves AS (SELECT *, statistic / 2 AS x, sqrt(greatest(statistic, 1e-300) / 2) AS z, CASE WHEN dof % 2 = 1 THEN 0.5 ELSE 1.0 END AS a FROM chi),
+  tails AS (SELECT *, CASE WHEN dof % 2 = 0 THEN 1.0 WHEN z < 1 THEN exp(x) - 2 / sqrt(pi()) * list_sum([
+        exp((2 * i + 1) * ln(z) + 2 * i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2)) FOR i IN range(31)])
+      ELSE 1 / sqrt(pi()) / (z + list_reduce(list_concat([0.0::DOUBLE], list_transform(range(120, 0, -1), lambda i: i::DOUBLE)),
+        lambda s, i: i / 2 / (z + s))) END AS head FROM halves),
+  ranked_features AS (SELECT side, f AS feature, f >= {TF_WIDTH} AS dense, round(statistic + 1e-9, 6) + 0.0 AS statistic, CAST(dof AS BIGINT) AS dof,
+      CASE WHEN dof <= 0 OR statistic <= 0 THEN 0.0 ELSE round(1e-9 + ln(head + coalesce(list_sum([
+        exp((a + i) * ln(x) - lgamma(a + i + 1)) FOR i IN range(CAST((dof + 1) // 2 AS BIGINT) - 1)]), 0.0)) - x, 6) + 0.0 END AS log_p
+    FROM tails),
+  ordered AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY side ORDER BY log_p, feature) AS INTEGER) AS rank FROM ranked_features)"""
+
+
+_STEMMED = (LAB, TOK, WORDS, VOCABULARY, _german_stem("vocab"), HASHED)
+ORACLE["hashed_tf"] = _with(*_STEMMED) + "SELECT doc_id, f AS bucket, x AS tf FROM hashed"
+ORACLE["fold_statistics"] = _with(*_STEMMED, TRAINED, FREQUENCIES) + """SELECT side, f AS feature, df,
+    round(1e-9 + ln((n + 1) / (df + 1)), 6) + 0.0 AS idf FROM freq JOIN side_size USING (side)"""
+for _task, _suffix in (("relevance", ""), ("sentiment", "_sentiment")):
+    _ranking = _with(*_STEMMED, BINS, TRAINED, FREQUENCIES, _side_chi2(_task))
+    ORACLE[f"chi2_select{_suffix}"] = _ranking + f"SELECT * FROM ordered WHERE rank <= {TOP_FEATURES}"
+    ORACLE[f"chi2_all_features{_suffix}"] = _ranking + "SELECT * FROM ordered"
+    ORACLE[f"dense_among_best{_suffix}"] = _ranking + f"""SELECT count(feature) AS n_selected,
+        coalesce(string_agg(CAST(feature - {TF_WIDTH} + 1 AS VARCHAR), ' ' ORDER BY feature), '') AS selected
+        FROM ordered WHERE side = -1 AND dense AND rank <= {TOP_FEATURES}"""

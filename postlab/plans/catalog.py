@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from multiprocessing.pool import ThreadPool
+from statistics import mean
 
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.plans.models import PCA_WIDTH, TOP_FEATURES, Plan, fit, predict
-from postlab.plans.validation import cross_validate, holdout, mean_metric
+from postlab.operators.folds import keyed_folds
+from postlab.operators.foldstats import Side, sides
+from postlab.plans.models import PCA_WIDTH, TASK_CLASSES, TOP_FEATURES, Plan, fit, fold_features, predict
+from postlab.plans.selection import FoldFeatures
+from postlab.plans.validation import cross_validate, score
 from postlab.sources.writers import submission
 
 # ---- fixed values: the combinations and their settings ------------------------------------------------
@@ -37,7 +42,7 @@ PLANS: dict[str, Plan] = {
     "terms_lexicon_clusters": Plan(
         ("tfidf", "dict"), ("lexc", "km"), top=TOP_FEATURES, settings={"trees": 100}),
     "terms_components": Plan(
-        ("tfidf",), ("lex", "dict", "spell"), top=TOP_FEATURES, pca=PCA_WIDTH, tf_width=8192,
+        ("tfidf",), ("lex", "dict", "spell"), pca=PCA_WIDTH, tf_width=8192,
         models=("mlp", "gbt", "svc", "logreg"),
         settings={"gbt": DEFAULT_TREES, "mlp": {"hidden": [100], "iterations": 200}}),
     "embeddings": Plan(
@@ -96,25 +101,52 @@ def compare(data: DataFrame, plans: dict[str, Plan], task: str, key: str,
     return result.withColumn("task", F.lit(task))
 
 
-def scores(data: DataFrame, splits: tuple[DataFrame, DataFrame], plans: dict[str, Plan], key: str,
-           lexicon_words: list[str] | None = None, parallelism: int = 1) -> DataFrame:
-    """(param_set, fold, f1, task) of every plan, model and task: the folds, their mean and the hold-out score.
+#: Folds below 0 in a table of scores: the mean of the folds, and the fit on one split that is scored on the other.
+MEAN, HOLDOUT = -1, -2
 
-    The mean stands under fold -1, the score of a fit on the first split and a look at the second one under fold -2.
+
+class Scores:
+    """Fold and hold-out scores of plans on one feature table, with the statistics of all training sides counted once.
+
+    ``data`` has the feature blocks, the labels and a boolean column ``dev``. The folds come from the key hash. Plans
+    that start from the same terms share a cube; folds, hold-out, tasks and models run in one pool.
     """
-    parts = []
-    for task in dict.fromkeys(task for plan in plans.values() for task in plan.tasks):
-        folds = compare(data, plans, task, key, lexicon_words, parallelism=parallelism)
-        mean = mean_metric(folds).select("param_set", F.lit(-1).alias("fold"), F.col("average").alias("f1"), F.lit(task).alias("task"))
-        held = [
-            (f"{name}:{kind}", -2, holdout(*splits, lambda train, p=plan, m=kind: fit(train, p, m, task, lexicon_words), task), task)
-            for name, plan in plans.items() if task in plan.tasks for kind in plan.models
-        ]
-        parts += [folds, mean, data.sparkSession.createDataFrame(held, "param_set string, fold int, f1 double, task string")]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+
+    def __init__(self, data: DataFrame, key: str, lexicon_words: list[str] | None = None, seed: int = 1):
+        self.data, self.key, self.lexicon_words, self.seed = data, key, lexicon_words, seed
+        self._counts: dict[tuple, FoldFeatures | None] = {}
+
+    def _side(self, k: int, number: int) -> Side:
+        return next(s for s in sides(k, "fold", "dev") if s.number == number)
+
+    def _folded(self, k: int) -> DataFrame:
+        return keyed_folds(self.data, self.key, k, self.seed)
+
+    def counts(self, plan: Plan) -> FoldFeatures | None:
+        """The counts of a plan's terms for all its training sides and both tasks."""
+        sort = (plan.base, plan.tf_width, plan.folds)
+        if sort not in self._counts:
+            self._counts[sort] = fold_features(
+                self._folded(plan.folds), plan, sides(plan.folds, "fold", "dev"), ("fold", "dev"), tuple(TASK_CLASSES))
+        return self._counts[sort]
+
+    def table(self, plan: Plan, kind: str, tasks: tuple[str, ...] | None = None, parallelism: int = 8) -> list[tuple[str, int, float]]:
+        """(task, fold, f1) rows: each fold, the mean and the hold-out score."""
+        folded, counts = self._folded(plan.folds), self.counts(plan)
+        jobs = [(task, n) for task in tasks or plan.tasks for n in [HOLDOUT, *range(plan.folds)]]
+        chosen = {task: counts.chosen(task, plan.top) for task, _ in jobs} if counts else {}
+
+        def run(job: tuple[str, int]) -> tuple[str, int, float]:
+            task, number = job
+            held = self._side(plan.folds, number).held
+            model = fit(folded.where(~held), plan, kind, task, self.lexicon_words,
+                        chosen[task][number] if counts else None)
+            return task, number, score(model, folded.where(held), task)
+
+        with ThreadPool(max(1, parallelism)) as pool:
+            found = pool.map(run, jobs, chunksize=1)
+        means = [(task, MEAN, mean(f for t, n, f in found if t == task and n >= 0)) for task in dict.fromkeys(t for t, _ in jobs)]
+        return sorted([*found, *means])
 
 
 def only_models(plan: Plan, *kinds: str) -> Plan:

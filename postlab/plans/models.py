@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
 )
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizerModel, HashingTF, NGram, Normalizer, SQLTransformer,
-    UnivariateFeatureSelector, VectorAssembler, VectorSlicer,
+    CountVectorizerModel, HashingTF, NGram, Normalizer, SQLTransformer, VectorAssembler,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlab.operators.foldstats import WHOLE, Side, sides
+from postlab.plans.components import components_stage, fit_components
+from postlab.plans.selection import Chosen, FoldFeatures, chosen_stages
+
 # ---- fixed values: default settings -----------------------------------------------------------------
 TASK_CLASSES = {"relevance": 2, "sentiment": 3}
 TF_WIDTH = 16384
@@ -27,6 +30,8 @@ MLP_BLOCK = 128
 MLP_ITERATIONS = 100
 SEQUENCE_HIDDEN = [128, 100]
 BUCKETS = 1 << 18
+#: A training set has a partition for so many rows at most: solvers start a job with a task per partition in every step.
+FIT_ROWS = 2000
 # ---- end of fixed values ------------------------------------------------------------------------------
 
 
@@ -50,23 +55,16 @@ class Plan:
     settings: dict = field(default_factory=dict)
 
 
-#: Blocks of unrounded numbers and the rounded ones that selection sees in their place.
-BINNED = {"dict": "dictbins", "spell": "spellbins"}
-
-
 def feature_stages(plan: Plan, lexicon_words: list[str] | None = None) -> tuple[list, list[str], list[str]]:
-    """Stages up to the assembled base, and the columns of the base and of what is appended to it.
+    """Stages of the blocks other than terms, and the columns of the base and of what is appended to it.
 
-    With selection or components the base is the one column ``_base``; with selection there is also ``_bins``: the
-    same features, with unrounded numbers cut to two digits, since chi-square takes every value as a category.
+    With selection the dense blocks of the base are assembled to ``_dense``, whose entries are chosen later.
     """
     stages: list = []
 
     def column(block: str) -> list[str]:
         if block == "tfidf":
-            stages.append(HashingTF(inputCol="stems", outputCol="_tf", numFeatures=plan.tf_width))
-            stages.append(IDF(inputCol="_tf", outputCol="_tfidf"))
-            return ["_tfidf"]
+            return []
         if block == "grams":
             grams = "stems"
             if plan.settings.get("word_ngrams", 1) == 2:
@@ -85,35 +83,42 @@ def feature_stages(plan: Plan, lexicon_words: list[str] | None = None) -> tuple[
         return [block]
 
     base = [c for block in plan.base for c in column(block)]
-    if plan.top:
-        stages.append(VectorAssembler(inputCols=[BINNED.get(c, c) for c in base], outputCol="_bins"))
-    if plan.top or plan.pca:
-        stages.append(VectorAssembler(inputCols=base, outputCol="_base"))
-        base = ["_base"]
+    if (plan.top or "tfidf" in plan.base) and base:
+        stages.append(VectorAssembler(inputCols=base, outputCol="_dense"))
+        base = ["_dense"]
     return stages, base, [c for block in plan.extra for c in column(block)]
 
 
-def fit_features(train: DataFrame, plan: Plan, task: str, lexicon_words: list[str] | None = None) -> PipelineModel:
-    """The fitted stages of a plan, ending in the column ``features``.
+def fold_features(data: DataFrame, plan: Plan, parts: list[Side] | None = None, marks: tuple[str, ...] = (),
+                  tasks: tuple[str, ...] | None = None) -> FoldFeatures | None:
+    """The counts behind the term features of a plan; None for a plan without terms and selection."""
+    if "tfidf" not in plan.base and not plan.top:
+        return None
+    return FoldFeatures(data, plan.base, plan.tf_width, parts or sides(0), list(marks), tuple(tasks or plan.tasks))
 
-    Selection looks at the rounded features and passes the indices on, so the classifier gets the unrounded ones. Spark
-    takes at most 10,000 different values of a feature there; counts of terms and two digits stay below.
+
+def fit_features(train: DataFrame, plan: Plan, task: str, lexicon_words: list[str] | None = None,
+                 chosen: Chosen | None = None) -> PipelineModel:
+    """The stages of a plan, ending in the column ``features``.
+
+    Terms and selected scores need no fit: ``chosen`` says which, from the statistics of this training side; without it
+    they are counted here. Selection looks at the rounded features, and the classifier gets the unrounded ones.
     """
     stages, base, extra = feature_stages(plan, lexicon_words)
-    fitted = [Pipeline(stages=stages).fit(train)]
-    if plan.top:
-        found = UnivariateFeatureSelector(
-            featuresCol="_bins", labelCol=task, outputCol="_unused", selectionMode="numTopFeatures",
-        ).setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(plan.top).fit(
-            fitted[0].transform(train)).selectedFeatures
-        fitted.append(VectorSlicer(inputCol="_base", outputCol="_selected", indices=sorted(found)))
-        base = ["_selected"]
-    if plan.pca:  # the driver holds a square matrix of the input's width: wide inputs are selected first
-        fitted.append(PCA(k=plan.pca, inputCol=base[0], outputCol="_components").fit(
-            PipelineModel(stages=list(fitted)).transform(train)))
+    if chosen is None and (counts := fold_features(train, plan, tasks=(task,))):
+        chosen = counts.chosen(task, plan.top)[WHOLE]
+    if chosen is not None:
+        own, base = chosen_stages(chosen, plan.tf_width, "_dense" if base else None)
+        stages = [*stages, *own]
+    if plan.pca:
+        stages.append(VectorAssembler(inputCols=base, outputCol="_base"))
+        rows = PipelineModel(stages=list(stages)).transform(train).select("_base")
+        first = rows.head()
+        found = fit_components(rows, "_base", first["_base"].size if first else 0, plan.pca)
+        stages.append(components_stage(found, "_base", "_components"))
         base = ["_components"]
-    fitted.append(VectorAssembler(inputCols=base + extra, outputCol="features"))
-    return PipelineModel(stages=fitted)
+    stages.append(VectorAssembler(inputCols=base + extra, outputCol="features"))
+    return PipelineModel(stages=stages)
 
 
 def classifier(kind: str, task: str, width: int, settings: dict) -> Estimator:
@@ -146,11 +151,12 @@ def classifier(kind: str, task: str, width: int, settings: dict) -> Estimator:
 
 
 def fit(train: DataFrame, plan: Plan, kind: str, task: str,
-        lexicon_words: list[str] | None = None) -> Transformer:
+        lexicon_words: list[str] | None = None, chosen: Chosen | None = None) -> Transformer:
     """Fit feature stages and classifier on ``train`` (feature blocks and the task's label column)."""
     labelled = train.withColumn(task, F.col(task).cast("double"))
-    stages = fit_features(labelled, plan, task, lexicon_words)
-    features = stages.transform(labelled).select(task, "features").persist()
+    stages = fit_features(labelled, plan, task, lexicon_words, chosen)
+    few = max(1, -(-labelled.count() // FIT_ROWS))
+    features = stages.transform(labelled).select(task, "features").coalesce(few).persist()
     try:
         first = features.select("features").head()
         model = classifier(kind, task, first["features"].size, plan.settings).fit(features)
