@@ -72,7 +72,9 @@ def _multiply(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
                 r, c, v = row[a:b] - at, column[a:b], value[a:b]
                 projected = np.zeros((512, size))
                 for s in range(0, len(r), step):
-                    np.add.at(projected, r[s:s + step], v[s:s + step, None] * q[c[s:s + step]])
+                    part = v[s:s + step, None] * q[c[s:s + step]]
+                    starts = np.flatnonzero(np.diff(r[s:s + step], prepend=-1))
+                    projected[r[s:s + step][starts]] += np.add.reduceat(part, starts)
                 order = np.argsort(c, kind="stable")
                 r, c, v = r[order], c[order], v[order]
                 for s in range(0, len(r), step):

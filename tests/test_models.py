@@ -73,7 +73,9 @@ def test_every_named_plan_builds_its_stages(table):
     for plan in catalog.PLANS.values():
         for task in plan.tasks:
             _, base, extra = models.feature_stages(plan, ["gut"])
-            assert base == (["_base"] if plan.top or plan.pca else base) and len(extra) >= len(plan.extra), task
+            dense = [b for b in plan.base if b != "tfidf"]
+            assert base == (["_dense"] if "tfidf" in plan.base and dense else [] if "tfidf" in plan.base else base), task
+            assert len(extra) >= len(plan.extra), task
     assert len(catalog.PLANS) == 22
 
 
