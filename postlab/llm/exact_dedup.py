@@ -1,24 +1,32 @@
 """Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every row goes to one of many small runs. Within a run, rows of equal text collapse to one entry: digest, size
-of the group and the identifier that stays. Then runs meet in rounds, ``fan_in`` at a time; each round merges
-the runs of a parent into one run of distinct entries, sorted or hashed by digest as Spark chooses, until one run
-is left, itself spread over tasks by digest. On the way back every run takes the final identifier
-from its parent. A group of any size reaches a task as at most one entry per child run, or as the rows of
-one leaf run, so no group of copies makes a task large.
+Every row goes to one of many small runs. A run is a sorted list of distinct entries (digest, identifier that stays, size of
+the group), kept as pieces of a few hundred entries: the pieces of a run after round r are named by the first r hexadecimal
+digits of the digest, so that they in order are the run, and no piece grows while the runs do. Runs meet in binomial rounds of
+16: in round r those meet whose numbers agree but for their r-th digit in base 16. Each splits its pieces by the next digit of
+the digest and sends them to the run that results, where the sorted pieces of equal name are merged, and of each stretch of
+equal entries the one that stays goes on with the sum of the sizes. In the end one run is left, its pieces spread over all
+tasks. On the way back every run takes the final identifier from the run it went into. A group of any size reaches a task as
+one entry per run at most, or as the rows of one first run, so no group of copies makes a task large.
 
 Two texts count as equal if SHA-256, length in bytes and a second, independent 64-bit hash agree; the three
-are checked together in every round.
+are compared together in every merge.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlab.session import stored
 
 KEY = ["digest", "n_bytes", "second"]
+ENTRY = [*KEY, "missing", "id", "row"]
+#: Runs that meet in a round: one hexadecimal digit of the run number, and one of the digest for the pieces.
+MEET = 16
 
 
 def _text(text: Column) -> Column:
@@ -31,17 +39,61 @@ def _fingerprint(text: Column) -> list[Column]:
             F.xxhash64(value).alias("second")]
 
 
-def _best(keep: str, entry: Column) -> Column:
-    return F.max(entry) if keep == "largest" else F.min(entry)
+def _same(a: Column, b: Column) -> Column:
+    return F.coalesce(reduce(and_, [a[k] == b[k] for k in KEY]), F.lit(False))
+
+
+def _digit(digest: Column, place: int) -> Column:
+    """One hexadecimal digit of a digest, counted from 0."""
+    return F.substring(F.hex(F.substring(digest, place // 2 + 1, 1)), place % 2 + 1, 1)
+
+
+def _merge(pieces: DataFrame, keep: str) -> DataFrame:
+    """(run, piece, entries): the sorted lists of each piece merged, with one entry for equal ones.
+
+    ``pieces`` has (run, piece, lists); the sort of lists that are sorted in themselves only merges them.
+    """
+    found = F.col("found")
+    sorted_ = pieces.select("run", "piece", F.sort_array(F.flatten("lists")).alias("found"))
+    starts = sorted_.withColumn("starts", F.filter(
+        F.sequence(F.lit(0), F.size(found) - 1), lambda i: ~_same(F.get(found, i), F.get(found, i - 1))))
+
+    def one(at: Column, number: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), number + 1), F.size(found))
+        best = F.get(found, end - 1 if keep == "largest" else at)
+        n = F.aggregate(F.slice(found, at + 1, end - at), F.lit(0).cast("bigint"), lambda total, e: total + e["n"])
+        return F.struct(*[best[name].alias(name) for name in ENTRY], n.alias("n"))
+
+    return starts.select("run", "piece", F.transform("starts", one).alias("entries"))
+
+
+def first_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """(run, piece, entries) of rows (run, digest, n_bytes, second, missing, id, row): each run is one piece."""
+    entry = F.struct(*ENTRY, F.lit(1).cast("bigint").alias("n"))
+    return _merge(rows.groupBy("run").agg(F.collect_list(entry).alias("entries")).select(
+        "run", F.lit("").alias("piece"), F.array("entries").alias("lists")), keep)
+
+
+def meet(runs: DataFrame, place: int, keep: str) -> DataFrame:
+    """Round ``place``, from 0 on: runs whose numbers agree but for the last digit become one."""
+    digits = F.array(*[F.lit(f"{d:X}") for d in range(MEET)])
+    split = runs.select(
+        F.floor(F.col("run") / MEET).alias("run"), "piece",
+        F.explode(F.transform(digits, lambda d: F.struct(
+            d.alias("digit"), F.filter("entries", lambda e: _digit(e["digest"], place) == d).alias("entries")))).alias("part"))
+    return _merge(
+        split.where(F.size("part.entries") > 0)
+        .groupBy("run", F.concat("piece", "part.digit").alias("piece"))
+        .agg(F.collect_list("part.entries").alias("lists")), keep)
 
 
 def merge_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-               fan_in: int = 32, run_rows: int = 256) -> DataFrame:
+               run_rows: int = 256) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     ``keep`` names the identifier that stays, ``smallest`` or ``largest``. A null text counts as empty. A null
     identifier stays only if its group has no other. Of rows that repeat identifier and text exactly one is
-    kept. ``run_rows`` is the mean number of rows of a leaf run, ``fan_in`` the number of runs merged at once.
+    kept. ``run_rows`` is the mean number of rows of a first run.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
@@ -50,23 +102,21 @@ def merge_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row"),
     ), "digests")
     runs = max(1, -(-rows.count() // run_rows))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)))
+    known = F.col("id").isNotNull()
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs))).withColumn(
+        "missing", known if keep == "largest" else ~known)
 
-    missing = F.col("id").isNotNull() if keep == "largest" else F.col("id").isNull()
-    entry = F.struct(missing.alias("missing"), F.col("id"), F.col("row"))
-    level = rows.groupBy("run", *KEY).agg(
-        _best(keep, entry).alias("entry"), F.count(F.lit(1)).alias("n"))
+    level = stored(first_runs(rows, keep), "run")
     levels = [level]
     while runs > 1:
-        runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("run", *KEY).agg(
-            _best(keep, F.col("entry")).alias("entry"), F.sum("n").alias("n"))
+        level = stored(meet(level, len(levels) - 1, keep), "run")
+        runs = -(-runs // MEET)
         levels.append(level)
 
-    answer = levels.pop()
-    while levels:
-        child = levels.pop().select(
-            F.col("run").alias("child"), F.floor(F.col("run") / fan_in).alias("run"), *KEY)
+    entries = [one.select("run", F.inline("entries")) for one in levels]
+    answer = entries.pop().select("run", *KEY, F.struct("id", "row").alias("entry"), "n")
+    while entries:
+        child = entries.pop().select(F.col("run").alias("child"), F.floor(F.col("run") / MEET).alias("run"), *KEY)
         answer = child.join(answer, ["run", *KEY]).select(F.col("child").alias("run"), *KEY, "entry", "n")
     return rows.join(answer, ["run", *KEY]).select(
         F.col("id").alias(id_col), F.col("entry.id").alias("keep_id"), F.col("n").alias("group_size"),

@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from postlab.llm.exact_dedup import drop_copies, merge_runs
+from pyspark.sql import functions as F
+
+from postlab.llm.exact_dedup import drop_copies, first_runs, meet, merge_runs
 from tests.llm.fixture import documents, empty
 
 
@@ -23,7 +25,7 @@ def expected(rows, keep):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("sizes", [{}, {"fan_in": 2, "run_rows": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"run_rows": 3}])
 def test_groups(spark, keep, sizes):
     docs = documents(spark, repeated=True, odd_ids=True)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -50,3 +52,24 @@ def test_empty_table_and_bad_setting(spark):
     assert drop_copies(empty(spark)).collect() == []
     with pytest.raises(ValueError):
         merge_runs(empty(spark), keep="first")
+
+
+def test_runs_are_sorted_after_every_round(spark):
+    rows = spark.range(3000).select(
+        (F.col("id") % 300).alias("run"), F.unhex(F.sha2((F.col("id") % 700).cast("string"), 256)).alias("digest"),
+        F.lit(1).alias("n_bytes"), (F.col("id") % 700).alias("second"), F.lit(False).alias("missing"), "id",
+        F.col("id").alias("row")).cache()
+    level, left = first_runs(rows, "smallest"), 300
+    for place in range(3):
+        level, left = meet(level, place, "smallest"), -(-left // 16)
+        runs = defaultdict(list)
+        for r in level.orderBy("run", "piece").collect():
+            assert all(bytes(e.digest).hex().upper().startswith(r.piece) for e in r.entries)
+            runs[r.run] += [(bytes(e.digest), e.id, e.n) for e in r.entries]
+        assert len(runs) == left
+        for run in runs.values():
+            digests = [d for d, _, _ in run]
+            assert digests == sorted(set(digests))
+        assert sum(n for run in runs.values() for _, _, n in run) == 3000
+    (only,) = runs.values()
+    assert sorted(i for _, i, _ in only) == list(range(700))
