@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,11 +54,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that ``stored_alone`` removes; None outside of it.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder, removed when the program ends."""
     _ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if _PASSING.get() is not None:
+        _PASSING.get().append(path)
     return path
 
 
@@ -77,3 +85,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """``stored(make())`` without what ``make`` stores on its way: that is removed when the result is written.
+
+    Only for a ``make`` whose own tables nobody else goes on using.
+    """
+    passing: list[str] = []
+    outer = _PASSING.set(passing)
+    try:
+        frame = make()
+    finally:
+        _PASSING.reset(outer)
+    result = stored(frame, name)
+    for path in passing:
+        _remove(frame.sparkSession, path)
+    return result

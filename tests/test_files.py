@@ -1,10 +1,12 @@
 """Readers and writers on real files."""
 
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from postlab.session import stored, stored_alone
 from postlab.sources import readers, writers
 
 
@@ -126,3 +128,16 @@ def test_wide_counts_file(spark, tmp_path):
     wide = spark.createDataFrame([(2, 3, None), (1, 2, 1)], "position int, p int, n int")
     writers.write_wide_counts(wide, str(tmp_path / "w"), ["p", "n"])
     assert lines_of(tmp_path / "w") == ["2;1", "3;"]
+
+def test_tables_on_the_way_are_removed(spark):
+    paths = []
+
+    def make():
+        passing = stored(spark.range(10))
+        paths.extend(passing.inputFiles())
+        return passing.where("id > 4")
+
+    result = stored_alone(make)
+    assert result.count() == 5
+    assert paths and not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert stored(spark.range(3)).count() == 3
