@@ -21,7 +21,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlab.session import stored
+from postlab.session import stored, stored_alone
 
 KEY = ["digest", "n_bytes", "second"]
 ENTRY = [*KEY, "missing", "id", "row"]
@@ -113,13 +113,17 @@ def merge_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs = -(-runs // MEET)
         levels.append(level)
 
+    # an entry that met no equal one is its own answer, so only groups of several rows are sent down
     entries = [one.select("run", F.inline("entries")) for one in levels]
-    answer = entries.pop().select("run", *KEY, F.struct("id", "row").alias("entry"), "n")
+    answer = entries.pop().select("run", *KEY, F.struct("id", "row").alias("entry"), "n").where("n > 1")
     while entries:
         child = entries.pop().select(F.col("run").alias("child"), F.floor(F.col("run") / MEET).alias("run"), *KEY)
         answer = child.join(answer, ["run", *KEY]).select(F.col("child").alias("run"), *KEY, "entry", "n")
-    return rows.join(answer, ["run", *KEY]).select(
-        F.col("id").alias(id_col), F.col("entry.id").alias("keep_id"), F.col("n").alias("group_size"),
+    own = F.struct("id", "row")
+    found = rows.join(answer, ["run", *KEY], "left").withColumn("entry", F.coalesce("entry", own))
+    return found.select(
+        F.col("id").alias(id_col), F.col("entry.id").alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
         (F.col("row") == F.col("entry.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
@@ -128,8 +132,8 @@ def merge_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
                 **sizes: int) -> DataFrame:
     """The rows of ``docs`` that ``merge_runs`` keeps, with all their columns."""
-    kept = merge_runs(docs, id_col, text_col, keep, **sizes).where("kept").select(
-        F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    kept = stored_alone(lambda: merge_runs(docs, id_col, text_col, keep, **sizes).where("kept").select(
+        F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")), "kept")
     # one struct column, so that names in ``docs`` cannot clash with the two keys
     whole = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from postlab.llm.common import ROW, Words, document_batches, mix64, numbered, text_slices, tidy, views
 from postlab.llm.exact_dedup import merge_runs
-from postlab.session import stored
+from postlab.session import stored_alone
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(ROW).alias("doc"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, size // 36 // BLOCK)
-    copies = stored(merge_runs(rows, "doc", "text", keep="smallest").where("NOT kept").select(
+    copies = stored_alone(lambda: merge_runs(rows, "doc", "text", keep="smallest").where("NOT kept").select(
         "doc", F.col("keep_id").alias("copy_of")), "copies")
 
     shared = _shared_anchors(rows, window, blocks)
