@@ -14,7 +14,7 @@ from postlab.functions.stem import stem_german
 from postlab.operators import evaluation, foldstats
 from postlab.operators import wordvectors as wv
 from postlab.operators.terms import stem_tokens, vocabulary
-from postlab.plans import catalog
+from postlab.plans import catalog, embedtext
 from postlab.plans.features import cluster_features, fit_clusters, fit_word_vectors
 from postlab.plans.models import PCA_WIDTH, SEQUENCE_HIDDEN, TASK_CLASSES, TF_WIDTH, TOP_FEATURES, Plan, fit, predict
 from postlab.plans.validation import cross_validate, holdout, mean_metric
@@ -122,6 +122,40 @@ def linear_text_raw_sentiment(spark, sf):
     return stems.select("doc_id", F.col("sentiment").alias("label")).join(predict(model, stems, "doc_id"), "doc_id")
 
 
+def _stems(t: Tables, tokenise) -> DataFrame:
+    """(doc_id, stems, relevance, sentiment) of every document; labels are null where there are none."""
+    docs = stored(t.texts.select("doc_id", tokenise(F.col("text")).alias("tokens")))
+    return stored(stem_tokens(docs, ["doc_id"], stem_german).select("doc_id", "stems").join(t.labels, "doc_id", "left"))
+
+
+def _embedded_text(t: Tables, tokenise, task: str) -> DataFrame:
+    """The text classifier with learned embeddings, fitted on the labelled documents, on all documents."""
+    stems = _stems(t, tokenise)
+    model = embedtext.fit(stems, "doc_id", "stems", task, TASK_CLASSES[task])
+    return stems.select("doc_id", F.col(task).alias("label")).join(predict(model, stems, "doc_id"), "doc_id")
+
+
+@query
+def embedded_text_relevance(spark, sf):
+    return _embedded_text(tables(spark, sf), normalize_tokens, "relevance")
+
+
+@query
+def embedded_text_sentiment(spark, sf):
+    return _embedded_text(tables(spark, sf), normalize_tokens, "sentiment")
+
+
+@query
+def embedded_text_raw_relevance(spark, sf):
+    """On stems of the uncleaned tokens."""
+    return _embedded_text(tables(spark, sf), raw_tokens, "relevance")
+
+
+@query
+def embedded_text_raw_sentiment(spark, sf):
+    return _embedded_text(tables(spark, sf), raw_tokens, "sentiment")
+
+
 def _submission(t: Tables, name: str, task: str) -> DataFrame:
     """Train on the labelled documents, submission rows for the others."""
     plan = catalog.PLANS[name]

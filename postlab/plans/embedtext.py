@@ -24,7 +24,7 @@ SHARD_ROWS = 2000
 # ---- end of fixed values -----------------------------------------------------------------------------------
 #: Vectors are averaged in steps of 1/STEPS: sums of whole numbers do not depend on the order of the rows.
 STEPS = 1 << 24
-_SIDE = "bucket bigint, docs bigint, vector array<double>"
+_SIDE = "bucket bigint, docs bigint, parts array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,8 @@ def _descend(classes: int, rates: tuple[float, float]):
             back = error @ table[output]
             table[output] += rate * np.outer(error, hidden)
             table[rows] += rate * np.outer(share, back)
-        return pd.DataFrame({"bucket": vectors["bucket"], "docs": vectors["docs"], "vector": list(table)})
+        parts = np.rint(table * STEPS).astype(np.int64) * vectors["docs"].to_numpy()[:, None]
+        return pd.DataFrame({"bucket": vectors["bucket"], "docs": vectors["docs"], "parts": list(parts)})
 
     return run
 
@@ -146,9 +147,8 @@ def fit(train: DataFrame, key: str, terms: str, label: str, classes: int, settin
             "shard", F.xxhash64(F.col(key), F.lit(settings.seed), F.lit(epoch)).alias("turn"), "label", "buckets", "counts")
         held = sides.join(vectors, "bucket")
         passed = turned.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_descend(classes, rates), _SIDE)
-        sums = passed.groupBy("bucket").agg(F.sum("docs").alias("_docs"), *[
-            F.sum(F.col("docs") * F.round(F.col("vector")[i] * STEPS).cast("bigint")).alias(f"_v{i}")
-            for i in range(settings.dim)])
+        sums = passed.groupBy("bucket").agg(
+            F.sum("docs").alias("_docs"), *[F.sum(F.col("parts")[i]).alias(f"_v{i}") for i in range(settings.dim)])
         mean = F.array(*[F.col(f"_v{i}") / F.col("_docs") / STEPS for i in range(settings.dim)])
         vectors = stored(sums.select("bucket", mean.alias("vector")), "vectors")
     return EmbeddedText(vectors, classes, key, terms, settings, majority)
