@@ -9,27 +9,15 @@ words, not tokens).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.session import stored
-
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 16384
 #: Queries that are compared with a block at once.
 SLICE_ROWS = 256
-#: Approximate search: targets of a bucket on average, bits of a bucket, targets of a block, rows of a bucket that are
-#: compared at once (and beyond which it is dealt to several blocks), queries at once, queries that recall is measured on.
-BUCKET_ROWS = 128
-MAX_BITS = 10
-BLOCK_TARGETS = 65536
-CELL_ROWS = 2048
-SLICE_QUERIES = 1024
-SAMPLE_QUERIES = 256
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -87,179 +75,6 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
     )
 
 
-def _probe_order(values: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Own bucket of each vector, and all buckets from the likeliest on.
-
-    A bucket is the likelier the smaller the squared distances of the vector from the planes that part the two.
-    """
-    bits = len(planes)
-    margin = values @ planes.T
-    code = (margin > 0).astype(np.int64) @ (1 << np.arange(bits))
-    flips = np.arange(1 << bits)
-    cost = (margin ** 2) @ ((flips[:, None] >> np.arange(bits)) & 1).T
-    return code, code[:, None] ^ np.argsort(cost, axis=1, kind="stable")
-
-
-def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k smallest (distance, id) of each row among (row, id, distance)."""
-    row, ids, distance = (np.concatenate([f[i] for f in found]) for i in range(3))
-    order = np.lexsort((ids, distance, row))
-    row, ids, distance = row[order], ids[order], distance[order]
-    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[kept], ids[kept], distance[kept]
-
-
-def _measured_probes(queries: DataFrame, targets: DataFrame, planes: np.ndarray, k: int, recall: float) -> int:
-    """How many buckets, likeliest first, hold the share ``recall`` of the true neighbours of a sample of queries.
-
-    Copies of a query (distance 0) are always in its own bucket and are not counted.
-    """
-    rows = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).collect()
-    sample = np.array([r["vector"] for r in rows], dtype="float64")
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row, ids, distance, code = (np.zeros(0, t) for t in ("int64", "int64", "float64", "int64"))
-        for part in parts:
-            for start in range(0, len(part), CELL_ROWS):
-                some = part.iloc[start:start + CELL_ROWS]
-                values = _matrix(some["vector"])
-                d = _distances(sample, values)
-                d[d == 0] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                row = np.concatenate([row, np.repeat(np.arange(len(sample)), best.shape[1])])
-                ids = np.concatenate([ids, some["id"].to_numpy()[best].ravel()])
-                distance = np.concatenate([distance, np.take_along_axis(d, best, axis=1).ravel()])
-                code = np.concatenate([code, _probe_order(values, planes)[0][best].ravel()])
-                order = np.lexsort((ids, distance, row))
-                row, ids, distance, code = row[order], ids[order], distance[order], code[order]
-                kept = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(distance)
-                row, ids, distance, code = row[kept], ids[kept], distance[kept], code[kept]
-        yield pd.DataFrame({"row": row, "neighbour": ids, "distance": distance, "code": code})
-
-    near = targets.mapInPandas(compare, "row bigint, neighbour bigint, distance double, code bigint")
-    by_distance = Window.partitionBy("row").orderBy("distance", "neighbour")
-    pairs = near.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k).collect()
-    if not pairs:
-        return 1
-    _, order = _probe_order(sample, planes)
-    place = np.argsort(order, axis=1)
-    at = np.sort([place[r["row"], r["code"]] for r in pairs])
-    return int(at[max(0, int(np.ceil(recall * len(at))) - 1)]) + 1
-
-
-def nearest_approximate(queries: DataFrame, targets: DataFrame, dim: int, k: int = 1, recall: float = 0.95,
-                        bits: int | None = None, seed: int = 1) -> DataFrame:
-    """(id, neighbour, rank, distance): probably the k nearest targets, among those of the likeliest buckets.
-
-    For two large tables, where ``nearest`` is too much work. A bucket is the side of ``bits`` random hyperplanes on
-    which a vector lies (by default about ``BUCKET_ROWS`` targets each). A query is compared with its own bucket and
-    with neighbouring ones, the likeliest first; how many is measured, so that a sample of queries finds the share
-    ``recall`` of its true neighbours. Where buckets tell little, that is most of them, and where vectors lie in tight
-    groups it is few. Every query gets k neighbours if there are k targets; ties go to the smaller target id.
-
-    Buckets are packed into blocks, large ones cut, and a task holds one block and those queries of a chunk that
-    look at a bucket of it; k rows per query leave it.
-    """
-    n_targets, n_queries = targets.count(), queries.count()
-    if bits is None:
-        bits = int(np.clip(round(np.log2(max(1, n_targets) / BUCKET_ROWS)), 1, MAX_BITS))
-    planes = np.random.default_rng(seed).normal(size=(bits, dim))
-
-    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                part["code"] = (_matrix(part["vector"]) @ planes.T > 0).astype(np.int64) @ (1 << np.arange(bits))
-                yield part[["id", "vector", "code"]]
-
-    held = stored(targets.select("id", "vector").mapInPandas(coded, "id bigint, vector array<double>, code bigint"), "held")
-    rows = np.zeros(1 << bits, dtype=np.int64)
-    for r in held.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 ** MAX_BITS
-        rows[r["code"]] = r["n"]
-    cells = np.maximum(1, -(-rows // CELL_ROWS))
-    first = np.concatenate([[0], np.cumsum(cells)])
-    before = np.cumsum(np.repeat(rows / cells, cells)) - np.repeat(rows / cells, cells)
-    block_of = (before // BLOCK_TARGETS).astype(np.int64)  # by cell
-    n_blocks = int(block_of[-1]) + 1
-    code_blocks = np.zeros((1 << bits, n_blocks), dtype=bool)
-    code_blocks[np.repeat(np.arange(1 << bits), cells), block_of] = True
-    code_blocks[rows == 0] = False
-    probes = _measured_probes(queries.select("id", "vector"), held, planes, k, recall) if n_targets and n_queries else 1
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    n_chunks = max(cores, -(-n_queries // CHUNK_ROWS))
-
-    def probed(values: np.ndarray) -> np.ndarray:
-        """Which buckets each vector looks at: the likeliest, and further ones until they hold k targets."""
-        order = _probe_order(values, planes)[1]
-        own = rows[order]
-        wanted = (np.arange(1 << bits) < probes) | (np.cumsum(own, axis=1) - own < k)
-        looks = np.zeros(order.shape, dtype=bool)
-        np.put_along_axis(looks, order, wanted, axis=1)
-        return looks
-
-    def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for start in range(0, len(part), SLICE_QUERIES):
-                some = part.iloc[start:start + SLICE_QUERIES]
-                at, block = np.nonzero(probed(_matrix(some["vector"])) @ code_blocks)
-                yield some.iloc[at].assign(block=block)
-
-    def compare(chunk: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"id": [], "neighbour": [], "distance": []})]
-        block = block.sort_values("id")
-        ids, codes = block["id"].to_numpy(), block["code"].to_numpy()
-        values = _matrix(block["vector"]) if len(block) else np.zeros((0, dim))
-        members = [(c, np.flatnonzero(codes == c)) for c in np.unique(codes)]
-        for start in range(0, len(chunk) if len(block) else 0, SLICE_QUERIES):
-            some = chunk.iloc[start:start + SLICE_QUERIES]
-            q = _matrix(some["vector"])
-            looks, worst = probed(q), np.full(len(q), np.inf)
-            kept, fresh = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
-            for c, own in members:
-                who = np.flatnonzero(looks[:, c])
-                for cut in range(0, len(own) if len(who) else 0, CELL_ROWS):
-                    t = own[cut:cut + CELL_ROWS]
-                    # squared distances by products only choose; what is kept is measured anew
-                    d = (q[who] ** 2).sum(axis=1)[:, None] + (values[t] ** 2).sum(axis=1) - 2 * (q[who] @ values[t].T)
-                    near = d <= (worst[who] ** 2 * (1 + 1e-9) + 1e-9)[:, None]
-                    if near.sum() > 4 * k * len(who):
-                        best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :2 * k]
-                        r, col = np.repeat(np.arange(len(who)), best.shape[1]), best.ravel()
-                    else:
-                        r, col = np.nonzero(near)
-                    gap = q[who[r]] - values[t[col]]
-                    kept.append((who[r], ids[t[col]], np.sqrt((gap * gap).sum(axis=1))))
-                    fresh += len(r)
-                    if fresh > 2 * k * len(q):
-                        kept, fresh = [_best(kept, k)], 0
-                        row, _, distance = kept[0]
-                        last = np.searchsorted(row, np.arange(len(q)), side="right") - 1
-                        full = np.bincount(row, minlength=len(q)) == k
-                        worst[full] = distance[last[full]]
-            row, neighbour, distance = _best(kept, k)
-            found.append(pd.DataFrame({"id": some["id"].to_numpy()[row], "neighbour": neighbour, "distance": distance}))
-        return pd.concat(found)
-
-    salt = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(n)) for n in cells]), (F.col("code") + 1).cast("int")))
-    cell = F.element_at(F.array(*[F.lit(int(n)) for n in first[:-1]]), (F.col("code") + 1).cast("int")) + salt
-    block = F.element_at(F.array(*[F.lit(int(n)) for n in block_of]), (cell + 1).cast("int")).cast("bigint")
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")
-    of_queries = queries.select("id", "vector").mapInPandas(sent, "id bigint, vector array<double>, block bigint").withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("int"))
-    of_targets = held.select("id", "vector", "code", block.alias("block"), chunks)
-
-    def dealt(df: DataFrame):
-        return df.repartition(n_blocks * n_chunks, "block", "chunk").groupBy("block", "chunk")
-
-    candidates = dealt(of_queries).cogroup(dealt(of_targets)).applyInPandas(
-        compare, "id bigint, neighbour bigint, distance double")
-    by_distance = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (
-        candidates.withColumn("rank", F.row_number().over(by_distance))
-        .where(F.col("rank") <= k)
-        .select("id", "neighbour", "rank", "distance")
-    )
-
-
 def closest_by_criterion(queries: DataFrame, targets: DataFrame, criterion: Column,
                          max_distance: float) -> DataFrame:
     """(id, neighbour, distance): the closest target that meets ``criterion`` within ``max_distance``.

@@ -12,7 +12,7 @@ from postlab.functions import labels as lab
 from postlab.functions import normalize as nz
 from postlab.functions import vectors as vec
 from postlab.functions.stem import stem_english, stem_german
-from postlab.operators import evaluation, folds, lexicon, neighbors, sections, stats, terms
+from postlab.operators import evaluation, folds, invertedfile, lexicon, neighbors, sections, stats, terms
 from postlab.operators import wordvectors as wv
 from postlab.sources import readers, writers
 from postlab.testtables import (
@@ -426,14 +426,21 @@ def knn_exact(spark, sf):
 
 @query
 def knn_lsh(spark, sf):
-    """The same by buckets of random hyperplanes; how many are looked at is measured."""
+    """The same by an inverted file; how many of its cells are looked at is measured."""
     points = tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), "vector")
-    return neighbors.nearest_approximate(points, points, DIM, NEIGHBOURS).select(
+    return invertedfile.nearest_approximate(points, points, NEIGHBOURS).select(
         F.col("id").alias("vec_id"), "neighbour", F.col("rank").cast("int").alias("rank"),
         r6(F.col("distance")).alias("distance"),
     )
 
 
+@query
+def knn_work(spark, sf):
+    """Cells, probes and the share of all pairs that ``knn_lsh`` looks at."""
+    points = tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), "vector")
+    return invertedfile.search_work(points, points, NEIGHBOURS)
+
+
 @query
 def closest_within(spark, sf):
     """For each vector the closest one of the first labels within reach, if there is one."""

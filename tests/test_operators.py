@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from postlab.functions import labels as lab
 from postlab.functions import vectors as vec
-from postlab.operators import evaluation, folds, lexicon, lookup, neighbors, position, sections, stats, terms
+from postlab.operators import evaluation, folds, invertedfile, lexicon, lookup, neighbors, position, sections, stats, terms
 from postlab.operators import wordvectors as wv
 from postlab.sources import writers
 
@@ -200,14 +200,18 @@ def test_nearest_with_few_or_no_targets(spark):
     assert neighbors.nearest(q, frame(spark, [[1.0]]).where("id < 0"), 3).collect() == []
 
 
-def test_approximate_neighbours_find_most(spark):
+def test_approximate_neighbours_find_most_in_few_cells(spark):
+    """Vectors in groups: nine tenths of the true neighbours, less than half of all pairs."""
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(30, 16))
     t = np.concatenate([c + rng.normal(size=(20, 16)) * 0.2 for c in centers])
     q = centers + rng.normal(size=(30, 16)) * 0.2
     exact = {(i, j) for i, j, _, _ in brute(q, t, 5)}
-    rows = neighbors.nearest_approximate(frame(spark, q), frame(spark, t), 16, 5).collect()
+    queries, targets = frame(spark, q), frame(spark, t)
+    rows = invertedfile.nearest_approximate(queries, targets, 5).collect()
     assert len(exact & {(r["id"], r["neighbour"]) for r in rows}) >= 0.9 * len(exact)
+    work = invertedfile.search_work(queries, targets, 5).first()
+    assert (work["queries"], work["targets"]) == (30, 600) and work["share"] < 0.5
 
 
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
@@ -221,15 +225,16 @@ def test_approximate_neighbours_of_the_embeddings(spark, folder):
 
 
 def test_approximate_neighbours_of_copies_and_few_targets(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "CELL_ROWS", 7)
-    monkeypatch.setattr(neighbors, "BLOCK_TARGETS", 20)
+    monkeypatch.setattr(invertedfile, "SLICE_TARGETS", 7)
+    monkeypatch.setattr(invertedfile, "BLOCK_TARGETS", 20)
+    monkeypatch.setattr(invertedfile, "CHUNK_QUERIES", 9)
     same = frame(spark, [[1.0, 0.0]] * 60 + [[-1.0, 0.5]])
-    rows = neighbors.nearest_approximate(same, same, 2, 3, bits=2).collect()
+    rows = invertedfile.nearest_approximate(same, same, 3, n_cells=4).collect()
     found = {(r["id"], r["rank"]): r["neighbour"] for r in rows}
     assert len(rows) == 183 and all(found[i, r] == r - 1 for i in range(60) for r in (1, 2, 3))
-    few = neighbors.nearest_approximate(same, same.where("id >= 59"), 2, 5).collect()
+    few = invertedfile.nearest_approximate(same, same.where("id >= 59"), 5).collect()
     assert len(few) == 122
-    assert neighbors.nearest_approximate(same, same.where("id < 0"), 2, 5).collect() == []
+    assert invertedfile.nearest_approximate(same, same.where("id < 0"), 5).collect() == []
 
 
 def test_closest_by_criterion(spark):
