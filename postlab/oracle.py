@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postlab.functions import normalize as nz
 from postlab.functions import stem as st
+from postlab.operators.subwords import BUCKETS, LONGEST, SHORTEST
 from postlab.plans.models import TF_WIDTH, TOP_FEATURES
 from postlab.queries import (
     BLOCK_TAG, DUMP_END, DUMP_START, FOLDS, LINE_BREAK, MAX_DISTANCE, NEIGHBOURS, SAMPLE_ROWS, SEED,
@@ -94,6 +95,17 @@ RANKED = """ranked AS MATERIALIZED (SELECT word, n, row_number() OVER (ORDER BY
 EMB = "emb AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 WV = """wv AS MATERIALIZED (SELECT r.word, r.n, e.vec_id AS id, e.v, e.label
   FROM ranked r JOIN emb e ON e.vec_id = r.rank - 1)"""
+SUBWORDS = f"""marked AS (SELECT word, '<' || word || '>' AS m, unnest(range({SHORTEST}, {LONGEST} + 1)) AS n FROM ranked),
+  grams AS MATERIALIZED (SELECT word, CAST('0x' || left(md5(substr(m, i, n)), 8) AS BIGINT) % {BUCKETS} AS b FROM (
+    SELECT word, m, n, unnest(range(1, length(m) - n + 2)) AS i FROM marked)),
+  held AS (SELECT g.b, unnest(wv.v) AS x, unnest(range({DIM})) AS dim FROM grams g JOIN wv ON wv.word = g.word),
+  of_buckets AS MATERIALIZED (SELECT b, dim, avg(x) AS x FROM held GROUP BY b, dim),
+  composed AS (SELECT g.word, o.dim, avg(o.x) AS x FROM grams g JOIN of_buckets o ON o.b = g.b
+    WHERE g.word NOT IN (SELECT word FROM wv) GROUP BY g.word, o.dim),
+  of_words AS MATERIALIZED (SELECT r.word, wv.word IS NOT NULL AS known,
+    coalesce(wv.v, c.v, list_transform(range({DIM}), lambda i: 0.0::DOUBLE)) AS v FROM ranked r
+    LEFT JOIN wv ON wv.word = r.word
+    LEFT JOIN (SELECT word, list(x ORDER BY dim) AS v FROM composed GROUP BY word) c ON c.word = r.word)"""
 LEX = f"""lex AS MATERIALIZED (SELECT word, CASE WHEN rank % 2 = 1 THEN 'positive' ELSE 'negative' END AS polarity,
   CAST((rank - 1) // 2 AS INTEGER) AS i FROM ranked WHERE rank <= {LEXICON_RANKS}),
   slots AS MATERIALIZED (SELECT word, polarity, CAST(i + 2 + CASE WHEN polarity = 'negative'
@@ -340,6 +352,7 @@ ORACLE: dict[str, str] = {
     "clean_news_lines": f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, {NEWS} AS line FROM (SELECT doc_id, unnest(l) AS line,
         unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(text, {_text(LINE_BREAK)}) AS l FROM documents))""",
     "section_lines": _with(LINES) + "SELECT page_id, CAST(pos AS INTEGER) AS pos, line FROM inside",
+    "section_lines_any_order": _with(LINES) + "SELECT page_id, CAST(pos AS INTEGER) AS pos, line FROM inside",
     "clean_markup_lines": _with(LINES) + f"""SELECT page_id, pos, line FROM (SELECT page_id, CAST(pos AS INTEGER) AS pos,
         {_markup('trimmed')} AS line FROM inside) WHERE line <> ''""",
     "term_counts": _with(TOK, WORDS, TF) + "SELECT doc_id, term, tf FROM tf",
@@ -394,6 +407,12 @@ ORACLE: dict[str, str] = {
     "token_vectors_with_default": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT w.doc_id, CAST(w.pos AS INTEGER) AS pos,
         w.word, """ + _line(f"coalesce(wv.v, list_transform(range({DIM}), lambda i: 0.0::DOUBLE))")
         + """ AS vector FROM words w LEFT JOIN wv ON wv.word = w.word""",
+    "subword_vectors": _with(TOK, WORDS, RANKED, EMB, WV, SUBWORDS)
+        + "SELECT word, known, " + _line("v") + " AS vector FROM of_words",
+    "token_vectors_composed": _with(TOK, WORDS, RANKED, EMB, WV, SUBWORDS, f"""sums AS (SELECT doc_id, dim, avg(x) AS x, count(*) AS n
+        FROM (SELECT w.doc_id, unnest(o.v) AS x, unnest(range({DIM})) AS dim FROM words w JOIN of_words o ON o.word = w.word)
+        GROUP BY doc_id, dim)""") + "SELECT doc_id, any_value(n) AS n_tokens, " + _line("list(x ORDER BY dim)")
+        + " AS vector FROM sums GROUP BY doc_id",
     "word_vector_lookup": _with(TOK, WORDS, RANKED, EMB, WV) + """SELECT f.word, CAST(coalesce(len(wv.v), 0) AS BIGINT) AS dim,
         coalesce(""" + _line("wv.v") + """, '') AS vector FROM (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word
           FROM documents) f LEFT JOIN wv ON wv.word = lower(f.word) WHERE f.word <> ''""",

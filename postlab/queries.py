@@ -12,7 +12,7 @@ from postlab.functions import labels as lab
 from postlab.functions import normalize as nz
 from postlab.functions import vectors as vec
 from postlab.functions.stem import stem_english, stem_german
-from postlab.operators import evaluation, folds, invertedfile, lexicon, neighbors, sections, stats, terms
+from postlab.operators import evaluation, folds, invertedfile, lexicon, neighbors, sections, stats, subwords, terms
 from postlab.operators import wordvectors as wv
 from postlab.sources import readers, writers
 from postlab.testtables import (
@@ -184,6 +184,15 @@ def _dump_lines(spark, sf) -> DataFrame:
 
 @query
 def section_lines(spark, sf):
+    """A page is one row of its table, so its lines lie together and in order."""
+    return sections.scanned_section_lines(
+        _dump_lines(spark, sf), ["page_id"], start=DUMP_START, end=DUMP_END
+    )
+
+
+@query
+def section_lines_any_order(spark, sf):
+    """The same by positions, for lines that lie anywhere."""
     return sections.section_lines(
         _dump_lines(spark, sf), ["page_id"], start=DUMP_START, end=DUMP_END
     )
@@ -191,9 +200,10 @@ def section_lines(spark, sf):
 
 @query
 def clean_markup_lines(spark, sf):
-    return sections.clean_markup_lines(
+    inside = sections.scanned_section_lines(
         _dump_lines(spark, sf), ["page_id"], start=DUMP_START, end=DUMP_END
     )
+    return sections.clean_lines(inside)
 
 
 # ---- terms and stems -----------------------------------------------------------------------------------
@@ -364,6 +374,24 @@ def token_vectors_with_default(spark, sf):
     )
 
 
+@query
+def subword_vectors(spark, sf):
+    """A vector for every word of the vocabulary: unknown ones are composed of the n-grams of the known ones."""
+    t = tables(spark, sf)
+    found = subwords.vocabulary_vectors(t.words, t.word_vectors, t.bucket_vectors, DIM)
+    return found.select("word", "known", vector_line("vector").alias("vector"))
+
+
+@query
+def token_vectors_composed(spark, sf):
+    """As ``token_vectors_with_default``, with composed vectors in place of zeros; the mean of each document."""
+    t = tables(spark, sf)
+    found = subwords.token_vectors_composed(t.tokens, t.word_vectors, t.bucket_vectors, ["doc_id"], DIM, t.words)
+    means = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), *[F.avg(F.col("vector")[i]).alias(f"_{i}") for i in range(DIM)])
+    return means.select("doc_id", "n_tokens", vector_line(F.array(*[F.col(f"_{i}") for i in range(DIM)])).alias("vector"))
+
+
 @query
 def word_vector_lookup(spark, sf):
     """Every distinct word form of the raw texts, looked up in lower case."""

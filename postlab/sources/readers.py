@@ -132,6 +132,14 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("doc", (F.col("pos") - 1).alias("pos"), "line")
 
 
+def read_dump_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, split, row, line) of text files as they are scanned: splits in the order of ``split`` make up a file, and
+    ``row`` grows with the lines of a split."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+
+
 #: A session that sets this to true spreads its input over its cores: one small file is one partition.
 SPREAD_INPUT = "spark.postlab.spreadInput"
 

@@ -17,7 +17,7 @@ from postlab.functions.labels import SENTIMENT_NAMES, hash_fold
 from postlab.functions.normalize import normalize_tokens
 from postlab.functions.stem import stem_german
 from postlab.functions.vectors import as_double
-from postlab.operators import terms
+from postlab.operators import subwords, terms
 from postlab.operators.evaluation import center_table
 from postlab.operators.lexicon import number_entries
 from postlab.plans.features import document_features, fit_clusters
@@ -132,6 +132,11 @@ class Tables:
             .select("word", "n", "id", "vector", "label")
         )
 
+    @cached_property
+    def bucket_vectors(self) -> DataFrame:
+        """(bucket, vector) of the n-grams of the words with a vector."""
+        return stored(subwords.bucket_vectors(self.word_vectors, DIM))
+
     @property
     def words(self) -> DataFrame:
         """(word, n): the vocabulary."""

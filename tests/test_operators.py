@@ -1,6 +1,7 @@
 """Operators on small hand-made frames, edge cases first."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from postlab.functions import labels as lab
 from postlab.functions import vectors as vec
-from postlab.operators import evaluation, folds, invertedfile, lexicon, lookup, neighbors, position, sections, stats, terms
+from postlab.operators import evaluation, folds, invertedfile, lexicon, lookup, neighbors, position, sections, stats, subwords, terms
 from postlab.operators import wordvectors as wv
-from postlab.sources import writers
+from postlab.sources import readers, writers
 
 VECTORS = [("a", 5, [1.0, 0.0]), ("b", 3, [0.0, 2.0]), ("c", 1, [4.0, 4.0])]
 
@@ -200,6 +201,20 @@ def test_nearest_with_few_or_no_targets(spark):
     assert neighbors.nearest(q, frame(spark, [[1.0]]).where("id < 0"), 3).collect() == []
 
 
+def test_subwords_and_composed_vectors(spark):
+    words = spark.createDataFrame([("abc",), ("abd",), ("zz",), ("",)], "word string")
+    grams = {r[0]: r[1] for r in words.select("word", subwords.subwords(F.col("word"))).collect()}
+    assert grams["abc"] == ["<ab", "abc", "bc>", "<abc", "abc>", "<abc>"] and grams[""] == []
+    vectors = spark.createDataFrame([("abc", [1.0, 3.0]), ("<", [9.0, 9.0])], "word string, vector array<double>")
+    of_buckets = subwords.bucket_vectors(vectors, 2)
+    found = {r["word"]: (r["known"], r["vector"]) for r in subwords.vocabulary_vectors(words, vectors, of_buckets, 2).collect()}
+    assert found == {"abc": (True, [1.0, 3.0]), "abd": (False, [1.0, 3.0]), "zz": (False, [0.0, 0.0]), "": (False, [0.0, 0.0])}
+    docs = spark.createDataFrame([(1, ["abd", "zz", "abd"]), (2, [])], "doc int, tokens array<string>")
+    counted = spark.createDataFrame([("abd", 2), ("zz", 1)], "word string, n bigint")
+    rows = subwords.token_vectors_composed(docs, vectors, of_buckets, ["doc"], 2, counted).orderBy("pos").collect()
+    assert [r["vector"] for r in rows] == [[1.0, 3.0], [0.0, 0.0], [1.0, 3.0]]
+
+
 def test_approximate_neighbours_find_most_in_few_cells(spark):
     """Vectors in groups: nine tenths of the true neighbours, less than half of all pairs."""
     rng = np.random.default_rng(3)
@@ -266,6 +281,43 @@ def test_sections(spark, monkeypatch, chunk):
     assert [r["line"] for r in rows] == [" <text x>", "one", "two", "three", "<text>", "last"]
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_section_state_is_carried_over_splits(spark, tmp_path, monkeypatch, limit):
+    """Files cut every few bytes, against one pass over each file; sections longer than several splits."""
+    monkeypatch.setattr(sections, "BROADCAST_SPLITS", limit)
+    rng = random.Random(4)
+    want = []
+    for f in range(3):
+        lines = [rng.choice(["<text", "</text", "| <text", "a", "b c", "", "d"] + ["x"] * 20) + f" {i}" for i in range(300)]
+        (tmp_path / f"dump{f}.txt").write_text("\n".join(lines))
+        take = False
+        for x in (x for x in lines if not x.startswith("|")):
+            take = x.startswith("<text") or (take and not x.startswith("</text"))
+            want += [x] if take else []
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.read_dump_splits(spark, str(tmp_path))
+        assert rows.select("doc", "split").distinct().count() > 20
+        found = sections.scanned_section_lines(rows, ["doc"], split="split", pos="row").orderBy("doc", "split", "row").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert [r["line"] for r in found] == want
+
+
+def test_scanned_sections_of_whole_documents(spark, sf):
+    text = ["before", " <text x>", "one", "| <text", "two", "{ </text>", "three", "</text>", "after", "<text>", "last"]
+    docs = spark.createDataFrame([(d, text) for d in (1, None, 2)], "doc int, text array<string>").coalesce(1)
+    lines = docs.select("doc", F.posexplode("text").alias("pos", "line"))
+    found = sections.scanned_section_lines(lines, ["doc"]).collect()
+    assert [r["line"] for r in found] == [" <text x>", "one", "two", "three", "<text>", "last"] * 3
+    assert sections.scanned_section_lines(lines.where("doc > 5"), ["doc"]).collect() == []
+    plan = entry.queries()["clean_markup_lines"](spark, sf)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_side_by_side_counts(spark):
     docs = spark.createDataFrame(
         [(1, "p", "a b"), (2, "n", "a"), (3, "p", "a b c ")], "id int, c string, text string")
