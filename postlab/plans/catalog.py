@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from hashlib import md5
 from multiprocessing.pool import ThreadPool
 from statistics import mean
 
 from pyspark.ml import Transformer
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,36 @@ def compare(data: DataFrame, plans: dict[str, Plan], task: str, key: str,
     return result.withColumn("task", F.lit(task))
 
 
+class ScoreLog:
+    """Scores of single fits in a shared folder, so that a run whose driver was lost goes on where it ended.
+
+    Each fit has a folder of its own, named by a digest of all that decides its score but the data; fits may be written at the same
+    time and once more, and one that was broken off leaves nothing to read. A folder belongs to one feature table.
+    """
+
+    SCHEMA = "fit string, task string, fold int, f1 double"
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @staticmethod
+    def name(plan: Plan, kind: str, task: str, number: int, seed: int) -> str:
+        return md5(repr((plan, kind, task, number, seed)).encode()).hexdigest()
+
+    def known(self) -> dict[str, float]:
+        rows = self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true")
+        try:
+            return {r["fit"]: r["f1"] for r in rows.parquet(self.folder).collect()}  # a row per fit
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+
+    def add(self, fit_name: str, task: str, number: int, f1: float) -> None:
+        row = self.spark.createDataFrame([(fit_name, task, number, f1)], self.SCHEMA).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.folder}/{fit_name}")
+
+
 #: Folds below 0 in a table of scores: the mean of the folds, and the fit on one split that is scored on the other.
 MEAN, HOLDOUT = -1, -2
 
@@ -109,10 +141,13 @@ class Scores:
     """Fold and hold-out scores of plans on one feature table, with the statistics of all training sides counted once.
 
     ``data`` has the feature blocks, the labels and a boolean column ``dev``. The folds come from the key hash. Plans
-    that start from the same terms share a cube; folds, hold-out, tasks and models run in one pool.
+    that start from the same terms share a cube; folds, hold-out, tasks and models run in one pool. With a folder ``log``
+    each score is written there when its fit is done, and a later run over the same data fits only the rest.
     """
 
-    def __init__(self, data: DataFrame, key: str, lexicon_words: list[str] | None = None, seed: int = 1):
+    def __init__(self, data: DataFrame, key: str, lexicon_words: list[str] | None = None, seed: int = 1,
+                 log: str | None = None):
+        self.log = ScoreLog(data.sparkSession, log) if log else None
         self.data, self.key, self.lexicon_words, self.seed = data, key, lexicon_words, seed
         self._counts: dict[tuple, FoldFeatures | None] = {}
 
@@ -132,19 +167,26 @@ class Scores:
 
     def table(self, plan: Plan, kind: str, tasks: tuple[str, ...] | None = None, parallelism: int = 8) -> list[tuple[str, int, float]]:
         """(task, fold, f1) rows: each fold, the mean and the hold-out score."""
-        folded, counts = self._folded(plan.folds), self.counts(plan)
         jobs = [(task, n) for task in tasks or plan.tasks for n in [HOLDOUT, *range(plan.folds)]]
-        chosen = {task: counts.chosen(task, plan.top) for task, _ in jobs} if counts else {}
+        names = {job: ScoreLog.name(plan, kind, *job, self.seed) for job in jobs}
+        known = self.log.known() if self.log else {}
+        done = [(*job, known[names[job]]) for job in jobs if names[job] in known]
+        left = [job for job in jobs if names[job] not in known]
+        folded, counts = self._folded(plan.folds), self.counts(plan) if left else None
+        chosen = {task: counts.chosen(task, plan.top) for task, _ in left} if counts else {}
 
         def run(job: tuple[str, int]) -> tuple[str, int, float]:
             task, number = job
             held = self._side(plan.folds, number).held
             model = fit(folded.where(~held), plan, kind, task, self.lexicon_words,
                         chosen[task][number] if counts else None)
-            return task, number, score(model, folded.where(held), task)
+            f1 = score(model, folded.where(held), task)
+            if self.log:
+                self.log.add(names[job], task, number, f1)
+            return task, number, f1
 
         with ThreadPool(max(1, parallelism)) as pool:
-            found = pool.map(run, jobs, chunksize=1)
+            found = done + pool.map(run, left, chunksize=1)
         means = [(task, MEAN, mean(f for t, n, f in found if t == task and n >= 0)) for task in dict.fromkeys(t for t, _ in jobs)]
         return sorted([*found, *means])
 

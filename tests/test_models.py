@@ -226,3 +226,31 @@ def test_every_plan_and_model_that_finishes_has_scores():
     assert set(registered) == {n for n, slow in every.items() if not slow}
     assert list(entry.queries())[-len(registered):] == registered  # last in the catalogue
 
+
+
+def test_scores_go_on_after_a_lost_run(spark, table, tmp_path, monkeypatch):
+    """A run that breaks off after four fits; the next one fits the other two only and has all scores."""
+    data = table.withColumn("dev", F.col("doc_id") % 5 == 0)
+    plan = Plan(("dict",), models=("logreg",), settings=SMALL)
+    fitted, whole = [], catalog.fit
+
+    def counted(*args):
+        if len(fitted) == 4:
+            raise RuntimeError("driver lost")
+        fitted.append(args[3])
+        return whole(*args)
+
+    folder = str(tmp_path / "scores")
+    monkeypatch.setattr(catalog, "fit", counted)
+    with pytest.raises(RuntimeError):
+        catalog.Scores(data, "doc_id", log=folder).table(plan, "logreg", ("relevance",), parallelism=1)
+    assert len(catalog.ScoreLog(spark, folder).known()) == 4
+    fitted.clear()
+    rows = catalog.Scores(data, "doc_id", log=folder).table(plan, "logreg", ("relevance",), parallelism=1)
+    assert len(fitted) == 2 and [n for _, n, _ in rows] == [-2, -1, 0, 1, 2, 3, 4]
+    fitted.clear()
+    again = catalog.Scores(data, "doc_id", log=folder).table(plan, "logreg", ("relevance",))
+    assert again == rows and not fitted
+    monkeypatch.setattr(catalog, "fit", whole)
+    fresh = catalog.Scores(data, "doc_id").table(plan, "logreg", ("relevance",))
+    assert [f for _, _, f in fresh] == pytest.approx([f for _, _, f in rows])
