@@ -3,8 +3,9 @@
 The work is queries times targets, and no bound saves it: on unit vectors of some dozens of dimensions the triangle
 inequality excludes nothing. So it is cut evenly. Targets are dealt out in blocks and queries in chunks; a task
 holds one block and one chunk, compares them as matrices and gives back k rows per query, never all pairs. A
-target is sent once per chunk, a query once per block. Meant for a vocabulary against a target list (distinct
-words, not tokens).
+target is sent once per chunk, a query once per block. A matrix product says which pairs can be among the k nearest, with room
+for its rounding, and only their distances are measured one dimension at a time. Meant for a vocabulary against a target list
+(distinct words, not tokens).
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 16384
-#: Queries that are compared with a block at once.
+BLOCK_ROWS = 32768
+CHUNK_ROWS = 32768
+#: Queries and targets that are compared at once.
 SLICE_ROWS = 256
+SLICE_TARGETS = 4096
+#: Room for the rounding of a product, as a share of the squares that it is made of.
+SLACK = 1e-11
+#: Squares up to this size are compared by products.
+LARGEST = 1e100
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -32,6 +38,41 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _first(row: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k smallest (distance, id) of each row; distances that are no number come last."""
+    order = np.lexsort((ids, distance, row))
+    row, ids, distance = row[order], ids[order], distance[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], distance[kept]
+
+
+def _plain(q: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of the k targets closest to each query by all distances; ``ids`` ascend."""
+    d = _distances(q, values)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(q)), best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, axis=1).ravel()
+
+
+def _closest(q: np.ndarray, ids: np.ndarray, values: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for finite vectors: products leave few pairs, whose distances are measured."""
+    own = (q ** 2).sum(axis=1)
+    room = SLACK * (own + squares.max())
+    bound = np.full(len(q), np.inf)  # no more than this for the k-th place
+    found = []
+    for start in range(0, len(values), SLICE_TARGETS):
+        part = slice(start, start + SLICE_TARGETS)
+        d = own[:, None] + squares[part] - 2 * (q @ values[part].T)
+        if start == 0 and d.shape[1] >= k:
+            bound = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * room
+        row, col = np.divmod(np.flatnonzero(d <= bound[:, None]), d.shape[1])
+        total = np.zeros(len(row))
+        for i in range(q.shape[1]):
+            total += (q[row, i] - values[part][col, i]) ** 2
+        near = row, ids[part][col], np.sqrt(total)
+        found.append(_first(*near, k) if len(row) > 4 * k * len(q) else near)  # many copies are all equally near
+    return _first(*map(np.concatenate, zip(*found)), k)
+
+
 def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
             max_distance: float | None = None) -> DataFrame:
     """(id, neighbour, rank, distance): the k targets nearest to each query, closest first.
@@ -51,16 +92,27 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1,
 
     def compare(chunk: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"id": [], "neighbour": [], "distance": []})]
-        if len(block):
+        if len(block) and len(chunk):
             block = block.sort_values("id")
             ids, values = block["id"].to_numpy(), _matrix(block["vector"])
+            with np.errstate(over="ignore"):
+                squares = (values ** 2).sum(axis=1)
+            plain = ~(squares < LARGEST)  # also those with a missing number
+            sides = [(ids[plain], values[plain], None)] if plain.any() else []
+            if not plain.all():
+                sides.append((ids[~plain], values[~plain], squares[~plain]))
             for start in range(0, len(chunk), SLICE_ROWS):
                 some = chunk.iloc[start:start + SLICE_ROWS]
-                d = _distances(_matrix(some["vector"]), values)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                found.append(pd.DataFrame({
-                    "id": np.repeat(some["id"].to_numpy(), best.shape[1]), "neighbour": ids[best].ravel(),
-                    "distance": np.take_along_axis(d, best, axis=1).ravel()}))
+                names, q = some["id"].to_numpy(), _matrix(some["vector"])
+                odd = ~((q ** 2).sum(axis=1) < LARGEST)
+                for which in (odd, ~odd):
+                    if not which.any():
+                        continue
+                    best = [
+                        _plain(q[which], own, vectors, k) if which is odd or lengths is None
+                        else _closest(q[which], own, vectors, lengths, k) for own, vectors, lengths in sides]
+                    row, neighbour, distance = best[0] if len(best) == 1 else _first(*map(np.concatenate, zip(*best)), k)
+                    found.append(pd.DataFrame({"id": names[which][row], "neighbour": neighbour, "distance": distance}))
         rows = pd.concat(found)
         return rows if max_distance is None else rows[rows["distance"] <= max_distance]
 
