@@ -32,6 +32,8 @@ CHUNK_QUERIES = 16384
 SLICE_TARGETS = 2048
 SLICE_QUERIES = 1024
 SAMPLE_QUERIES = 256
+#: Pairs of a query and a cell that are ordered at once.
+SLICE_LOOKS = 1 << 18
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -158,7 +160,7 @@ class InvertedFile:
         first, pieces = self.layout["block"].to_numpy(), self.layout["pieces"].to_numpy()
 
         def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for some in (s for p in parts for s in _slices(p, SLICE_QUERIES)):
+            for some in (s for p in parts for s in _slices(p, max(1, min(SLICE_QUERIES, SLICE_LOOKS // len(rows))))):
                 order = _order(_matrix(some["vector"]), centroids)
                 own = rows[order]
                 wanted = ((np.arange(order.shape[1]) < probes) | (np.cumsum(own, axis=1) - own < k)) & (own > 0)
