@@ -61,6 +61,13 @@ def test_means_skip_missing_entries(spark):
     assert wv.mean_vectors(docs, vectors, ["doc_id"], 2).first().mean_vector == [2.0, None]
 
 
+def test_composed_vectors_leave_missing_entries_out(spark):
+    grams = [r.bucket for r in subwords.word_buckets(spark.createDataFrame([("ab",)], "word string")).collect()]
+    table = spark.createDataFrame([(grams[0], [1.0, 2.0]), (grams[1], [3.0, None])], "bucket string, vector array<double>")
+    words = spark.createDataFrame([("ab",), ("zz",)], "word string")
+    assert [(r.word, r.vector) for r in subwords.composed_vectors(words, table, 2).collect()] == [("ab", [2.0, 2.0])]
+
+
 def test_stems_and_sequences_of_repeated_keys(spark, docs, vectors):
     stems = terms.stem_tokens(docs, ["doc_id"], lambda w: F.upper(w))
     assert sorted(((r.doc_id, r.stems) for r in stems.collect()), key=str) == sorted([
