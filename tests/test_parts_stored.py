@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlab.operators import parts, terms
 from postlab.plans.features import document_features
-from postlab.session import shared_folder, stored, stored_alone
+from postlab.session import shared_folder, stored, stored_in_turn
 
 DOCS = [(1, ["a", "b", "x", "a"]), (2, []), (3, None), (4, ["x", "c", None]), (5, ["b"]), (5, ["a", "a"]), (None, ["a"]),
         *[(i, ["a", "b", f"w{i % 7}"]) for i in range(10, 60)]]
@@ -58,7 +58,7 @@ def test_rounds_of_stored_parts_give_the_same_rows(spark, docs, features, monkey
     assert sorted(n for r in rounds for n in r.names) == sorted(dealt.names)
     folder = os.path.dirname(shared_folder(spark, "x")).removeprefix("file:")
     before = set(os.listdir(folder))
-    made = stored_alone(*[lambda r=r: features(r) for r in rounds], name="made")
+    made = stored_in_turn([lambda r=r: features(r) for r in rounds], "made")
     assert sorted(map(repr, made.collect())) == expected
     assert [f.split("-")[0] for f in set(os.listdir(folder)) - before] == ["made"]
 
